@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepair.functions.grouped import put_keys
 from tidepair.operators.ordered import CHUNK, MONTH, add_chunk
 
 
@@ -57,16 +58,11 @@ def run_scan(
     rows = add_chunk(df, ts, seconds)
     extent = rows.groupBy(*keys).agg(F.min(CHUNK).alias("_first"), F.max(CHUNK).alias("_last"))
 
-    def put_keys(out: pd.DataFrame, key) -> pd.DataFrame:
-        for at, (name, v) in enumerate(zip(keys, key)):
-            out.insert(at, name, [v] * len(out))
-        return out
-
     def reduce_chunk(key, pdf):
         pdf = pdf.sort_values(ts, ignore_index=True)
         chunk = key[len(keys)]
         summary = scan.summarise(pdf, bool(chunk == pdf["_first"].iat[0]))
-        return put_keys(pd.DataFrame({"chunk": [chunk], "summary": [summary]}), key)
+        return put_keys(pd.DataFrame({"chunk": [chunk], "summary": [summary]}), keys, key)
 
     def fold(key, pdf):
         state, chunks, states = scan.start(), [], []
@@ -74,7 +70,7 @@ def run_scan(
             state = scan.advance(state, np.asarray(summary))
             chunks.append(chunk)
             states.append(state)
-        return put_keys(pd.DataFrame({"after": chunks, "state": states}), key)
+        return put_keys(pd.DataFrame({"after": chunks, "state": states}), keys, key)
 
     with_extent = rows.join(extent, keys)
     summaries = (
@@ -89,7 +85,7 @@ def run_scan(
     entries = (
         present.withColumn("after", previous)
         .join(states, [*keys, "after"], "left")
-        .select(*keys, CHUNK, "state")
+        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(CHUNK).alias("_into"), "state")
     )
 
     def replay(key, pdf, entry):
@@ -97,10 +93,10 @@ def run_scan(
         state = entry["state"].iat[0] if len(entry) else None
         first = state is None
         out = scan.replay(pdf, scan.start() if first else np.asarray(state), first)
-        return put_keys(out, key)
+        return put_keys(out, keys, key)
 
     return (
         rows.groupBy(*keys, CHUNK)
-        .cogroup(entries.groupBy(*keys, CHUNK))
+        .cogroup(entries.groupBy(*[f"_{k}" for k in keys], "_into"))
         .applyInPandas(replay, f"{kinds}, {scan.schema}")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepair.functions import unit_root
+from tidepair.functions.grouped import put_keys
 from tidepair.operators.ordered import BLOCK, BLOCK_ROWS, add_blocks
 from tidepair.operators.pairs import PAIR
 
@@ -134,10 +135,7 @@ def adf(
     def keyed(fn):
         # The group's key values are put back in front of the function's own columns.
         def run(key, pdf):
-            out = fn(pdf)
-            for at, (name, v) in enumerate(zip(keys, key)):
-                out.insert(at, name, [v] * len(out))
-            return out
+            return put_keys(fn(pdf), keys, key)
 
         return run
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scans", "joins", "statistics"]
+MODULES = ["scans", "joins", "statistics", "trading", "streams"]
 
 
 def load():
