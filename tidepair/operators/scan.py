@@ -56,45 +56,50 @@ def run_scan(
     keys = list(keys)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     rows = add_chunk(df, ts, seconds)
-    extent = rows.groupBy(*keys).agg(F.min(CHUNK).alias("_first"), F.max(CHUNK).alias("_last"))
+    # One small row per chunk that holds data, with its neighbours.
+    order = Window.partitionBy(*keys).orderBy(CHUNK)
+    present = (
+        rows.select(*keys, CHUNK)
+        .distinct()
+        .withColumn("after", F.lag(CHUNK).over(order))
+        .withColumn("_next", F.lead(CHUNK).over(order))
+    )
 
     def reduce_chunk(key, pdf):
         pdf = pdf.sort_values(ts, ignore_index=True)
-        chunk = key[len(keys)]
-        summary = scan.summarise(pdf, bool(chunk == pdf["_first"].iat[0]))
-        return put_keys(pd.DataFrame({"chunk": [chunk], "summary": [summary]}), keys, key)
+        summary = scan.summarise(pdf, bool(pdf["_first"].iat[0]))
+        return put_keys(pd.DataFrame({"chunk": [key[len(keys)]], "summary": [summary]}), keys, key)
 
     def fold(key, pdf):
         state, chunks, states = scan.start(), [], []
-        for chunk, summary in sorted(zip(pdf["chunk"], pdf["summary"])):
+        for chunk, summary in sorted(zip(pdf["chunk"], pdf["summary"]), key=lambda pair: pair[0]):
             state = scan.advance(state, np.asarray(summary))
             chunks.append(chunk)
             states.append(state)
         return put_keys(pd.DataFrame({"after": chunks, "state": states}), keys, key)
 
-    with_extent = rows.join(extent, keys)
+    def replay(key, pdf, entry):
+        pdf = pdf.sort_values(ts, ignore_index=True)
+        state = entry["state"].iat[0] if len(entry) else None
+        first = state is None
+        out = scan.replay(pdf, scan.start() if first else np.asarray(state), first)
+        return put_keys(out, keys, key)
+
+    followed = present.where(F.col("_next").isNotNull()).select(
+        *keys, CHUNK, F.col("after").isNull().alias("_first")
+    )
     summaries = (
-        with_extent.where(F.col(CHUNK) < F.col("_last"))
+        rows.join(followed, [*keys, CHUNK])
         .groupBy(*keys, CHUNK)
         .applyInPandas(reduce_chunk, f"{kinds}, chunk bigint, summary array<double>")
     )
     states = summaries.groupBy(*keys).applyInPandas(fold, f"{kinds}, after bigint, state array<double>")
     # The state after a chunk enters the next chunk that has rows.
-    present = rows.select(*keys, CHUNK).distinct()
-    previous = F.lag(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
     entries = (
-        present.withColumn("after", previous)
+        present.drop("_next")
         .join(states, [*keys, "after"], "left")
         .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(CHUNK).alias("_into"), "state")
     )
-
-    def replay(key, pdf, entry):
-        pdf = pdf.sort_values(ts, ignore_index=True)
-        state = entry["state"].iat[0] if len(entry) else None
-        first = state is None
-        out = scan.replay(pdf, scan.start() if first else np.asarray(state), first)
-        return put_keys(out, keys, key)
-
     return (
         rows.groupBy(*keys, CHUNK)
         .cogroup(entries.groupBy(*[f"_{k}" for k in keys], "_into"))

@@ -104,3 +104,8 @@ def scored(spark: SparkSession, sf_dir: str, minutes: int = 60, delta: float = 1
     """Filter output with the rolling z of its spread."""
     source = filtered_library if library else filtered
     return rolling_z(source(spark, sf_dir, minutes, delta), [*PAIR, "delta"])
+
+
+def forget() -> None:
+    """Make the next query derive its tables anew."""
+    _tables.clear()
