@@ -66,13 +66,18 @@ def choose_lag(r: np.ndarray, n: int, constant: bool) -> int:
 
 
 def level_t(r: np.ndarray, lag: int, n: int, constant: bool) -> float:
-    """t-statistic of the level in the fit with ``lag`` lagged changes over ``n`` rows."""
+    """t-statistic of the level in the fit with ``lag`` lagged changes over ``n`` rows; NaN when
+    the series does not determine it."""
     base = 2 if constant else 1
     k = base + lag
     a, rhs = r[:k, :k], r[:, -1]
+    if n <= k or not np.all(np.diag(a)):
+        return math.nan
     coef = np.linalg.solve(a, rhs[:k])
     ssr = float(rhs[k:] @ rhs[k:])
     inverse = np.linalg.inv(a)
     level = base - 1
     variance = ssr / (n - k) * float(inverse[level] @ inverse[level])
+    if variance <= 0:
+        return math.nan
     return float(coef[level] / math.sqrt(variance))

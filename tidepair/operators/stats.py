@@ -84,7 +84,7 @@ def adf(
         total = int(pdf["_n"].iat[0])
         top = unit_root.max_lag(total, constant) if lags is None else lags
         if top < 0 or total <= top + 3:
-            return pd.DataFrame({"block": [], "n": [], "top": [], "tri": [], "head": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("block", "n", "top", "tri", "head")})
         values = pdf["_v"].to_numpy()
         start = int(pdf["_pos"].iat[0]) - 1  # zero-based position of values[0]
         own = int((~pdf["_own"].to_numpy()).sum())
