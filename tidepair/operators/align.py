@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, with_last_known
+from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, order_key, with_last_known
 
 
 def resample_last(
@@ -21,7 +21,7 @@ def resample_last(
     return (
         df.where(F.col(value).isNotNull())
         .groupBy("symbol", F.window("ts", width).alias("_w"))
-        .agg(F.max_by(value, F.struct(*order)).alias(value))
+        .agg(F.max_by(value, order_key(order)).alias(value))
         .select("symbol", F.col("_w.start").alias("ts"), value)
     )
 
@@ -30,7 +30,7 @@ def ohlc_bars(
     ticks: DataFrame, width: str, price: str = "price", order: Sequence[str] = ("ts",)
 ) -> DataFrame:
     """Open, high, low, close, tick count and mean price per symbol and bucket."""
-    at = F.struct(*order)
+    at = order_key(order)
     return (
         ticks.groupBy("symbol", F.window("ts", width).alias("_w"))
         .agg(
@@ -106,13 +106,8 @@ def align_left(left: DataFrame, right: DataFrame, on: str = "ts") -> DataFrame:
 
 def asof_value(df: DataFrame, probe, value: str = "close") -> DataFrame:
     """Per symbol, the last non-null row at or before one timestamp."""
-    row = F.struct("ts", value)
-    return (
-        df.where((F.col("ts") <= F.lit(probe).cast("timestamp")) & F.col(value).isNotNull())
-        .groupBy("symbol")
-        .agg(F.max_by(row, "ts").alias("_r"))
-        .select("symbol", "_r.*")
-    )
+    known = df.where((F.col("ts") <= F.lit(probe).cast("timestamp")) & F.col(value).isNotNull())
+    return known.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by(value, "ts").alias(value))
 
 
 def asof_join(
@@ -138,8 +133,7 @@ def exact_and_next(df: DataFrame, at) -> DataFrame:
     following = (
         df.where(F.col("ts") > moment)
         .groupBy("symbol")
-        .agg(F.min_by(F.struct("ts", "close"), "ts").alias("_n"))
-        .select("symbol", F.col("_n.ts").alias("next_ts"), F.col("_n.close").alias("next_close"))
+        .agg(F.min("ts").alias("next_ts"), F.min_by("close", "ts").alias("next_close"))
     )
     return exact.join(following, "symbol", "left")
 

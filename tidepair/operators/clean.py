@@ -39,16 +39,15 @@ def epoch_ms(col: str | Column) -> Column:
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], seq: str, keep: str = "last") -> DataFrame:
-    """One row per ``keys``: the one that arrived last or first by ``seq``.
+    """One row per ``keys``: the one that arrived last or first by ``seq``, unique per key.
 
     An aggregate, not a ranking window: copies are merged on the map side, so a key with a huge
-    group of copies costs no more than any other.
+    group of copies costs no more than any other, and column by column so that the aggregate
+    stays hash-based.
     """
-    pick = {"last": F.max_by, "first": F.min_by}[keep]
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(seq)).alias("_row")).select(*keys, "_row.*")
-    ).select(*df.columns)
+    pick, bound = {"last": (F.max_by, F.max), "first": (F.min_by, F.min)}[keep]
+    rest = [bound(c).alias(c) if c == seq else pick(c, seq).alias(c) for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*rest).select(*df.columns)
 
 
 def liquid_tickers(

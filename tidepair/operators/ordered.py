@@ -30,6 +30,12 @@ def add_chunk(df: DataFrame, ts: str = "ts", seconds: int = MONTH) -> DataFrame:
     return df.withColumn(CHUNK, chunk_of(ts, seconds))
 
 
+def order_key(order: Sequence[str]) -> Column:
+    """What ``max_by`` and ``min_by`` order by. One plain column keeps the aggregate hash-based;
+    a struct, needed for tie-breakers, makes Spark sort each partition first."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def _local(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
@@ -59,15 +65,23 @@ def with_neighbour(
 
     ``cols`` maps new column to source column; ``order`` starts with the timestamp.
     """
-    packed = F.struct(*[F.col(src).alias(out) for out, src in cols.items()])
-    edge = (F.min_by if following else F.max_by)(packed, F.struct(*order)).alias("_edge")
-    shift = F.lead if following else F.lag
+    pick, shift = (F.min_by, F.lead) if following else (F.max_by, F.lag)
+    key = order_key(order)
+    edge = lambda out: lambda w: shift(f"_e_{out}").over(w)
     chunked = _with_carry(
-        add_chunk(df, order[0], seconds), keys, [edge], {"_carry": lambda w: shift("_edge").over(w)}
+        add_chunk(df, order[0], seconds),
+        keys,
+        [pick(src, key).alias(f"_e_{out}") for out, src in cols.items()],
+        {f"_c_{out}": edge(out) for out in cols},
     )
-    near = F.coalesce(shift(packed).over(_local(keys, order)), F.col("_carry"))
-    return chunked.withColumn("_near", near).select(
-        *df.columns, *[F.col(f"_near.{out}").alias(out) for out in cols]
+    local = _local(keys, order)
+    inside = shift(F.lit(True)).over(local).isNotNull()
+    return chunked.select(
+        *df.columns,
+        *[
+            F.when(inside, shift(src).over(local)).otherwise(F.col(f"_c_{out}")).alias(out)
+            for out, src in cols.items()
+        ],
     )
 
 
@@ -124,7 +138,7 @@ def with_last_known(
     seconds: int = MONTH,
 ) -> DataFrame:
     """Forward fill: the latest non-null value at or before each row."""
-    at = F.struct(*order)
+    at = order_key(order)
     before = lambda out: lambda w: F.last(f"_l_{out}", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -15,10 +15,10 @@ SYMBOLS_PER_BLOCK = 256
 _MOMENTS = "leg_1 string, leg_2 string, n bigint, sy double, sx double, syy double, sxx double, sxy double"
 
 
-def symbol_blocks(df: DataFrame, per_block: int = SYMBOLS_PER_BLOCK) -> int:
-    """How many hash blocks keep about ``per_block`` symbols in each."""
-    n = df.agg(F.approx_count_distinct("symbol")).first()[0]
-    return max(1, -(-n // per_block))
+def symbol_blocks(symbols: DataFrame, per_block: int = SYMBOLS_PER_BLOCK) -> Column:
+    """How many hash blocks keep about ``per_block`` symbols in each, counted inside the plan."""
+    n = symbols.agg(F.ceil(F.approx_count_distinct("symbol") / per_block).cast("int").alias("n"))
+    return F.greatest(n.scalar(), F.lit(1))
 
 
 def _cell_moments(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -77,8 +77,7 @@ def pair_moments(
         .where(F.col("_n") >= min_rows)
         .drop("_n")
     )
-    if n_blocks is None:
-        n_blocks = symbol_blocks(centre)
+    blocks = symbol_blocks(centre) if n_blocks is None else F.lit(n_blocks)
     rows = (
         add_chunk(valued, "ts", seconds)
         .join(centre, "symbol")
@@ -87,9 +86,9 @@ def pair_moments(
             F.unix_micros("ts").alias("ts_us"),
             (F.col("v") - F.col("_mean")).alias("v"),
             CHUNK,
-            F.pmod(F.xxhash64("symbol"), F.lit(n_blocks)).cast("int").alias("_home"),
+            F.pmod(F.xxhash64("symbol"), blocks).cast("int").alias("_home"),
         )
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("_b1", F.least("_home", "_other"))
         .withColumn("_b2", F.greatest("_home", "_other"))
         .drop("_other")

@@ -80,7 +80,7 @@ def position_size(sized: DataFrame, last_bars: DataFrame, capital: float, keys:
 
 
 def last_bar(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "ts").alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(*[F.max_by(c, "ts").alias(c) for c in cols])
 
 
 def with_grid(df: DataFrame, **lists: Sequence[float]) -> DataFrame:

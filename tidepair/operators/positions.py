@@ -15,48 +15,46 @@ from tidepair.operators.scan import ChunkScan, run_scan
 INHERITED = float("nan")  # spread at entry of a position opened before the chunk
 
 
-def walk(
-    z: np.ndarray,
-    spread: np.ndarray,
-    entry: float,
-    exit_: float,
-    rule: str,
-    same_bar_reentry: bool,
-    position: int,
-    entry_spread: float,
-):
-    """Follow one position through a span, jumping from signal to signal.
+class Triggers:
+    """Rows at which a rule can open or close, found once per distinct threshold.
 
     Rule ``signed`` leaves a long when z rises above ``-exit`` and a short when z falls below
-    ``exit``; rule ``abs`` leaves either when ``|z| < exit``. Returns the events
-    ``(row, side, is_exit, points)`` and the closing position and entry spread. Null z-scores
-    compare false and so are passed over.
+    ``exit``; rule ``abs`` leaves either when ``|z| < exit``. Null z-scores compare false and so
+    are passed over.
     """
-    opens = np.flatnonzero(np.abs(z) > entry)
-    if rule == "signed":
-        closes = {1: np.flatnonzero(z > -exit_), -1: np.flatnonzero(z < exit_)}
-    elif rule == "abs":
-        near = np.flatnonzero(np.abs(z) < exit_)
-        closes = {1: near, -1: near}
-    else:
-        raise ValueError(f"unknown exit rule {rule!r}")
-    events, at = [], 0
-    while True:
-        ahead = opens if position == 0 else closes[position]
-        k = int(np.searchsorted(ahead, at))
-        if k == len(ahead):
-            return events, position, entry_spread
-        at = int(ahead[k])
-        if position == 0:
-            position = 1 if z[at] < 0 else -1
-            entry_spread = float(spread[at])
-            events.append((at, position, False, 0.0))
-            at += 1
+
+    def __init__(self, z: np.ndarray, spread: np.ndarray, thresholds, rule: str):
+        self.z, self.spread = z, spread
+        size = np.abs(z)
+        self.opens = {e: np.flatnonzero(size > e) for e in {t[0] for t in thresholds}}
+        exits = {t[1] for t in thresholds}
+        if rule == "signed":
+            self.closes = {x: {1: np.flatnonzero(z > -x), -1: np.flatnonzero(z < x)} for x in exits}
         else:
-            events.append((at, position, True, position * (float(spread[at]) - entry_spread)))
-            position = 0
-            if not same_bar_reentry:
+            near = {x: np.flatnonzero(size < x) for x in exits}
+            self.closes = {x: {1: near[x], -1: near[x]} for x in exits}
+
+    def walk(self, entry: float, exit_: float, same_bar_reentry: bool, position: int, entry_spread: float):
+        """Follow one position through the rows, jumping from trigger to trigger. Returns the
+        events ``(row, side, is_exit, points)`` and the closing position and entry spread."""
+        opens, closes = self.opens[entry], self.closes[exit_]
+        events, at = [], 0
+        while True:
+            ahead = opens if position == 0 else closes[position]
+            k = ahead.searchsorted(at)
+            if k == len(ahead):
+                return events, position, entry_spread
+            at = int(ahead[k])
+            if position == 0:
+                position = 1 if self.z[at] < 0 else -1
+                entry_spread = float(self.spread[at])
+                events.append((at, position, False, 0.0))
                 at += 1
+            else:
+                events.append((at, position, True, position * (float(self.spread[at]) - entry_spread)))
+                position = 0
+                if not same_bar_reentry:
+                    at += 1
 
 
 class PositionScan(ChunkScan):
@@ -78,6 +76,8 @@ class PositionScan(ChunkScan):
         self.thresholds = [(float(e), float(x)) for e, x in thresholds]
         if any(e < 0 for e, _ in self.thresholds):
             raise ValueError("entry thresholds must not be negative")
+        if rule not in ("signed", "abs"):
+            raise ValueError(f"unknown exit rule {rule!r}")
         self.rule, self.same_bar_reentry, self.warmup = rule, same_bar_reentry, warmup
         self.z, self.spread, self.carry, self.emit = z, spread, list(carry), emit
         extra = "".join(f", {c} double" for c in self.carry)
@@ -87,13 +87,11 @@ class PositionScan(ChunkScan):
         else:
             self.schema = f"{head}, position int, points double{extra}"
 
-    def _signals(self, rows):
+    def _triggers(self, rows):
         z = rows[self.z].to_numpy(dtype=float, na_value=np.nan).copy()
         z[rows["pos"].to_numpy() <= self.warmup] = np.nan
-        return z, rows[self.spread].to_numpy(dtype=float, na_value=np.nan)
-
-    def _walk(self, z, s, rule, position, entry_spread):
-        return walk(z, s, *rule, self.rule, self.same_bar_reentry, position, entry_spread)
+        spread = rows[self.spread].to_numpy(dtype=float, na_value=np.nan)
+        return Triggers(z, spread, self.thresholds, self.rule)
 
     def start(self):
         return np.zeros(2 * len(self.thresholds))
@@ -101,13 +99,13 @@ class PositionScan(ChunkScan):
     def summarise(self, rows, first):
         # Per rule and entering position: the closing position and entry spread, where a missing
         # entry spread says that the entering position is still open.
-        z, s = self._signals(rows)
+        found = self._triggers(rows)
         return np.array(
             [
                 v
                 for rule in self.thresholds
                 for position in self._START
-                for v in self._walk(z, s, rule, position, INHERITED)[1:]
+                for v in found.walk(*rule, self.same_bar_reentry, position, INHERITED)[1:]
             ]
         )
 
@@ -121,50 +119,47 @@ class PositionScan(ChunkScan):
         return np.array(out)
 
     def replay(self, rows, state, first):
-        z, s = self._signals(rows)
-        parts = []
-        for i, rule in enumerate(self.thresholds):
-            events, _, _ = self._walk(z, s, rule, int(state[2 * i]), float(state[2 * i + 1]))
-            parts.append(self._events(rows, rule, events) if self.emit == "events" else self._bars(rows, rule, events, int(state[2 * i])))
-        return pd.concat(parts, ignore_index=True)
-
-    def _columns(self, rows, rule):
-        out = pd.DataFrame(
-            {
-                "entry": rule[0],
-                "exit": rule[1],
-                "ts": rows["ts"],
-                "pos": rows["pos"],
-                "z_score": rows[self.z],
-                "spread": rows[self.spread],
-            }
-        )
-        return out
-
-    def _events(self, rows, rule, events):
-        at = [e[0] for e in events]
-        picked = rows.iloc[at]
-        out = self._columns(picked, rule)
-        out["side"] = np.array([e[1] for e in events], dtype=np.int32)
-        out["is_exit"] = np.array([e[2] for e in events], dtype=bool)
-        out["points"] = np.array([e[3] for e in events], dtype=float)
-        for c in self.carry:
-            out[c] = picked[c]
-        return out
-
-    def _bars(self, rows, rule, events, position):
-        out = self._columns(rows, rule)
-        held = np.full(len(rows), np.nan)
-        points = np.zeros(len(rows))
-        for at, side, is_exit, gain in events:
-            held[at] = 0 if is_exit else side
-            points[at] += gain
-        held = pd.Series(held).ffill().fillna(position)
-        out["position"] = held.to_numpy().astype(np.int32)
-        out["points"] = points
-        for c in self.carry:
-            out[c] = rows[c]
-        return out
+        found = self._triggers(rows)
+        walks = [
+            found.walk(*rule, self.same_bar_reentry, int(state[2 * i]), float(state[2 * i + 1]))[0]
+            for i, rule in enumerate(self.thresholds)
+        ]
+        return self._events(rows, walks) if self.emit == "events" else self._bars(rows, walks, state)
+
+    def _columns(self, rows, at, counts):
+        """Columns of the picked rows, each rule's thresholds repeated over its rows."""
+        entries, exits = np.array(self.thresholds).T
+        picked = {c: rows[c].to_numpy()[at] for c in ("ts", "pos", self.z, self.spread, *self.carry)}
+        head = {"entry": np.repeat(entries, counts), "exit": np.repeat(exits, counts)}
+        named = {"ts": picked.pop("ts"), "pos": picked.pop("pos")}
+        named |= {"z_score": picked.pop(self.z), "spread": picked.pop(self.spread)}
+        return head | named, picked
+
+    def _events(self, rows, walks):
+        events = [e for walk in walks for e in walk]
+        at = np.array([e[0] for e in events], dtype=np.int64)
+        head, carried = self._columns(rows, at, [len(w) for w in walks])
+        own = {
+            "side": np.array([e[1] for e in events], dtype=np.int32),
+            "is_exit": np.array([e[2] for e in events], dtype=bool),
+            "points": np.array([e[3] for e in events], dtype=float),
+        }
+        return pd.DataFrame(head | own | carried)
+
+    def _bars(self, rows, walks, state):
+        n = len(rows)
+        head, carried = self._columns(rows, np.tile(np.arange(n), len(walks)), [n] * len(walks))
+        held, points = np.full((len(walks), n), np.nan), np.zeros((len(walks), n))
+        for i, events in enumerate(walks):
+            held[i, 0] = state[2 * i]
+            for at, side, is_exit, gain in events:
+                held[i, at] = 0 if is_exit else side
+                points[i, at] += gain
+        own = {
+            "position": pd.Series(held.ravel()).ffill().to_numpy().astype(np.int32),
+            "points": points.ravel(),
+        }
+        return pd.DataFrame(head | own | carried)
 
 
 def positions(

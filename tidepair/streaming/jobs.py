@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepair.operators.clean import valid_price
+from tidepair.operators.ordered import order_key
 from tidepair.operators.pairs import PAIR
 from tidepair.operators.signals import STRATEGY_SIGNALS, allowed
 from tidepair.session import scratch_path, use_utc
@@ -34,8 +35,8 @@ def valid_ticks(ticks: DataFrame, instruments: DataFrame) -> DataFrame:
 def latest_prices(ticks: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Latest valid price per instrument; partial aggregates keep a hot instrument cheap."""
     return ticks.groupBy("key").agg(
-        F.max_by(F.struct("price", "ts"), F.struct(*order)).alias("_r")
-    ).select("key", "_r.price", "_r.ts")
+        F.max_by("price", order_key(order)).alias("price"), F.max("ts").alias("ts")
+    )
 
 
 def resample(
@@ -45,7 +46,7 @@ def resample(
     return (
         ticks.withWatermark("ts", delay)
         .groupBy(F.window("ts", width).alias("_w"), "symbol")
-        .agg(F.max_by(price, F.struct(*order)).alias("close"))
+        .agg(F.max_by(price, order_key(order)).alias("close"))
         .select("symbol", F.col("_w.start").alias("ts"), "close")
     )
 
@@ -58,7 +59,7 @@ def pair_updates(
     A tick is handed to the pairs it belongs to and merged on the map side, so the state step
     behind sees one row per pair and bucket, however busy a symbol is.
     """
-    at = F.struct(*order)
+    at = order_key(order)
     legs = pairs.select(*PAIR, F.col("leg_1").alias("symbol"), F.lit(1).alias("leg")).unionByName(
         pairs.select(*PAIR, F.col("leg_2").alias("symbol"), F.lit(2).alias("leg"))
     )

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.align import ohlc_bars
 from tidepair.operators.kalman import kalman, kalman_library
-from tidepair.operators.ordered import DAY, with_position, with_running_sum
+from tidepair.operators.ordered import DAY, MONTH, with_position, with_running_sum
 from tidepair.operators.pairs import PAIR, hedge_stats, pair_bars, pair_moments
 from tidepair.operators.windows import rolling_z
 from tidepair.session import scratch_path, use_utc
 from tidepair.sources.bars import read_library, save_bars
 
-# Charts of a month in these chunks exercise the carry between chunks at every scale.
-WEEK = 7 * DAY
+# A month of data meets two of these chunks, so the carry between chunks is at work.
+CHUNK_SECONDS = MONTH
 
 _tables: dict[tuple, str] = {}
 
@@ -59,7 +59,7 @@ def bars_path(spark: SparkSession, sf_dir: str, minutes: int) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, f"bars{minutes}")
     if key not in _tables:
         path = scratch_path(spark, f"bars{minutes}")
-        save_bars(ohlc_bars(ticks(spark, sf_dir), f"{minutes} minutes", order=("ts", "event_id")), path)
+        save_bars(ohlc_bars(ticks(spark, sf_dir), f"{minutes} minutes"), path)
         _tables[key] = path
     return _tables[key]
 
@@ -73,7 +73,7 @@ def closes(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
-    return hedge_stats(pair_moments(closes(spark, sf_dir, minutes), seconds=WEEK))
+    return hedge_stats(pair_moments(closes(spark, sf_dir, minutes), seconds=CHUNK_SECONDS))
 
 
 def pairs(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
@@ -81,7 +81,7 @@ def pairs(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 
     def build():
         chosen = stats(spark, sf_dir, minutes).select(*PAIR, "n", "alpha", "beta")
-        return with_position(pair_bars(closes(spark, sf_dir, minutes), chosen), PAIR, ["ts"], "pos", WEEK)
+        return with_position(pair_bars(closes(spark, sf_dir, minutes), chosen), PAIR, ["ts"], "pos", CHUNK_SECONDS)
 
     return _stored(spark, sf_dir, f"pairs{minutes}", build)
 
@@ -89,14 +89,14 @@ def pairs(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 def filtered(spark: SparkSession, sf_dir: str, minutes: int = 60, delta: float = 1e-5) -> DataFrame:
     rows = pairs(spark, sf_dir, minutes).drop("n", "alpha", "beta")
     return _stored(
-        spark, sf_dir, f"kalman{minutes}-{delta}", lambda: kalman(rows, deltas=[delta], seconds=WEEK)
+        spark, sf_dir, f"kalman{minutes}-{delta}", lambda: kalman(rows, deltas=[delta], seconds=CHUNK_SECONDS)
     )
 
 
 def filtered_library(spark: SparkSession, sf_dir: str, minutes: int = 60, delta: float = 1e-5) -> DataFrame:
     rows = pairs(spark, sf_dir, minutes).drop("n", "alpha", "beta")
     return _stored(
-        spark, sf_dir, f"kalmanlib{minutes}-{delta}", lambda: kalman_library(rows, deltas=[delta], seconds=WEEK)
+        spark, sf_dir, f"kalmanlib{minutes}-{delta}", lambda: kalman_library(rows, deltas=[delta], seconds=CHUNK_SECONDS)
     )
 
 

@@ -26,7 +26,7 @@ from tidepair.suite.sql import over_bars, over_pairs, r
 def resample_last(spark, sf_dir):
     ticks = data.ticks(spark, sf_dir)
     parts = [
-        align.resample_last(ticks, width, "price", ("ts", "event_id")).withColumn("width", F.lit(width))
+        align.resample_last(ticks, width, "price").withColumn("width", F.lit(width))
         for width in ("5 minutes", "15 minutes", "60 minutes")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -35,7 +35,7 @@ def resample_last(spark, sf_dir):
 @query("align_inner_pair", over_pairs("SELECT leg_1, leg_2, ts, y, x FROM pairs QUALIFY count(*) OVER (PARTITION BY leg_1, leg_2) >= 640"))
 def align_inner_pair(spark, sf_dir):
     closes = data.closes(spark, sf_dir)
-    chosen = pairs.list_pairs(closes, min_rows=640, seconds=data.WEEK).select(*PAIR)
+    chosen = pairs.list_pairs(closes, min_rows=640, seconds=data.CHUNK_SECONDS).select(*PAIR)
     return pairs.pair_bars(closes, chosen)
 
 
@@ -73,7 +73,7 @@ ready AS (SELECT max(t) AS t FROM (SELECT min(ts) AS t FROM bars GROUP BY symbol
     over_bars("SELECT symbol, ts, close FROM filled WHERE ts >= (SELECT t FROM ready)", 15, _FFILL),
 )
 def align_outer_ffill(spark, sf_dir):
-    return align.align_outer_ffill(data.closes(spark, sf_dir, 15), seconds=data.WEEK)
+    return align.align_outer_ffill(data.closes(spark, sf_dir, 15), seconds=data.CHUNK_SECONDS)
 
 
 @query(
@@ -90,7 +90,7 @@ def readiness_gate(spark, sf_dir):
 
 @query("pair_self_join", over_pairs("SELECT leg_1, leg_2, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30", 15))
 def pair_self_join(spark, sf_dir):
-    return pairs.list_pairs(data.closes(spark, sf_dir, 15), min_rows=30, seconds=data.WEEK)
+    return pairs.list_pairs(data.closes(spark, sf_dir, 15), min_rows=30, seconds=data.CHUNK_SECONDS)
 
 
 @query(
@@ -101,7 +101,7 @@ def pair_self_join(spark, sf_dir):
     ),
 )
 def pair_both_directions(spark, sf_dir):
-    both = pairs.both_directions(pairs.pair_moments(data.closes(spark, sf_dir), seconds=data.WEEK))
+    both = pairs.both_directions(pairs.pair_moments(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS))
     lines = pairs.hedge_stats(both).select(
         F.concat_ws("-", *PAIR).alias("pair"), "n", F.col("beta").alias("hedge_ratio")
     )
@@ -127,7 +127,7 @@ def asof_lookup(spark, sf_dir):
 )
 def asof_join(spark, sf_dir):
     probes = data.events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts")
-    return align.asof_join(data.closes(spark, sf_dir), probes, seconds=data.WEEK)
+    return align.asof_join(data.closes(spark, sf_dir), probes, seconds=data.CHUNK_SECONDS)
 
 
 @query(
@@ -162,7 +162,7 @@ _GRID = "(VALUES (1e-6), (5e-6), (1e-5)) d(delta), (VALUES (4.5), (5.5), (6.5))
     ),
 )
 def param_grid(spark, sf_dir):
-    known = pairs.list_pairs(data.closes(spark, sf_dir), seconds=data.WEEK).select(*PAIR)
+    known = pairs.list_pairs(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS).select(*PAIR)
     return pnl.with_grid(known, delta=[1e-6, 5e-6, 1e-5], entry=[4.5, 5.5, 6.5], exit=[0.0, 0.5, 1.0])
 
 

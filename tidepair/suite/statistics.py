@@ -35,8 +35,8 @@ _RETURNS = """rets AS MATERIALIZED (SELECT * FROM (SELECT symbol, ts, close / la
     ),
 )
 def corr_matrix(spark, sf_dir):
-    returns = discovery.universe_returns(data.closes(spark, sf_dir), seconds=data.WEEK)
-    return rounded(pairs.correlation_matrix(returns, "ret", seconds=data.WEEK), "corr")
+    returns = discovery.universe_returns(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS)
+    return rounded(pairs.correlation_matrix(returns, "ret", seconds=data.CHUNK_SECONDS), "corr")
 
 
 @query(
@@ -121,7 +121,7 @@ def spread_vol_pct(spark, sf_dir):
 def pair_scan(spark, sf_dir):
     """Flagship. Row and p-value gates fit the synthetic series, which are random walks."""
     return discovery.pair_scan(
-        data.closes(spark, sf_dir), min_rows=30, max_p=1.01, half_life_range=(0.0, 1e6), seconds=data.WEEK
+        data.closes(spark, sf_dir), min_rows=30, max_p=1.01, half_life_range=(0.0, 1e6), seconds=data.CHUNK_SECONDS
     )
 
 
@@ -133,20 +133,20 @@ _LINES = f"""SELECT leg_1 AS "Leg_1", leg_2 AS "Leg_2", round(corr, 3) AS "Corre
 def pair_scan_lines(spark, sf_dir):
     """The flagship's columns that SQL can express."""
     scanned = discovery.pair_scan(
-        data.closes(spark, sf_dir), min_rows=30, max_p=1.01, half_life_range=(0.0, 1e6), seconds=data.WEEK
+        data.closes(spark, sf_dir), min_rows=30, max_p=1.01, half_life_range=(0.0, 1e6), seconds=data.CHUNK_SECONDS
     )
     return scanned.drop("Coint_Pvalue")
 
 
 @query("vol_scan")
 def vol_scan(spark, sf_dir):
-    found = discovery.vol_scan(data.closes(spark, sf_dir), max_p=1.0, k=10, seconds=data.WEEK)
+    found = discovery.vol_scan(data.closes(spark, sf_dir), max_p=1.0, k=10, seconds=data.CHUNK_SECONDS)
     return rounded(found, "Corr", "P_Value", "Vol_Pct")
 
 
 @query("stationary_scan")
 def stationary_scan(spark, sf_dir):
-    found = discovery.stationary_scan(data.closes(spark, sf_dir), seconds=data.WEEK)
+    found = discovery.stationary_scan(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS)
     return rounded(found, "Hedge_Ratio", "P_Value")
 
 
@@ -229,7 +229,7 @@ def gap_alert(spark, sf_dir):
     ),
 )
 def pct_change(spark, sf_dir):
-    return rounded(windows.pct_change(data.closes(spark, sf_dir, 15), seconds=data.WEEK), "ret", digits=9)
+    return rounded(windows.pct_change(data.closes(spark, sf_dir, 15), seconds=data.CHUNK_SECONDS), "ret", digits=9)
 
 
 @query(
@@ -275,7 +275,7 @@ def demean(spark, sf_dir):
 @query("row_position", over_bars("SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM bars", 15))
 def row_position(spark, sf_dir):
     series = data.closes(spark, sf_dir, 15).select("symbol", "ts")
-    return with_position(series, ["symbol"], ["ts"], "pos", data.WEEK)
+    return with_position(series, ["symbol"], ["ts"], "pos", data.CHUNK_SECONDS)
 
 
 # ---- order and rankings ----------------------------------------------------------------------
@@ -293,7 +293,7 @@ def sort_ts(spark, sf_dir):
     ),
 )
 def tail_n(spark, sf_dir):
-    return windows.tail_n(data.closes(spark, sf_dir, 15), 500, seconds=data.WEEK)
+    return windows.tail_n(data.closes(spark, sf_dir, 15), 500, seconds=data.CHUNK_SECONDS)
 
 
 @query(
@@ -301,7 +301,7 @@ def tail_n(spark, sf_dir):
     over_bars("SELECT symbol, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) <= 5", 15),
 )
 def head_n(spark, sf_dir):
-    return windows.head_n(data.closes(spark, sf_dir, 15), 5, seconds=data.WEEK)
+    return windows.head_n(data.closes(spark, sf_dir, 15), 5, seconds=data.CHUNK_SECONDS)
 
 
 @query(

@@ -14,7 +14,8 @@ from tidepair.suite.registry import query, rounded
 from tidepair.suite.scans import INSTRUMENTS_SQL, RAW_TICKS_SQL, instruments, raw_ticks
 from tidepair.suite.sql import r
 
-ORDER = ("ts", "event_id")
+# No two events share a timestamp.
+ORDER = ("ts",)
 WIDTH, DELAY = "60 minutes", "10 minutes"
 
 
