@@ -30,6 +30,15 @@ def add_chunk(df: DataFrame, ts: str = "ts", seconds: int = MONTH) -> DataFrame:
     return df.withColumn(CHUNK, chunk_of(ts, seconds))
 
 
+def spread_out(df: DataFrame, *cols: str) -> DataFrame:
+    """Partition by ``cols`` into the session's full number of shuffle partitions.
+
+    Adaptive execution merges partitions by bytes, which would fold groups that are small but
+    slow to compute into a few tasks; a given number is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def order_key(order: Sequence[str]) -> Column:
     """What ``max_by`` and ``min_by`` order by. One plain column keeps the aggregate hash-based;
     a struct, needed for tie-breakers, makes Spark sort each partition first."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepair.operators.ordered import CHUNK, MONTH, add_chunk
+from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, spread_out
 
 PAIR = ["leg_1", "leg_2"]
 SYMBOLS_PER_BLOCK = 256
@@ -93,7 +93,7 @@ def pair_moments(
         .withColumn("_b2", F.greatest("_home", "_other"))
         .drop("_other")
     )
-    cells = rows.groupBy(CHUNK, "_b1", "_b2").applyInPandas(_cell_moments, _MOMENTS)
+    cells = spread_out(rows, CHUNK, "_b1", "_b2").groupBy(CHUNK, "_b1", "_b2").applyInPandas(_cell_moments, _MOMENTS)
     sums = cells.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ["n", "sy", "sx", "syy", "sxx", "sxy"]])
     means = centre.select("symbol", F.col("_mean"))
     return (

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepair.functions.grouped import put_keys
-from tidepair.operators.ordered import CHUNK, MONTH, add_chunk
+from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, spread_out
 
 
 class ChunkScan(ABC):
@@ -89,7 +89,7 @@ def run_scan(
         *keys, CHUNK, F.col("after").isNull().alias("_first")
     )
     summaries = (
-        rows.join(followed, [*keys, CHUNK])
+        spread_out(rows.join(followed, [*keys, CHUNK]), *keys, CHUNK)
         .groupBy(*keys, CHUNK)
         .applyInPandas(reduce_chunk, f"{kinds}, chunk bigint, summary array<double>")
     )
@@ -101,7 +101,8 @@ def run_scan(
         .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(CHUNK).alias("_into"), "state")
     )
     return (
-        rows.groupBy(*keys, CHUNK)
+        spread_out(rows, *keys, CHUNK)
+        .groupBy(*keys, CHUNK)
         .cogroup(entries.groupBy(*[f"_{k}" for k in keys], "_into"))
         .applyInPandas(replay, f"{kinds}, {scan.schema}")
     )

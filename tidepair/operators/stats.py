@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepair.functions import unit_root
 from tidepair.functions.grouped import put_keys
-from tidepair.operators.ordered import BLOCK, BLOCK_ROWS, add_blocks
+from tidepair.operators.ordered import BLOCK, BLOCK_ROWS, add_blocks, spread_out
 from tidepair.operators.pairs import PAIR
 
 _TINY_RSS = 1.0 - 100.0 * float(np.sqrt(np.finfo(float).eps))
@@ -139,7 +139,7 @@ def adf(
 
         return run
 
-    reduced = blocked.groupBy(*keys, BLOCK).applyInPandas(
+    reduced = spread_out(blocked, *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(
         keyed(reduce_block), f"{kinds}, block bigint, n bigint, top int, tri array<double>, head array<double>"
     )
     return reduced.groupBy(*keys).applyInPandas(

@@ -100,13 +100,12 @@ def latest_row(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.max_by(F.struct(*df.columns), F.col(ts)).alias("_row")).select("_row.*")
 
 
-def save_bars(df: DataFrame, path: str, seconds: int = 365 * DAY) -> bool:
-    """Overwrite the symbols present in ``df``; other symbols stay. Empty input is a no-op.
+def save_bars(df: DataFrame, path: str, seconds: int = 365 * DAY) -> None:
+    """Overwrite the symbols present in ``df``; other symbols stay, so empty input changes
+    nothing (and is not looked for, which would compute ``df`` twice).
 
     Rows are spread by (symbol, year) so a hot symbol becomes several files, each sorted by time.
     """
-    if df.isEmpty():
-        return False
     columns = set(df.columns)
     if "ts" not in columns:
         df = df.withColumnRenamed("date" if "date" in columns else "timestamp", "ts")
@@ -120,7 +119,6 @@ def save_bars(df: DataFrame, path: str, seconds: int = 365 * DAY) -> bool:
         .partitionBy("symbol")
         .parquet(path)
     )
-    return True
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

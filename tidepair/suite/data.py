@@ -73,7 +73,9 @@ def closes(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
-    return hedge_stats(pair_moments(closes(spark, sf_dir, minutes), seconds=CHUNK_SECONDS))
+    """Published statistics of all pairs, one small row each."""
+    build = lambda: hedge_stats(pair_moments(closes(spark, sf_dir, minutes), seconds=CHUNK_SECONDS))
+    return _stored(spark, sf_dir, f"stats{minutes}", build)
 
 
 def pairs(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:

@@ -120,6 +120,65 @@ def positions(
         AND n.entry = k.entry AND n.exit = k.exit AND n.pos = k.pos + 1)))"""
 
 
+MAX_LAGS = 20  # enough for series of up to 771 rows
+
+
+def _schur(name: str, rows: str, size: int) -> str:
+    """Gram matrix of the columns of ``rows`` (keys, pos, i, v), then elimination column by
+    column: at level k entry (size, size) is the squared residual on the first k columns."""
+    return f"""{name} AS (
+  SELECT 0 AS k, a.leg_1, a.leg_2, a.i, b.i AS j, sum(a.v * b.v) AS v FROM {rows} a JOIN {rows} b USING (leg_1, leg_2, pos) GROUP BY ALL
+  UNION ALL
+  SELECT a.k + 1, a.leg_1, a.leg_2, a.i, a.j, a.v - coalesce(b.v * c.v / nullif(p.v, 0), 0)
+  FROM {name} a JOIN {name} b ON b.leg_1 = a.leg_1 AND b.leg_2 = a.leg_2 AND b.i = a.i AND b.j = a.k + 1
+    JOIN {name} c ON c.leg_1 = a.leg_1 AND c.leg_2 = a.leg_2 AND c.j = a.j AND c.i = a.k + 1
+    JOIN {name} p ON p.leg_1 = a.leg_1 AND p.leg_2 = a.leg_2 AND p.i = a.k + 1 AND p.j = a.k + 1
+  WHERE a.i > a.k + 1 AND a.j > a.k + 1 AND a.k < {size - 1})"""
+
+
+def adf(source: str, constant: bool, name: str = "adf") -> str:
+    """Augmented Dickey-Fuller test of ``spread``: lag by AIC on the common sample, then the level's
+    t-statistic on the chosen lag's own sample."""
+    base = 2 if constant else 1
+    one = "1.0::DOUBLE, " if constant else ""
+    size = base + MAX_LAGS + 1
+    lags = range(1, MAX_LAGS + 1)
+    lagged = ", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in lags)
+    used = lambda limit: ", ".join(f"CASE WHEN {k} <= {limit} THEN d{k} ELSE 0.0 END" for k in lags)
+    return f"""{name}_d AS MATERIALIZED (SELECT *, {lagged},
+    least(CAST(ceil(12 * pow(n / 100.0::DOUBLE, 0.25)) AS BIGINT), n // 2 - {base}) AS top
+  FROM (SELECT *, count(*) OVER (PARTITION BY leg_1, leg_2) AS n, lag(spread) OVER v AS level, spread - lag(spread) OVER v AS d
+    FROM {source} WINDOW v AS (PARTITION BY leg_1, leg_2 ORDER BY pos)) WINDOW w AS (PARTITION BY leg_1, leg_2 ORDER BY pos)),
+{name}_x AS MATERIALIZED (SELECT leg_1, leg_2, pos, unnest(x) AS v, generate_subscripts(x, 1) AS i
+  FROM (SELECT leg_1, leg_2, pos, [{one}level, {used('top')}, d] AS x FROM {name}_d WHERE pos >= top + 2)),
+{_schur(f'{name}_s', f'{name}_x', size)},
+{name}_lag AS MATERIALIZED (SELECT leg_1, leg_2, n, arg_min(lag, (aic, lag)) AS used FROM (
+    SELECT s.leg_1, s.leg_2, n, k - {base} AS lag, (n - 1 - top) * (ln(2 * pi() * s.v / (n - 1 - top)) + 1) + 2 * k AS aic
+    FROM {name}_s s JOIN (SELECT DISTINCT leg_1, leg_2, n, top FROM {name}_d) USING (leg_1, leg_2)
+    WHERE s.i = {size} AND s.j = {size} AND k >= {base} AND k - {base} <= top) GROUP BY ALL),
+{name}_y AS MATERIALIZED (SELECT leg_1, leg_2, pos, unnest(x) AS v, generate_subscripts(x, 1) AS i
+  FROM (SELECT leg_1, leg_2, pos, [{one}{used('used')}, level, d] AS x FROM {name}_d JOIN {name}_lag USING (leg_1, leg_2) WHERE pos >= used + 2)),
+{_schur(f'{name}_t', f'{name}_y', size)},
+{name} AS MATERIALIZED (SELECT leg_1, leg_2, used AS used_lag, n - 1 - used AS n_obs,
+    ly / ll / sqrt((yy - ly * ly / ll) / (n - 1 - used - {base} - used) / ll) AS stat
+  FROM (SELECT leg_1, leg_2, max(CASE WHEN i = {size - 1} AND j = {size - 1} THEN v END) AS ll,
+      max(CASE WHEN i = {size - 1} AND j = {size} THEN v END) AS ly, max(CASE WHEN i = {size} AND j = {size} THEN v END) AS yy
+    FROM {name}_t WHERE k = {size - 2} GROUP BY ALL) JOIN {name}_lag USING (leg_1, leg_2))"""
+
+
+def p_value(stat: str, n_vars: int) -> str:
+    """Response surface of the statistic, through the normal distribution function's series."""
+    from tidepair.functions.unit_root import RESPONSE_SURFACE
+
+    switch, low, high, below, above = RESPONSE_SURFACE[n_vars]
+    poly = lambda c: " + ".join(f"{v!r}::DOUBLE * pow({stat}, {k})" for k, v in enumerate(c))
+    z = f"(CASE WHEN {stat} <= {switch} THEN {poly(below)} ELSE {poly(above)} END)"
+    # Phi(z) = 1/2 + phi(z) * sum of z^(2k+1) / (2k+1)!!
+    terms = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(abs({z}) + 1e-300) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2)))"
+    phi = f"(0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {terms})"
+    return f"(CASE WHEN {stat} > {high} THEN 1.0 WHEN {stat} < {low} THEN 0.0 ELSE {phi} END)"
+
+
 def query(*ctes: str, body: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
 

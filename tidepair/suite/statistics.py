@@ -89,14 +89,35 @@ def adf_lag0(spark, sf_dir):
     return rounded(stats.dickey_fuller_lag0(spreads), "slope", "adf_stat")
 
 
-@query("adf_test")
+_ADF_BODY = f"""SELECT leg_1, leg_2, {r('stat')} AS adf_stat, {r('p')} AS p_value, used_lag::INTEGER AS used_lag, n_obs, p < 0.05 AS stationary
+  FROM (SELECT *, {sql.p_value('stat', 1)} AS p FROM adf)"""
+
+
+@query("adf_test", over_pairs(_ADF_BODY, 60, sql.STATS, sql.RESIDUALS, sql.adf("resid", True), recursive=True))
 def adf_test(spark, sf_dir):
     spreads = discovery.residuals_of(data.pairs(spark, sf_dir))
     tested = stats.adf(spreads).withColumn("stationary", F.col("p_value") < 0.05)
     return rounded(tested, "adf_stat", "p_value")
 
 
-@query("coint_test")
+COINT_CTES = [
+    sql.STATS,
+    sql.RESIDUALS,
+    sql.adf("resid", False),
+    f"coint AS MATERIALIZED (SELECT leg_1, leg_2, stat, used_lag, {sql.p_value('stat', 2)} AS p FROM adf)",
+]
+
+
+@query(
+    "coint_test",
+    over_pairs(
+        f"""SELECT leg_1, leg_2, n, {r('corr')} AS corr, {r('stat')} AS coint_stat, {r('p')} AS p_value, used_lag::INTEGER AS used_lag
+        FROM stats JOIN coint USING (leg_1, leg_2)""",
+        60,
+        *COINT_CTES,
+        recursive=True,
+    ),
+)
 def coint_test(spark, sf_dir):
     spreads = discovery.residuals_of(data.pairs(spark, sf_dir))
     tested = stats.coint(spreads, data.stats(spark, sf_dir).select(*PAIR, "n", "corr"))
@@ -117,7 +138,12 @@ def spread_vol_pct(spark, sf_dir):
     return rounded(data.stats(spark, sf_dir, 15).select(*PAIR, "vol_pct"), "vol_pct")
 
 
-@query("pair_scan")
+_SCAN_BODY = """SELECT leg_1 AS "Leg_1", leg_2 AS "Leg_2", round(corr, 3) AS "Correlation", round(p, 5) AS "Coint_Pvalue",
+  round(half_life, 1) AS "Half_Life_Bars", round(beta, 3) AS "Hedge_Ratio"
+  FROM stats JOIN hl USING (leg_1, leg_2) JOIN coint USING (leg_1, leg_2) WHERE n >= 30 AND corr >= 0.8"""
+
+
+@query("pair_scan", over_pairs(_SCAN_BODY, 60, *COINT_CTES, _POINTS, _HALF_LIFE, recursive=True))
 def pair_scan(spark, sf_dir):
     """Flagship. Row and p-value gates fit the synthetic series, which are random walks."""
     return discovery.pair_scan(
@@ -125,26 +151,44 @@ def pair_scan(spark, sf_dir):
     )
 
 
-_LINES = f"""SELECT leg_1 AS "Leg_1", leg_2 AS "Leg_2", round(corr, 3) AS "Correlation", round(half_life, 1) AS "Half_Life_Bars",
-  round(beta, 3) AS "Hedge_Ratio" FROM stats JOIN hl USING (leg_1, leg_2) WHERE n >= 30 AND corr >= 0.8"""
+# Pairs over the timestamps that all symbols share.
+_SHARED = [
+    sql.TICKS,
+    sql.bars(60).replace("bars AS", "all_bars AS"),
+    "bars AS MATERIALIZED (SELECT symbol, ts, close FROM all_bars WHERE ts IN (SELECT ts FROM all_bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM all_bars)))",
+]
 
 
-@query("pair_scan_lines", over_pairs(_LINES, 60, sql.STATS, sql.RESIDUALS, _POINTS, _HALF_LIFE))
-def pair_scan_lines(spark, sf_dir):
-    """The flagship's columns that SQL can express."""
-    scanned = discovery.pair_scan(
-        data.closes(spark, sf_dir), min_rows=30, max_p=1.01, half_life_range=(0.0, 1e6), seconds=data.CHUNK_SECONDS
-    )
-    return scanned.drop("Coint_Pvalue")
-
-
-@query("vol_scan")
+@query(
+    "vol_scan",
+    sql.query(
+        *_SHARED,
+        sql.PAIRS,
+        *COINT_CTES,
+        body=f"""SELECT leg_1 AS "Leg1", leg_2 AS "Leg2", {r('corr')} AS "Corr", {r('p')} AS "P_Value", {r('vol')} AS "Vol_Pct"
+        FROM stats JOIN coint USING (leg_1, leg_2) JOIN (SELECT leg_1, leg_2, stddev_samp(spread) / avg(y) AS vol FROM resid GROUP BY ALL) USING (leg_1, leg_2)
+        WHERE corr >= 0.8 ORDER BY vol DESC LIMIT 10""",
+        recursive=True,
+    ),
+)
 def vol_scan(spark, sf_dir):
     found = discovery.vol_scan(data.closes(spark, sf_dir), max_p=1.0, k=10, seconds=data.CHUNK_SECONDS)
     return rounded(found, "Corr", "P_Value", "Vol_Pct")
 
 
-@query("stationary_scan")
+@query(
+    "stationary_scan",
+    sql.query(
+        *_SHARED,
+        sql.PAIRS.replace("a.symbol < b.symbol", "a.symbol <> b.symbol"),
+        sql.STATS,
+        sql.RESIDUALS,
+        sql.adf("resid", True),
+        body=f"""SELECT leg_1 || '-' || leg_2 AS "Pair", {r('beta')} AS "Hedge_Ratio", {r('p')} AS "P_Value", p < 0.05 AS "Stationary"
+        FROM (SELECT *, {sql.p_value('stat', 1)} AS p FROM adf) JOIN stats USING (leg_1, leg_2)""",
+        recursive=True,
+    ),
+)
 def stationary_scan(spark, sf_dir):
     found = discovery.stationary_scan(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS)
     return rounded(found, "Hedge_Ratio", "P_Value")
