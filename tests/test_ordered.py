@@ -90,3 +90,24 @@ def test_drawdown(spark, series, seconds):
 def test_halo_must_fit_a_block(spark, series):
     with pytest.raises(ValueError):
         ordered.add_blocks(from_pandas(spark, series), "pos", 10, 10)
+
+
+def test_fitted_chunks_split_a_hot_bucket(spark):
+    rng = np.random.default_rng(12)
+    # A third of all rows of the symbol fall into one minute; one timestamp is heavily repeated.
+    burst = pd.Timestamp("2024-01-03 10:00") + pd.to_timedelta(np.sort(rng.integers(0, 60_000_000, 3000)), unit="us")
+    wide = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 9 * 86_400_000_000, 6000)), unit="us")
+    stamps = burst.append(wide).append(pd.DatetimeIndex([burst[0]] * 50)).astype("datetime64[us]")
+    pdf = pd.DataFrame({"symbol": "hot", "ts": stamps})
+    pdf["v"] = rng.integers(-5, 9, len(pdf))
+    pdf = pdf.sort_values("ts", ignore_index=True)
+    pdf["id"] = np.arange(len(pdf))
+    chunked = ordered.fit_chunks(from_pandas(spark, pdf), ["symbol"], "ts", 86_400, max_rows=500)
+    sizes = chunked.groupBy(ordered.CHUNK).count().toPandas()["count"]
+    assert sizes.sum() == len(pdf) and sizes.max() < 500
+    got = ordered.with_running_sum(chunked, ["symbol"], ["ts", "id"], {"total": "v"}).toPandas()
+    got = got.sort_values("id", ignore_index=True)
+    assert list(got["total"]) == list(pdf["v"].cumsum())
+    spread = chunked.groupBy(ordered.CHUNK).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).toPandas()
+    spread = spread.sort_values(ordered.CHUNK)
+    assert (spread["hi"].iloc[:-1].to_numpy() < spread["lo"].iloc[1:].to_numpy()).all()

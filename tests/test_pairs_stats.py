@@ -24,9 +24,9 @@ def universe():
     return pd.concat(parts, ignore_index=True)
 
 
-@pytest.mark.parametrize("n_blocks,seconds", [(1, 10**9), (3, 86_400), (5, 7 * 3600)])
-def test_pair_moments(spark, universe, n_blocks, seconds):
-    moments = pairs.pair_moments(from_pandas(spark, universe), n_blocks=n_blocks, seconds=seconds)
+@pytest.mark.parametrize("n_blocks,n_slabs", [(None, None), (1, 4), (3, 1), (5, 7)])
+def test_pair_moments(spark, universe, n_blocks, n_slabs):
+    moments = pairs.pair_moments(from_pandas(spark, universe), n_blocks=n_blocks, n_slabs=n_slabs)
     got = pairs.hedge_stats(moments).toPandas().set_index(["leg_1", "leg_2"])
     wide = universe.pivot(index="ts", columns="symbol", values="close")
     names = sorted(wide.columns)

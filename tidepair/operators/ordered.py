@@ -27,7 +27,33 @@ def chunk_of(ts: str | Column, seconds: int) -> Column:
 
 
 def add_chunk(df: DataFrame, ts: str = "ts", seconds: int = MONTH) -> DataFrame:
-    return df.withColumn(CHUNK, chunk_of(ts, seconds))
+    """Number the time chunks, unless the caller has done so (see ``fit_chunks``)."""
+    return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_of(ts, seconds))
+
+
+def fit_chunks(
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", seconds: int = DAY, max_rows: int = 1_000_000
+) -> DataFrame:
+    """Number time chunks of at most about ``max_rows`` rows, for raw data of uneven density.
+
+    A chunk that is too full is cut at quantiles of its timestamps, up to 256 parts. Counts and
+    quantiles are sketches that merge on the map side; rows of one timestamp stay together.
+    Operators that find the chunks numbered use them and keep the column.
+    """
+    parts = 256
+    coarse = df.withColumn("_wide", chunk_of(ts, seconds))
+    at = F.unix_micros(ts)
+    cuts = F.percentile_approx(at, [i / parts for i in range(1, parts)], F.lit(10_000))
+    full = (
+        coarse.groupBy(*keys, "_wide")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > max_rows)
+        .drop("_n")
+    )
+    bounds = coarse.join(full, [*keys, "_wide"], "left_semi").groupBy(*keys, "_wide").agg(cuts.alias("_cuts"))
+    inside = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < at)), F.lit(0))
+    numbered = coarse.join(bounds, [*keys, "_wide"], "left")
+    return numbered.select(*df.columns, (F.col("_wide") * parts + inside).alias(CHUNK))
 
 
 def spread_out(df: DataFrame, *cols: str) -> DataFrame:

@@ -7,24 +7,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, spread_out
+from tidepair.operators.ordered import spread_out
 
 PAIR = ["leg_1", "leg_2"]
 SYMBOLS_PER_BLOCK = 256
+TIMES_PER_SLAB = 4096
 
 _MOMENTS = "leg_1 string, leg_2 string, n bigint, sy double, sx double, syy double, sxx double, sxy double"
 
 
-def symbol_blocks(symbols: DataFrame, per_block: int = SYMBOLS_PER_BLOCK) -> Column:
-    """How many hash blocks keep about ``per_block`` symbols in each, counted inside the plan."""
-    n = symbols.agg(F.ceil(F.approx_count_distinct("symbol") / per_block).cast("int").alias("n"))
+def _shares(df: DataFrame, col: str, per_share: int) -> Column:
+    """How many hash shares keep about ``per_share`` distinct values each, counted in the plan."""
+    n = df.agg(F.ceil(F.approx_count_distinct(col) / per_share).cast("int").alias("n"))
     return F.greatest(n.scalar(), F.lit(1))
 
 
 def _cell_moments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairwise-complete sums for one (time chunk, symbol block x symbol block) cell."""
-    symbols, col = np.unique(pdf["symbol"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    times, row = np.unique(pdf["ts_us"].to_numpy(), return_inverse=True)
+    """Pairwise-complete sums for one (time slab, symbol block x symbol block) cell."""
+    col, symbols = pd.factorize(pdf["symbol"], sort=True)
+    symbols = np.asarray(symbols, dtype=object)
+    row, times = pd.factorize(pdf["ts_us"])
     dense = np.zeros((len(times), len(symbols)))
     seen = np.zeros_like(dense)
     dense[row, col] = pdf["v"].to_numpy()
@@ -59,14 +61,15 @@ def pair_moments(
     value: str = "close",
     min_rows: int = 1,
     n_blocks: int | None = None,
-    seconds: int = MONTH,
+    n_slabs: int | None = None,
 ) -> DataFrame:
     """Sums over the common timestamps of every unordered pair of symbols.
 
-    Expects one row per (symbol, ts). Rows of two symbols are never joined: the rows of a time
-    chunk go to one cell per pair of symbol blocks, and a cell returns one row of sums per pair
-    out of a matrix product. A cell holds at most the chunk's timestamps times two blocks of
-    symbols, however the rows are spread over symbols. Symbols with fewer than ``min_rows`` rows
+    Expects one row per (symbol, ts). Rows of two symbols are never joined: timestamps are hashed
+    into slabs and symbols into blocks, a slab's rows go to one cell per pair of blocks, and a
+    cell returns one row of sums per pair out of a matrix product. A cell holds about
+    ``TIMES_PER_SLAB`` timestamps of two blocks of symbols, however rows are spread over symbols
+    or over time. Symbols with fewer than ``min_rows`` rows
     cannot form a pair that long and are left out first. Values are taken relative to the
     symbol's mean so that the sums keep their digits.
     """
@@ -77,15 +80,15 @@ def pair_moments(
         .where(F.col("_n") >= min_rows)
         .drop("_n")
     )
-    blocks = symbol_blocks(centre) if n_blocks is None else F.lit(n_blocks)
+    blocks = _shares(centre, "symbol", SYMBOLS_PER_BLOCK) if n_blocks is None else F.lit(n_blocks)
+    slabs = _shares(valued, "ts", TIMES_PER_SLAB) if n_slabs is None else F.lit(n_slabs)
     rows = (
-        add_chunk(valued, "ts", seconds)
-        .join(centre, "symbol")
+        valued.join(centre, "symbol")
         .select(
             "symbol",
             F.unix_micros("ts").alias("ts_us"),
             (F.col("v") - F.col("_mean")).alias("v"),
-            CHUNK,
+            F.pmod(F.xxhash64("ts"), slabs).cast("int").alias("_slab"),
             F.pmod(F.xxhash64("symbol"), blocks).cast("int").alias("_home"),
         )
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -93,7 +96,7 @@ def pair_moments(
         .withColumn("_b2", F.greatest("_home", "_other"))
         .drop("_other")
     )
-    cells = spread_out(rows, CHUNK, "_b1", "_b2").groupBy(CHUNK, "_b1", "_b2").applyInPandas(_cell_moments, _MOMENTS)
+    cells = spread_out(rows, "_slab", "_b1", "_b2").groupBy("_slab", "_b1", "_b2").applyInPandas(_cell_moments, _MOMENTS)
     sums = cells.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ["n", "sy", "sx", "syy", "sxx", "sxy"]])
     means = centre.select("symbol", F.col("_mean"))
     return (
@@ -165,9 +168,9 @@ def hedge_stats(moments: DataFrame) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, value: str, seconds: int = MONTH) -> DataFrame:
+def correlation_matrix(df: DataFrame, value: str) -> DataFrame:
     """Long-form symmetric correlation matrix, diagonal included."""
-    pairs = hedge_stats(pair_moments(df, value, seconds=seconds)).select(*PAIR, "corr")
+    pairs = hedge_stats(pair_moments(df, value)).select(*PAIR, "corr")
     mirrored = pairs.select(F.col("leg_2").alias("leg_1"), F.col("leg_1").alias("leg_2"), "corr")
     own = df.where(F.col(value).isNotNull()).select("symbol").distinct()
     diagonal = own.select(F.col("symbol").alias("leg_1"), F.col("symbol").alias("leg_2"), F.lit(1.0).alias("corr"))

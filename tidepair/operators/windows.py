@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.ordered import (
     BLOCK_ROWS,
+    CHUNK,
     DAY,
     MONTH,
+    fit_chunks,
     with_neighbour,
     with_position,
     with_rolling,
@@ -18,10 +20,15 @@ from tidepair.operators.ordered import (
 
 
 def gap_delta(df: DataFrame, keys: Sequence[str] = ("symbol",), seconds: int = MONTH) -> DataFrame:
-    """Time since the previous bar of the symbol: ``prev_ts`` and ``gap_us``."""
-    times = df.select(*keys, "ts")
-    return with_neighbour(times, list(keys), ["ts"], {"prev_ts": "ts"}, seconds).withColumn(
-        "gap_us", F.unix_micros("ts") - F.unix_micros("prev_ts")
+    """Time since the previous distinct timestamp of the symbol: ``prev_ts`` and ``gap_us``.
+
+    Copies are merged before the shuffle, and a chunk that is still too full is cut.
+    """
+    times = fit_chunks(df.select(*keys, "ts").distinct(), list(keys), "ts", seconds)
+    return (
+        with_neighbour(times, list(keys), ["ts"], {"prev_ts": "ts"})
+        .drop(CHUNK)
+        .withColumn("gap_us", F.unix_micros("ts") - F.unix_micros("prev_ts"))
     )
 
 

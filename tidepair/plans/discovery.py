@@ -29,7 +29,7 @@ def candidates(closes: DataFrame, gate: Column, min_rows: int, seconds: int, ran
     All-pair statistics come from the block products; only passing pairs get rows. Both are
     written once because the tests below read them more than once.
     """
-    moments = pairs.pair_moments(closes, min_rows=min_rows, seconds=seconds)
+    moments = pairs.pair_moments(closes, min_rows=min_rows)
     if rank is not None:
         moments = pairs.orient(moments, rank)
     lines = stage(pairs.hedge_stats(moments).where(gate), "lines")
@@ -123,7 +123,7 @@ def stationary_scan(
 ) -> DataFrame:
     """Every pair in both directions over common timestamps, with the unit-root verdict."""
     shared = stage(align.align_inner_all(closes).select("symbol", "ts", "close"), "shared")
-    both = pairs.both_directions(pairs.pair_moments(shared, seconds=seconds))
+    both = pairs.both_directions(pairs.pair_moments(shared))
     lines = stage(pairs.hedge_stats(both), "lines")
     rows = pairs.pair_bars(shared, lines.select(*PAIR, "n", "alpha", "beta"))
     numbered = stage(residuals_of(with_position(rows, PAIR, ["ts"], "pos", seconds)), "residuals")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.align import ohlc_bars
 from tidepair.operators.kalman import kalman, kalman_library
-from tidepair.operators.ordered import DAY, MONTH, with_position, with_running_sum
+from tidepair.operators.ordered import DAY, MONTH, fit_chunks, with_position, with_running_sum
 from tidepair.operators.pairs import PAIR, hedge_stats, pair_bars, pair_moments
 from tidepair.operators.windows import rolling_z
 from tidepair.session import scratch_path, use_utc
@@ -34,7 +34,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = events(spark, sf_dir).select(
         F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", cents.alias("move")
     )
-    summed = with_running_sum(moves, ["symbol"], ["ts", "event_id"], {"sum": "move"}, DAY)
+    chunked = fit_chunks(moves, ["symbol"], "ts", DAY)
+    summed = with_running_sum(chunked, ["symbol"], ["ts", "event_id"], {"sum": "move"})
     return summed.select(
         "symbol", "ts", "event_id", "user_id", ((F.col("sum") + 100_000) / 100).alias("price")
     )
@@ -74,7 +75,7 @@ def closes(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 
 def stats(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
     """Published statistics of all pairs, one small row each."""
-    build = lambda: hedge_stats(pair_moments(closes(spark, sf_dir, minutes), seconds=CHUNK_SECONDS))
+    build = lambda: hedge_stats(pair_moments(closes(spark, sf_dir, minutes)))
     return _stored(spark, sf_dir, f"stats{minutes}", build)
 
 

@@ -35,7 +35,7 @@ def resample_last(spark, sf_dir):
 @query("align_inner_pair", over_pairs("SELECT leg_1, leg_2, ts, y, x FROM pairs QUALIFY count(*) OVER (PARTITION BY leg_1, leg_2) >= 640"))
 def align_inner_pair(spark, sf_dir):
     closes = data.closes(spark, sf_dir)
-    chosen = pairs.list_pairs(closes, min_rows=640, seconds=data.CHUNK_SECONDS).select(*PAIR)
+    chosen = pairs.list_pairs(closes, min_rows=640).select(*PAIR)
     return pairs.pair_bars(closes, chosen)
 
 
@@ -90,7 +90,7 @@ def readiness_gate(spark, sf_dir):
 
 @query("pair_self_join", over_pairs("SELECT leg_1, leg_2, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30", 15))
 def pair_self_join(spark, sf_dir):
-    return pairs.list_pairs(data.closes(spark, sf_dir, 15), min_rows=30, seconds=data.CHUNK_SECONDS)
+    return pairs.list_pairs(data.closes(spark, sf_dir, 15), min_rows=30)
 
 
 @query(
@@ -101,7 +101,7 @@ def pair_self_join(spark, sf_dir):
     ),
 )
 def pair_both_directions(spark, sf_dir):
-    both = pairs.both_directions(pairs.pair_moments(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS))
+    both = pairs.both_directions(pairs.pair_moments(data.closes(spark, sf_dir)))
     lines = pairs.hedge_stats(both).select(
         F.concat_ws("-", *PAIR).alias("pair"), "n", F.col("beta").alias("hedge_ratio")
     )
@@ -162,7 +162,7 @@ _GRID = "(VALUES (1e-6), (5e-6), (1e-5)) d(delta), (VALUES (4.5), (5.5), (6.5))
     ),
 )
 def param_grid(spark, sf_dir):
-    known = pairs.list_pairs(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS).select(*PAIR)
+    known = pairs.list_pairs(data.closes(spark, sf_dir)).select(*PAIR)
     return pnl.with_grid(known, delta=[1e-6, 5e-6, 1e-5], entry=[4.5, 5.5, 6.5], exit=[0.0, 0.5, 1.0])
 
 

@@ -36,7 +36,7 @@ _RETURNS = """rets AS MATERIALIZED (SELECT * FROM (SELECT symbol, ts, close / la
 )
 def corr_matrix(spark, sf_dir):
     returns = discovery.universe_returns(data.closes(spark, sf_dir), seconds=data.CHUNK_SECONDS)
-    return rounded(pairs.correlation_matrix(returns, "ret", seconds=data.CHUNK_SECONDS), "corr")
+    return rounded(pairs.correlation_matrix(returns, "ret"), "corr")
 
 
 @query(
