@@ -102,12 +102,18 @@ def test_fitted_chunks_split_a_hot_bucket(spark):
     pdf["v"] = rng.integers(-5, 9, len(pdf))
     pdf = pdf.sort_values("ts", ignore_index=True)
     pdf["id"] = np.arange(len(pdf))
-    chunked = ordered.fit_chunks(from_pandas(spark, pdf), ["symbol"], "ts", 86_400, max_rows=500)
-    sizes = chunked.groupBy(ordered.CHUNK).count().toPandas()["count"]
-    assert sizes.sum() == len(pdf) and sizes.max() < 500
-    got = ordered.with_running_sum(chunked, ["symbol"], ["ts", "id"], {"total": "v"}).toPandas()
-    got = got.sort_values("id", ignore_index=True)
-    assert list(got["total"]) == list(pdf["v"].cumsum())
-    spread = chunked.groupBy(ordered.CHUNK).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).toPandas()
-    spread = spread.sort_values(ordered.CHUNK)
-    assert (spread["hi"].iloc[:-1].to_numpy() < spread["lo"].iloc[1:].to_numpy()).all()
+    df = from_pandas(spark, pdf)
+    for rows, edges in ((df, None), (df.select("symbol", "ts", "id"), df)):
+        before = ordered.with_neighbour(
+            rows, ["symbol"], ["ts", "id"], {"b": "id"}, 86_400, max_rows=500, edges=edges
+        ).toPandas()
+        assert list(before.sort_values("id")["b"].iloc[1:]) == list(range(len(pdf) - 1))
+    got = ordered.with_running_sum(df, ["symbol"], ["ts", "id"], {"total": "v"}, 86_400, max_rows=500)
+    assert list(got.toPandas().sort_values("id")["total"]) == list(pdf["v"].cumsum())
+    chunked = ordered.add_chunk(df, "ts", 86_400)
+    full = chunked.groupBy("symbol", ordered.CHUNK).count().where("count > 500").drop("count")
+    cut = ordered.cut_chunks(chunked, ["symbol"], "ts", ordered.chunk_cuts(chunked, ["symbol"], "ts", full))
+    parts = cut.groupBy(ordered.CHUNK).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("ts").alias("n"))
+    parts = parts.toPandas().sort_values(ordered.CHUNK)
+    assert parts["n"].sum() == len(pdf) and parts["n"].max() < 500
+    assert (parts["hi"].iloc[:-1].to_numpy() < parts["lo"].iloc[1:].to_numpy()).all()

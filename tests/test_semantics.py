@@ -238,3 +238,13 @@ def test_library_round_trip(spark, tmp_path):
     plan = store.load_bars(spark, path, ["a"], "2024-01-01")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(symbol" in plan or "symbol#" in plan.split("PartitionFilters")[1][:80]
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_wide_edge(spark):
+    df = frame(
+        spark,
+        [("a", "2024-01-01 00:00:00", 1.0), ("b", "2024-01-01 00:00:00", 2.0), ("a", "2024-01-02 00:00:00", 3.0)],
+        "symbol string, ts timestamp, close double",
+    )
+    got = align.to_wide(df, ["a", "b"]).orderBy("ts").collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1.0, 2.0), (3.0, None)]

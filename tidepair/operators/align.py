@@ -145,3 +145,7 @@ def nearby(df: DataFrame, at, before: str = "1 day", after: str = "1 day") -> Da
         (F.col("ts") >= mid - F.expr(f"INTERVAL {before}")) & (F.col("ts") <= mid + F.expr(f"INTERVAL {after}"))
     )
 
+
+def to_wide(df: DataFrame, symbols: Sequence[str], value: str = "close") -> DataFrame:
+    """One column per named symbol, for the edge of a pipeline; the operators stay long."""
+    return df.groupBy("ts").pivot("symbol", list(symbols)).agg(F.first(value))

@@ -14,11 +14,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidepair.session import stage
+
 CHUNK = "_chunk"
 BLOCK = "_block"
 DAY = 86_400
 MONTH = 30 * DAY
 BLOCK_ROWS = 65_536
+CHUNK_ROWS = 4_000_000
 
 
 def chunk_of(ts: str | Column, seconds: int) -> Column:
@@ -27,33 +30,27 @@ def chunk_of(ts: str | Column, seconds: int) -> Column:
 
 
 def add_chunk(df: DataFrame, ts: str = "ts", seconds: int = MONTH) -> DataFrame:
-    """Number the time chunks, unless the caller has done so (see ``fit_chunks``)."""
-    return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_of(ts, seconds))
+    return df.withColumn(CHUNK, chunk_of(ts, seconds))
 
 
-def fit_chunks(
-    df: DataFrame, keys: Sequence[str], ts: str = "ts", seconds: int = DAY, max_rows: int = 1_000_000
-) -> DataFrame:
-    """Number time chunks of at most about ``max_rows`` rows, for raw data of uneven density.
+PARTS = 256
 
-    A chunk that is too full is cut at quantiles of its timestamps, up to 256 parts. Counts and
-    quantiles are sketches that merge on the map side; rows of one timestamp stay together.
-    Operators that find the chunks numbered use them and keep the column.
-    """
-    parts = 256
-    coarse = df.withColumn("_wide", chunk_of(ts, seconds))
+
+def chunk_cuts(chunked: DataFrame, keys: Sequence[str], ts: str, full: DataFrame) -> DataFrame:
+    """Quantiles of the timestamps in the chunks listed in ``full``; a mergeable sketch."""
+    quantiles = [i / PARTS for i in range(1, PARTS)]
+    cuts = F.percentile_approx(F.unix_micros(ts), quantiles, F.lit(10_000))
+    crowded = chunked.join(full, [*keys, CHUNK], "left_semi")
+    return crowded.groupBy(*keys, CHUNK).agg(cuts.alias("_cuts"))
+
+
+def cut_chunks(chunked: DataFrame, keys: Sequence[str], ts: str, cuts: DataFrame) -> DataFrame:
+    """Renumber chunks so that those with ``cuts`` fall into up to ``PARTS`` parts, in time order.
+    Rows of one timestamp stay together."""
     at = F.unix_micros(ts)
-    cuts = F.percentile_approx(at, [i / parts for i in range(1, parts)], F.lit(10_000))
-    full = (
-        coarse.groupBy(*keys, "_wide")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_rows)
-        .drop("_n")
-    )
-    bounds = coarse.join(full, [*keys, "_wide"], "left_semi").groupBy(*keys, "_wide").agg(cuts.alias("_cuts"))
-    inside = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < at)), F.lit(0))
-    numbered = coarse.join(bounds, [*keys, "_wide"], "left")
-    return numbered.select(*df.columns, (F.col("_wide") * parts + inside).alias(CHUNK))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < at)), F.lit(0))
+    joined = chunked.join(cuts, [*keys, CHUNK], "left")
+    return joined.withColumn(CHUNK, F.col(CHUNK) * PARTS + part).select(*chunked.columns)
 
 
 def spread_out(df: DataFrame, *cols: str) -> DataFrame:
@@ -78,14 +75,35 @@ def _local(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
 def _with_carry(
     df: DataFrame,
     keys: Sequence[str],
+    ts: str,
+    seconds: int,
     aggregates: Sequence[Column],
     carried: dict[str, Callable[[WindowSpec], Column]],
+    max_rows: int | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
-    """Summarise each chunk, scan the summaries per key, join the result back to the rows."""
+    """Summarise each chunk, scan the summaries per key, join the result back to the rows.
+
+    With ``max_rows`` the summaries are computed at once, to see whether a chunk holds more rows
+    than one task should get; such chunks are cut at quantiles. ``edges`` is a frame with the same
+    summaries as ``df`` that is cheaper to scan.
+    """
+    rows = add_chunk(df, ts, seconds)
+    source = rows if edges is None else add_chunk(edges, ts, seconds)
+    summarise = lambda frame: frame.groupBy(*keys, CHUNK).agg(
+        F.count(F.lit(1)).alias("_rows"), *aggregates
+    )
+    summary = summarise(source)
+    if max_rows is not None:
+        summary = stage(summary, "chunks")
+        full = summary.where(F.col("_rows") > max_rows).select(*keys, CHUNK)
+        if not full.isEmpty():
+            cuts = stage(chunk_cuts(source, keys, ts, full), "cuts")
+            rows, source = (cut_chunks(frame, keys, ts, cuts) for frame in (rows, source))
+            summary = summarise(source)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
-    summary = df.groupBy(*keys, CHUNK).agg(*aggregates)
     carry = summary.select(*keys, CHUNK, *[f(across).alias(name) for name, f in carried.items()])
-    return df.join(carry, [*keys, CHUNK], "left")
+    return rows.join(carry, [*keys, CHUNK], "left")
 
 
 def with_neighbour(
@@ -95,19 +113,26 @@ def with_neighbour(
     cols: dict[str, str],
     seconds: int = MONTH,
     following: bool = False,
+    max_rows: int | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns of the previous (or ``following``) row of the same key.
 
-    ``cols`` maps new column to source column; ``order`` starts with the timestamp.
+    ``cols`` maps new column to source column; ``order`` starts with the timestamp. For raw data
+    of uneven density give ``max_rows``, the most rows a chunk may hold.
     """
     pick, shift = (F.min_by, F.lead) if following else (F.max_by, F.lag)
     key = order_key(order)
     edge = lambda out: lambda w: shift(f"_e_{out}").over(w)
     chunked = _with_carry(
-        add_chunk(df, order[0], seconds),
+        df,
         keys,
+        order[0],
+        seconds,
         [pick(src, key).alias(f"_e_{out}") for out, src in cols.items()],
         {f"_c_{out}": edge(out) for out in cols},
+        max_rows,
+        edges,
     )
     local = _local(keys, order)
     inside = shift(F.lit(True)).over(local).isNotNull()
@@ -126,17 +151,22 @@ def with_running_sum(
     order: Sequence[str],
     sums: dict[str, str | Column],
     seconds: int = MONTH,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Add running sums up to and including each row. Use integers where exactness matters."""
+    """Add running sums up to and including each row. Use integers where exactness matters, and
+    ``max_rows`` as in ``with_neighbour``."""
     source = {out: F.col(c) if isinstance(c, str) else c for out, c in sums.items()}
     before = lambda out: lambda w: F.sum(f"_t_{out}").over(
         w.rowsBetween(Window.unboundedPreceding, -1)
     )
     chunked = _with_carry(
-        add_chunk(df, order[0], seconds),
+        df,
         keys,
+        order[0],
+        seconds,
         [F.sum(c).alias(f"_t_{out}") for out, c in source.items()],
         {f"_b_{out}": before(out) for out in source},
+        max_rows,
     )
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0)
@@ -157,10 +187,8 @@ def with_position(
     seconds: int = MONTH,
 ) -> DataFrame:
     """Add the 1-based row position within each key."""
-    before = lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    chunked = _with_carry(
-        add_chunk(df, order[0], seconds), keys, [F.count(F.lit(1)).alias("_n")], {"_before": before}
-    )
+    before = lambda w: F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chunked = _with_carry(df, keys, order[0], seconds, [], {"_before": before})
     local = F.row_number().over(_local(keys, order)).cast("bigint")
     return chunked.select(*df.columns, (local + F.coalesce(F.col("_before"), F.lit(0))).alias(out))
 
@@ -178,8 +206,10 @@ def with_last_known(
         w.rowsBetween(Window.unboundedPreceding, -1)
     )
     chunked = _with_carry(
-        add_chunk(df, order[0], seconds),
+        df,
         keys,
+        order[0],
+        seconds,
         [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{out}") for out, c in cols.items()],
         {f"_b_{out}": before(out) for out in cols},
     )

@@ -9,27 +9,27 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.ordered import (
     BLOCK_ROWS,
-    CHUNK,
+    CHUNK_ROWS,
     DAY,
     MONTH,
-    fit_chunks,
     with_neighbour,
     with_position,
     with_rolling,
 )
 
 
-def gap_delta(df: DataFrame, keys: Sequence[str] = ("symbol",), seconds: int = MONTH) -> DataFrame:
+def gap_delta(
+    df: DataFrame, keys: Sequence[str] = ("symbol",), seconds: int = MONTH, max_rows: int | None = CHUNK_ROWS
+) -> DataFrame:
     """Time since the previous distinct timestamp of the symbol: ``prev_ts`` and ``gap_us``.
 
-    Copies are merged before the shuffle, and a chunk that is still too full is cut.
+    Copies of a timestamp are merged before the shuffle.
     """
-    times = fit_chunks(df.select(*keys, "ts").distinct(), list(keys), "ts", seconds)
-    return (
-        with_neighbour(times, list(keys), ["ts"], {"prev_ts": "ts"})
-        .drop(CHUNK)
-        .withColumn("gap_us", F.unix_micros("ts") - F.unix_micros("prev_ts"))
+    times = df.select(*keys, "ts")
+    previous = with_neighbour(
+        times.distinct(), list(keys), ["ts"], {"prev_ts": "ts"}, seconds, max_rows=max_rows, edges=times
     )
+    return previous.withColumn("gap_us", F.unix_micros("ts") - F.unix_micros("prev_ts"))
 
 
 def gap_report(

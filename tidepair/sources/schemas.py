@@ -43,6 +43,18 @@ TICKER_CATALOG = T.StructType(
     ]
 )
 
+INSTRUMENTS = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("con_id", T.LongType()),
+        T.StructField("sec_type", T.StringType()),
+        T.StructField("contract", T.StringType()),
+        T.StructField("exchange", T.StringType()),
+        T.StructField("currency", T.StringType()),
+        T.StructField("position", T.LongType()),
+    ]
+)
+
 MONITOR = T.StructType(
     [
         T.StructField("Timestamp", T.TimestampType()),

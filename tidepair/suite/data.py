@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.align import ohlc_bars
 from tidepair.operators.kalman import kalman, kalman_library
-from tidepair.operators.ordered import DAY, MONTH, fit_chunks, with_position, with_running_sum
+from tidepair.operators.ordered import CHUNK_ROWS, DAY, MONTH, with_position, with_running_sum
 from tidepair.operators.pairs import PAIR, hedge_stats, pair_bars, pair_moments
 from tidepair.operators.windows import rolling_z
 from tidepair.session import scratch_path, use_utc
@@ -34,8 +34,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = events(spark, sf_dir).select(
         F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", cents.alias("move")
     )
-    chunked = fit_chunks(moves, ["symbol"], "ts", DAY)
-    summed = with_running_sum(chunked, ["symbol"], ["ts", "event_id"], {"sum": "move"})
+    summed = with_running_sum(
+        moves, ["symbol"], ["ts", "event_id"], {"sum": "move"}, DAY, max_rows=CHUNK_ROWS
+    )
     return summed.select(
         "symbol", "ts", "event_id", "user_id", ((F.col("sum") + 100_000) / 100).alias("price")
     )
