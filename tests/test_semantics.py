@@ -248,3 +248,9 @@ def test_wide_edge(spark):
     )
     got = align.to_wide(df, ["a", "b"]).orderBy("ts").collect()
     assert [(r["a"], r["b"]) for r in got] == [(1.0, 2.0), (3.0, None)]
+
+
+def test_orders_fill_at_their_bar(spark):
+    orders = frame(spark, [("a", "2024-01-01 00:00:00", 5.0), ("a", "2024-01-03 00:00:00", 5.0)], "key string, ts timestamp, qty double")
+    prices = frame(spark, [("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-02 00:00:00", 2.0)], "symbol string, ts timestamp, close double")
+    assert rows(signals.price_ledger(orders, prices), "key", "qty", "price") == [("a", 5.0, 1.0)]

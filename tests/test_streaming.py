@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tests.helpers import from_pandas, walk_pairs
+from tidepair.operators.clean import valid_ticks
 from tidepair.operators.kalman import kalman
 from tidepair.operators.ordered import with_position
 from tidepair.operators.positions import positions
@@ -75,7 +76,7 @@ def test_snapshots_wait_for_both_legs(spark, landed):
 
 def test_latest_price_over_batches(spark, ticks, landed):
     known = spark.createDataFrame([("A", "KA")], "con_id string, key string")
-    stream = jobs.valid_ticks(landed.withColumnRenamed("symbol", "con_id"), known)
+    stream = valid_ticks(landed.withColumnRenamed("symbol", "con_id"), known)
     path = jobs.run_batches(jobs.latest_prices(stream), "latest", jobs.table_sink, "update")
     written = spark.read.parquet(path)
     assert written.select("batch").distinct().count() >= 5

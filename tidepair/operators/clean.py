@@ -72,7 +72,7 @@ def valid_ticks(ticks: DataFrame, instruments: DataFrame, price: str = "price")
     """Drop unusable prices and ticks of unknown instruments, and name the instrument.
 
     The join carries no hint: Spark broadcasts the dimension when its measured size allows and
-    shuffles otherwise.
+    shuffles otherwise. Over a stream it keeps no state.
     """
     return ticks.where(valid_price(price)).join(instruments.select("con_id", "key"), "con_id")
 

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepair.operators.clean import valid_price
 from tidepair.operators.ordered import order_key
 from tidepair.operators.pairs import PAIR
 from tidepair.operators.signals import STRATEGY_SIGNALS, allowed
@@ -27,11 +26,6 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def valid_ticks(ticks: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Usable ticks with their instrument's key; the join with the dimension keeps no state."""
-    return ticks.where(valid_price()).join(instruments.select("con_id", "key"), "con_id")
-
-
 def latest_prices(ticks: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Latest valid price per instrument; partial aggregates keep a hot instrument cheap."""
     return ticks.groupBy("key").agg(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepair.operators import clean, pnl, signals
-from tidepair.operators.ordered import DAY
 from tidepair.operators.pairs import PAIR
 from tidepair.operators.windows import top_k
 from tidepair.session import scratch_path

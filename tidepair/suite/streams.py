@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepair.operators.clean import valid_ticks
 from tidepair.operators.pairs import PAIR
 from tidepair.sources.bars import read_monitor
 from tidepair.sources.schemas import EVENTS_DDL
@@ -58,7 +59,7 @@ _VALID = "price IS NOT NULL AND NOT isnan(price) AND price > 0"
     ),
 )
 def tick_stream(spark, sf_dir):
-    ticks = jobs.valid_ticks(raw_ticks(_events(spark, sf_dir)), instruments(spark, sf_dir))
+    ticks = valid_ticks(raw_ticks(_events(spark, sf_dir)), instruments(spark, sf_dir))
     return jobs.run_append(ticks, "ticks")
 
 
@@ -71,7 +72,7 @@ def tick_stream(spark, sf_dir):
     ),
 )
 def stream_latest_price(spark, sf_dir):
-    ticks = jobs.valid_ticks(raw_ticks(_events(spark, sf_dir)), instruments(spark, sf_dir))
+    ticks = valid_ticks(raw_ticks(_events(spark, sf_dir)), instruments(spark, sf_dir))
     path = jobs.run_batches(jobs.latest_prices(ticks, ORDER), "latest", jobs.table_sink, "update")
     written = spark.read.schema("key string, price double, ts timestamp, batch long").parquet(path)
     return written.groupBy("key").agg(F.max_by(F.struct("price", "ts"), "batch").alias("_r")).select("key", "_r.*")
