@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepair.llm import minhash_dedup
+from tidepair.llm import minhash_dedup, quality_rules
 from tidepair.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,11 @@ def query(fn):
 @query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op3_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).drop("cleaned")
+
+
+SQL["op3_line_cleaning"] = quality_rules.SQL
