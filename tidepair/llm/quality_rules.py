@@ -2,8 +2,8 @@
 
 DataFrame expressions only. A line (text between ``\\n``) with a word is removed if
 
-- punctuation: it doesn't end in a sentence mark (closing quotes and brackets may follow), a
-  tenth or more of it are symbols, or it holds three runs of two or more marks like ``!!``;
+- punctuation: no word in it ends in a sentence mark (closing quotes and brackets may follow),
+  a tenth or more of it are symbols, or it holds three runs of two or more marks like ``!!``;
 - navigation: it holds two or more bars or arrows between items;
 - boilerplate: it is short and holds a phrase of licences, notices or page furniture.
 
@@ -22,12 +22,12 @@ SYMBOLS = r"#*$%&|<>"
 #: Base thresholds: least words, and most words in repeated windows, in per cent.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: A text that loses more than this share of its characters goes, in per cent.
-MOST_LOST = 50
+MOST_LOST = 40
 #: Symbols in a line, in per cent of its characters.
 MOST_SYMBOLS = 10
 #: Boilerplate phrases count in lines up to this long; a paragraph may mention them.
 NOTICE_CHARS = 200
-ENDING = r"[.!?…。！？][\"'\)\]»”’]*[\x20\x09-\x0D]*$"
+SENTENCE = r"[.!?…。！？][\"'\)\]»”’]*([\x20\x09-\x0D]|$)"
 SHOUTS = r"[!?]{2}.*[^!?][!?]{2}.*[^!?][!?]{2}"
 ITEMS = r"[|»›→].*[|»›→]"
 NOTICES = (
@@ -46,7 +46,7 @@ def line_fails(line: Column) -> dict[str, Column]:
     for phrase in NOTICES:
         notice = notice | F.contains(lowered, F.lit(phrase))
     return {
-        "punctuation": ~line.rlike(ENDING) | (100 * symbols >= MOST_SYMBOLS * F.length(line)) | line.rlike(SHOUTS),
+        "punctuation": ~line.rlike(SENTENCE) | (100 * symbols >= MOST_SYMBOLS * F.length(line)) | line.rlike(SHOUTS),
         "navigation": line.rlike(ITEMS),
         "boilerplate": (F.length(line) <= NOTICE_CHARS) & notice,
     }
@@ -135,7 +135,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 _LINE_SQL = f"""
-        NOT regexp_matches(line, '{ENDING.replace("'", "''")}')
+        NOT regexp_matches(line, '{SENTENCE.replace("'", "''")}')
         OR 100 * length(regexp_replace(line, '[^{SYMBOLS}]+', '', 'g')) >= {MOST_SYMBOLS} * length(line)
         OR regexp_matches(line, '{SHOUTS}') OR regexp_matches(line, '{ITEMS}')
         OR (length(line) <= {NOTICE_CHARS} AND ({" OR ".join(f"contains(lower(line), '{p}')" for p in NOTICES)}))"""
