@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepair.llm import minhash_dedup, quality_rules
+from tidepair.llm import minhash_dedup, quality_rules, source_mix
 from tidepair.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,11 @@ def op3_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_line_cleaning"] = quality_rules.SQL
+
+
+@query
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir))
+
+
+SQL["op10_source_mix"] = source_mix.SQL
