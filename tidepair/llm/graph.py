@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node (all larger, or all smaller and itself) to the least one."""
     both = _directed(edges) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
-    joined = both.join(least, F.col("a") == F.col("_a"))
+    # Dealt by another hash, both sides of the join get an exchange that Spark can split.
+    joined = both.join(least.repartition(F.xxhash64("_a")), F.col("a") == F.col("_a"))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
