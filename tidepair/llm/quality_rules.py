@@ -121,7 +121,9 @@ def clean(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, becomes the length of the cleaned text. The row travels
     beside the judged columns in one struct, so clashing names can't meet.
     """
-    judged = judge(docs.select(F.struct(*docs.columns).alias("doc_id"), "text")).where("kept")
+    judged = judge(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
+    # A numbered row keeps the optimiser from copying the whole judgement into the filter.
+    judged = judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
     out = []
     for field in docs.schema.fields:
         if field.name == "text":
