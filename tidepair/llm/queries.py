@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidepair.llm import bpe, fingerprints, language_id, minhash_dedup, quality_classifier, quality_rules, secret_scan, source_mix, surrogates
+from tidepair.llm import bpe, fingerprints, language_id, minhash_dedup, passage_dedup, quality_classifier, quality_rules, secret_scan, source_mix, surrogates
 from tidepair.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(documents(spark, sf_dir))
+
+
+@query
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(documents(spark, sf_dir))
