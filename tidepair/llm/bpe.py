@@ -25,7 +25,7 @@ from tidepair.llm import text as tx
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Moves, states and pieces kept by a process; beyond, they are dropped and made anew.
-MOST_KEPT = 300_000
+MOST_KEPT = 500_000
 #: Characters of a text that are split at once.
 CHUNK_CHARS = 1_000_000
 _REPLACEMENT = "�".encode()
@@ -59,6 +59,7 @@ class Transducer:
             self.ends[node] = rank
         self.alone: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -67,10 +68,10 @@ class Transducer:
         self.names = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges carried out on a few bytes; only used to test single tokens and pairs."""
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """The merges carried out on the bytes of one token, until so many parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
@@ -81,6 +82,33 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; None for a byte."""
+        known = self.halves.get(token)
+        if known is None and len(self.tokens[token]) > 1:
+            known = self.halves[token] = tuple(self.merged(self.tokens[token], 2))
+        return known
+
+    def parted(self, last: int, token: int) -> bool:
+        """Whether the merges leave the border between two tokens alone.
+
+        Backwards in time, the token at the border that was merged later is taken apart, until
+        both are bytes. At each moment the pair at the border must not merge sooner than the
+        next merge on either side; of equal ranks the left one comes first.
+        """
+        left_until = right_until = len(self.tokens) + 1
+        while True:
+            rank = self.ranks.get(self.tokens[last] + self.tokens[token])
+            if rank is not None and rank < left_until and rank <= right_until:
+                return False
+            left, right = self.split(last), self.split(token)
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and last > token):
+                left_until, last = last, left[1]
+            else:
+                right_until, token = token, right[0]
+
     def follows(self, last: int, token: int) -> bool:
         """Whether ``token`` may stand after ``last`` (-1: at the start)."""
         fine = self.alone.get(token)
@@ -90,30 +118,31 @@ class Transducer:
             return fine
         known = self.pairs.get((last, token))
         if known is None:
-            if len(self.pairs) > 4 * MOST_KEPT:
+            if len(self.pairs) > MOST_KEPT:
                 self.pairs.clear()
-            known = self.pairs[last, token] = self.merged(self.tokens[last] + self.tokens[token]) == [last, token]
+            known = self.pairs[last, token] = self.parted(last, token)
         return known
 
     def move(self, state: int, byte: int) -> tuple[int, tuple]:
         """Makes the move from a state: the next state and the tokens that are now certain."""
-        live, ended = [], False
+        live, done = [], None
+        children, ends = self.children, self.ends
         for last, node, pending in self.states[state]:
-            child = self.children[node].get(byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
             # One hypothesis ends a token at each byte; the longest token is tried first.
-            token = self.ends[child]
-            if token >= 0 and not ended and self.follows(last, token):
-                live.append((token, 0, (*pending, token)))
-                ended = True
-            if self.children[child]:
+            if done is None and ends[child] >= 0 and self.follows(last, ends[child]):
+                done = (ends[child], 0, (*pending, ends[child]))
+            if children[child]:
                 live.append((last, child, pending))
-        first = live[0][2]
-        shared = min(len(p) for _, _, p in live)
-        while any(p[:shared] != first[:shared] for _, _, p in live):
-            shared -= 1
-        held = tuple(sorted(((last, node, p[shared:]) for last, node, p in live), key=lambda h: -self.depth[h[1]]))
+        live.append(done)
+        # Hypotheses stay in the order of their beginnings, so the last one holds most tokens.
+        first, shared = done[2], min([len(h[2]) for h in live])
+        for _, _, p in live:
+            while p[:shared] != first[:shared]:
+                shared -= 1
+        held = tuple([(last, node, p[shared:]) for last, node, p in live]) if shared else tuple(live)
         name = self.names.get(held)
         if name is None:
             name = self.names[held] = len(self.states)
