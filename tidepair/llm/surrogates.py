@@ -18,6 +18,11 @@ from tidepair.session import stage
 #: The key is a parameter of every function; keep the one in use secret.
 KEY = "change-me"
 ROUNDS = 4
+#: From this attempt on, spelled surrogates grow by a few letters, so short formats can't run out.
+LONGER = 2
+#: Up to this attempt a surrogate may not occur as a value; later ones need only be distinct,
+#: since the numbers in use may fill their whole space.
+AVOID = 8
 
 _NOT_IN = r"(?<![\p{L}\p{N}])"
 _MALE = r"Mr\.?|Mister|Herrn?|Señor|Sr\.|Monsieur|господин"
@@ -132,16 +137,18 @@ def _email(value: Column, key: str, tweak: Column) -> Column:
         return F.when(c.rlike("[0-9]"), F.pmod(at, F.lit(10)).cast("string")).when(c.rlike(r"\p{L}"), _letter(c, at)).otherwise(c)
 
     spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), other), "")
+    more = F.substring(F.translate(F.hex(_noise(key, value, tweak)), "0123456789ABCDEF", "bcdfghklmnprstvz"), 1, 6)
+    spelled = F.concat(spelled, F.when(tweak >= LONGER, more).otherwise(""))
     host = F.translate(F.lpad(F.substring(F.hex(_noise(key, domain)), -8, 8), 8, "0"), "0123456789ABCDEF", "bcdfghklmnprstvz")
     return F.concat(spelled, F.lit("@"), host, F.lit(".example.org"))
 
 
 def _token(kind: Column, value: Column, key: str, tweak: Column) -> Column:
-    """A name of four keyed syllables with the ending of its kind, in the script of ``value``."""
+    """A name of keyed syllables with the ending of its kind, in the script of ``value``."""
 
     def spelled(script):
         syllables = F.array(*map(F.lit, _SYLLABLES[script]))
-        of = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(syllables, (F.pmod(_noise(key, kind, value, i, tweak), F.lit(len(_SYLLABLES[script]))) + 1).cast("int")))
+        of = F.transform(F.sequence(F.lit(1), F.when(tweak >= LONGER, 7).otherwise(4)), lambda i: F.element_at(syllables, (F.pmod(_noise(key, kind, value, i, tweak), F.lit(len(_SYLLABLES[script]))) + 1).cast("int")))
         ending = F.lit("")
         for name, tail in _ENDINGS[script].items():
             ending = F.when(kind == name, tail).otherwise(ending)
@@ -220,7 +227,7 @@ def overrides(found: DataFrame, key: str = KEY) -> DataFrame:
         owned = found.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("occurs"))
         bad = least.join(owned, ["kind", "surrogate"], "left").where("n > 1 or occurs")
         marked = settled.join(bad, ["kind", "surrogate"], "left")
-        again = F.coalesce("occurs", F.lit(False)) | (F.col("n").isNotNull() & (F.col("first.value") != F.col("value")))
+        again = F.coalesce(F.col("occurs") & (F.col("tweak") < AVOID), F.lit(False)) | (F.col("n").isNotNull() & (F.col("first.value") != F.col("value")))
         tweak = F.when(again, F.col("tweak") + 1).otherwise(F.col("tweak"))
         moved = stage(marked.select("kind", "value", tweak.alias("tweak"), F.col("surrogate").alias("old"), again.alias("again")), "attempts")
         if not moved.where("again").limit(1).count():
