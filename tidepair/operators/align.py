@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepair.operators.clean import known
 from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, order_key, with_last_known
 
 
@@ -19,7 +20,7 @@ def resample_last(
     shrink to one row per bucket before the shuffle.
     """
     return (
-        df.where(F.col(value).isNotNull())
+        df.where(known(value))
         .groupBy("symbol", F.window("ts", width).alias("_w"))
         .agg(F.max_by(value, order_key(order)).alias(value))
         .select("symbol", F.col("_w.start").alias("ts"), value)
@@ -46,13 +47,13 @@ def ohlc_bars(
 
 
 def align_inner_all(df: DataFrame, value: str = "close") -> DataFrame:
-    """Rows at timestamps where every symbol of ``df`` has a value. Expects one row per
-    (symbol, ts); stays long, no pivot."""
-    valued = df.where(F.col(value).isNotNull())
+    """Rows at timestamps where every symbol of ``df`` has a value; stays long, no pivot. Copies
+    of a row stay, but count once."""
+    valued = df.where(known(value))
     wanted = valued.agg(F.count_distinct("symbol").alias("n"))
     full = (
         valued.groupBy("ts")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count_distinct("symbol").alias("_n"))
         .where(F.col("_n") == wanted.scalar())
         .select("ts")
     )
@@ -66,7 +67,7 @@ def align_outer_ffill(df: DataFrame, value: str = "close", seconds: int = MONTH)
     The grid comes from an equi-join on the time chunk: each symbol contributes one row per chunk
     (with the price it enters the chunk with) and meets the chunk's distinct timestamps.
     """
-    valued = add_chunk(df.where(F.col(value).isNotNull()), "ts", seconds).select("symbol", "ts", CHUNK, value)
+    valued = add_chunk(df.where(known(value)), "ts", seconds).select("symbol", "ts", CHUNK, value)
     times = valued.select(CHUNK, "ts").distinct()
     per_chunk = valued.groupBy("symbol", CHUNK).agg(F.max_by(value, "ts").alias("_last"))
     ahead = Window.partitionBy("symbol").orderBy(CHUNK)
@@ -91,7 +92,7 @@ def align_outer_ffill(df: DataFrame, value: str = "close", seconds: int = MONTH)
 
 def ready_timestamps(df: DataFrame, n_instruments: int | None = None, value: str = "close") -> DataFrame:
     """Timestamps from which every instrument has had a price."""
-    firsts = df.where(F.col(value).isNotNull()).groupBy("symbol").agg(F.min("ts").alias("t"))
+    firsts = df.where(known(value)).groupBy("symbol").agg(F.min("ts").alias("t"))
     gate = firsts.agg(F.max("t").alias("ready_ts"), F.count(F.lit(1)).alias("n"))
     if n_instruments is not None:
         gate = gate.where(F.col("n") == n_instruments)
@@ -106,7 +107,7 @@ def align_left(left: DataFrame, right: DataFrame, on: str = "ts") -> DataFrame:
 
 def asof_value(df: DataFrame, probe, value: str = "close") -> DataFrame:
     """Per symbol, the last non-null row at or before one timestamp."""
-    known = df.where((F.col("ts") <= F.lit(probe).cast("timestamp")) & F.col(value).isNotNull())
+    known = df.where((F.col("ts") <= F.lit(probe).cast("timestamp")) & known(value))
     return known.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by(value, "ts").alias(value))
 
 

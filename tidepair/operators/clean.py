@@ -34,6 +34,17 @@ def normalize_bars(
     return renamed.select(*[c for c in keep if c in present], *bars)
 
 
+def known(value: str | Column) -> Column:
+    """Whether a value is there: neither null nor NaN."""
+    v = F.col(value) if isinstance(value, str) else value
+    return v.isNotNull() & ~F.isnan(v)
+
+
+def nan_to_null(df: DataFrame, cols: Sequence[str] = BAR_COLUMNS) -> DataFrame:
+    """NaN becomes null in those of ``cols`` that ``df`` has, so that statistics skip it."""
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in cols if c in df.columns})
+
+
 def epoch_ms(col: str | Column) -> Column:
     return F.timestamp_millis(F.col(col) if isinstance(col, str) else col)
 

@@ -33,6 +33,18 @@ def add_chunk(df: DataFrame, ts: str = "ts", seconds: int = MONTH) -> DataFrame:
     return df.withColumn(CHUNK, chunk_of(ts, seconds))
 
 
+def keyed_chunk(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """``add_chunk`` for operators that join what enters a chunk back on the keys.
+
+    That join would lose rows whose key is null, so a null key is an error. A null-safe join
+    would cost another exchange, since windows on the keys couldn't use its partitioning.
+    """
+    chunk = chunk_of(ts, seconds)
+    for key in keys:
+        chunk = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"null in key column {key}")).cast("bigint")).otherwise(chunk)
+    return df.withColumn(CHUNK, chunk)
+
+
 PARTS = 256
 
 
@@ -88,8 +100,8 @@ def _with_carry(
     than one task should get; such chunks are cut at quantiles. ``edges`` is a frame with the same
     summaries as ``df`` that is cheaper to scan.
     """
-    rows = add_chunk(df, ts, seconds)
-    source = rows if edges is None else add_chunk(edges, ts, seconds)
+    rows = keyed_chunk(df, keys, ts, seconds)
+    source = rows if edges is None else keyed_chunk(edges, keys, ts, seconds)
     summarise = lambda frame: frame.groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"), *aggregates
     )
@@ -233,7 +245,7 @@ def with_drawdown(
 ) -> DataFrame:
     """Add ``equity`` (running sum), ``peak`` (running maximum of it) and ``drawdown``."""
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = add_chunk(df, order[0], seconds).withColumn("_cum", F.sum(value).over(upto))
+    rows = keyed_chunk(df, keys, order[0], seconds).withColumn("_cum", F.sum(value).over(upto))
     # A chunk's own total and the highest point it reaches above its start.
     summary = rows.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_total"), F.max("_cum").alias("_top"))
     across = Window.partitionBy(*keys).orderBy(CHUNK)

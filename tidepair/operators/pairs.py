@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepair.operators.clean import known
 from tidepair.operators.ordered import spread_out
 
 PAIR = ["leg_1", "leg_2"]
@@ -31,6 +32,8 @@ def _cell_moments(pdf: pd.DataFrame) -> pd.DataFrame:
     seen = np.zeros_like(dense)
     dense[row, col] = pdf["v"].to_numpy()
     seen[row, col] = 1.0
+    if seen.sum() != len(pdf):
+        raise ValueError("a symbol has several rows at one timestamp; de-duplicate first")
     block = np.empty(len(symbols), dtype=np.int64)
     block[col] = pdf["_home"].to_numpy()
     squares = dense * dense
@@ -73,7 +76,7 @@ def pair_moments(
     cannot form a pair that long and are left out first. Values are taken relative to the
     symbol's mean so that the sums keep their digits.
     """
-    valued = df.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("v"))
+    valued = df.where(known(value)).select("symbol", "ts", F.col(value).alias("v"))
     centre = (
         valued.groupBy("symbol")
         .agg(F.avg("v").alias("_mean"), F.count(F.lit(1)).alias("_n"))
@@ -172,7 +175,7 @@ def correlation_matrix(df: DataFrame, value: str) -> DataFrame:
     """Long-form symmetric correlation matrix, diagonal included."""
     pairs = hedge_stats(pair_moments(df, value)).select(*PAIR, "corr")
     mirrored = pairs.select(F.col("leg_2").alias("leg_1"), F.col("leg_1").alias("leg_2"), "corr")
-    own = df.where(F.col(value).isNotNull()).select("symbol").distinct()
+    own = df.where(known(value)).select("symbol").distinct()
     diagonal = own.select(F.col("symbol").alias("leg_1"), F.col("symbol").alias("leg_2"), F.lit(1.0).alias("corr"))
     return pairs.unionByName(mirrored).unionByName(diagonal)
 
@@ -184,7 +187,7 @@ def pair_bars(df: DataFrame, pairs: DataFrame, value: str = "close") -> DataFram
     second join is on (symbol, ts), which spreads any one symbol over all tasks; the first meets
     the small pair list, where adaptive execution broadcasts or splits a hot symbol.
     """
-    valued = df.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("v"))
+    valued = df.where(known(value)).select("symbol", "ts", F.col(value).alias("v"))
     extra = [c for c in pairs.columns if c not in PAIR]
     y = valued.select(F.col("symbol").alias("leg_1"), "ts", F.col("v").alias("y"))
     x = valued.select(F.col("symbol").alias("leg_2"), "ts", F.col("v").alias("x"))

@@ -15,7 +15,6 @@ from tidepair.operators.windows import rolling_z
 ENTRY_LONG_SPREAD, ENTRY_SHORT_SPREAD, EXIT_ALL = "ENTRY_LONG_SPREAD", "ENTRY_SHORT_SPREAD", "EXIT_ALL"
 ENTRY_LONG, ENTRY_SHORT, DEMO_ENTRY, HOLD = "ENTRY_LONG", "ENTRY_SHORT", "DEMO_ENTRY", "HOLD"
 STRATEGY_SIGNALS = [ENTRY_LONG_SPREAD, ENTRY_SHORT_SPREAD, EXIT_ALL, ENTRY_LONG, ENTRY_SHORT, DEMO_ENTRY]
-GATE_DEFAULT = ["LONG_SPREAD", "SHORT_SPREAD", "EXIT"]
 
 
 def order(key: str | Column, action: str | Column, qty: Column, kind: str = "MKT") -> Column:

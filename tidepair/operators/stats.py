@@ -76,13 +76,16 @@ def adf(
     lags share the factor of the common sample. The chosen lag's longer sample adds only rows at
     the series start, which the first block returns as well.
     """
-    halo = unit_root.max_lag(10**9, constant) + 1  # no series in reach needs a longer overlap
+    # Blocks overlap by the given lags, or by those that a series of 10^9 rows would choose.
+    halo = (unit_root.max_lag(10**9, constant) if lags is None else lags) + 1
     width = max(block_rows, 2 * halo + 2)
 
     def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         total = int(pdf["_n"].iat[0])
         top = unit_root.max_lag(total, constant) if lags is None else lags
+        if top >= halo:
+            raise ValueError(f"{top} lags need blocks that overlap by more than {halo} rows")
         if top < 0 or total <= top + 3:
             return pd.DataFrame({c: pd.Series(dtype=object) for c in ("block", "n", "top", "tri", "head")})
         values = pdf["_v"].to_numpy()

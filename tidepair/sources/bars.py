@@ -7,7 +7,9 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidepair.operators.clean import VENDOR_NAMES, nan_to_null
 from tidepair.operators.ordered import DAY, chunk_of
 from tidepair.session import use_utc
 from tidepair.sources.schemas import BARS, BROKER_BARS, MONITOR, TICKER_CATALOG, VENDOR_BARS
@@ -36,7 +38,7 @@ def slice_time(
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    return use_utc(spark).read.schema(BARS).parquet(path)
+    return nan_to_null(use_utc(spark).read.schema(BARS).parquet(path))
 
 
 def load_bars(
@@ -71,16 +73,24 @@ def symbol_summary(bars: DataFrame) -> DataFrame:
     )
 
 
-def read_vendor_json(spark: SparkSession, path: str) -> DataFrame:
-    """Vendor aggregate records landed as JSON lines."""
-    return use_utc(spark).read.schema(VENDOR_BARS).json(path)
+def read_vendor_json(spark: SparkSession, path: str, landed: Sequence[str] | None = None) -> DataFrame:
+    """Vendor aggregate records landed as JSON lines, by their short or long names.
+
+    Columns are those that the files hold (``landed``; found by one scan if not given), so that
+    a column no file has is told from one whose values are null.
+    """
+    use_utc(spark)
+    names = set(spark.read.json(path).columns if landed is None else landed)
+    optional = {*VENDOR_NAMES, *VENDOR_NAMES.values()}
+    schema = T.StructType([f for f in VENDOR_BARS.fields if f.name in names or f.name not in optional])
+    return nan_to_null(spark.read.schema(schema).json(path), [c for c in schema.names if c in optional])
 
 
 def read_broker_bars(spark: SparkSession, path: str, zone: str) -> DataFrame:
     """Broker bars landed as CSV with local wall-clock dates in ``zone``; time becomes UTC."""
     raw = use_utc(spark).read.schema(BROKER_BARS).option("header", True).csv(path)
     local = F.to_timestamp("date", "yyyy-MM-dd HH:mm:ss")
-    return raw.withColumn("ts", F.to_utc_timestamp(local, zone)).drop("date")
+    return nan_to_null(raw).withColumn("ts", F.to_utc_timestamp(local, zone)).drop("date")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ BARS = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in BAR_COLUMNS]
 )
 
-# Vendor aggregates as landed: short names, epoch milliseconds, some columns may be missing.
+# Vendor aggregates as landed: short or long names, epoch milliseconds, some columns may be missing.
 VENDOR_BARS = T.StructType(
     [
         T.StructField("ticker", T.StringType()),
@@ -19,6 +19,8 @@ VENDOR_BARS = T.StructType(
         T.StructField("l", T.DoubleType()),
         T.StructField("c", T.DoubleType()),
         T.StructField("v", T.DoubleType()),
+        T.StructField("vw", T.DoubleType()),
+        *[T.StructField(c, T.DoubleType()) for c in BAR_COLUMNS],
         T.StructField("ingest_seq", T.LongType()),
     ]
 )
@@ -43,18 +45,6 @@ TICKER_CATALOG = T.StructType(
     ]
 )
 
-INSTRUMENTS = T.StructType(
-    [
-        T.StructField("key", T.StringType()),
-        T.StructField("con_id", T.LongType()),
-        T.StructField("sec_type", T.StringType()),
-        T.StructField("contract", T.StringType()),
-        T.StructField("exchange", T.StringType()),
-        T.StructField("currency", T.StringType()),
-        T.StructField("position", T.LongType()),
-    ]
-)
-
 MONITOR = T.StructType(
     [
         T.StructField("Timestamp", T.TimestampType()),

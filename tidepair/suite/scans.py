@@ -108,13 +108,13 @@ def symbol_summary(spark, sf_dir):
 
 _VENDOR_SQL = """SELECT symbol, date_trunc('minute', ts) AS ts, arg_max(price, event_id) AS open,
   arg_max(price, event_id) AS high, arg_max(price, event_id) AS low, arg_max(price, event_id) AS close,
-  1.0::DOUBLE AS volume, 0.0::DOUBLE AS vwap FROM ticks GROUP BY symbol, date_trunc('minute', ts)"""
+  1.0::DOUBLE AS volume, arg_max(price + 0.05, event_id) AS vwap FROM ticks GROUP BY symbol, date_trunc('minute', ts)"""
 
 
 @query("vendor_bars_json", sql.query(sql.TICKS, body=_VENDOR_SQL))
 def vendor_bars_json(spark, sf_dir):
     path = scratch_path(spark, "vendor")
-    landed_ticks(spark, sf_dir).write.json(path)
+    landed_ticks(spark, sf_dir).withColumn("vw", F.col("c") + 0.05).write.json(path)
     fresh = vendor_bars(store.read_vendor_json(spark, path))
     return clean.dedupe(fresh, ["symbol", "ts"], "ingest_seq", "last").drop("ingest_seq")
 

@@ -120,13 +120,14 @@ def _signal_table(spark, sf_dir):
     "stream_telemetry",
     sql.query(
         *_SIGNALS,
-        body=f"""SELECT ts AS "Timestamp", y AS "ASSET_A", x AS "ASSET_B", {r('error', 4)} AS "Spread", {r('z_score', 5)} AS "Z-Score" FROM sig""",
+        body=f"""SELECT ts AS "Timestamp", y AS "ASSET_A", x AS "ASSET_B", {r('y - beta * x', 4)} AS "Spread", {r('z_score', 5)} AS "Z-Score" FROM sig""",
         recursive=True,
     ),
 )
 def stream_telemetry(spark, sf_dir):
     found = jobs.signals(_pair_updates(spark, sf_dir))
-    shape = lambda df: jobs.monitor_rows(df, spread="error", z="z_score")
+    spread = F.col("y") - F.col("beta") * F.col("x")
+    shape = lambda df: jobs.monitor_rows(df.withColumn("spread", spread), spread="spread", z="z_score")
     path = jobs.run_batches(found, "telemetry", lambda p: jobs.csv_sink(p, shape))
     log = read_monitor(spark, f"{path}/batch=*")
     return rounded(log, "Spread", digits=4).withColumn("Z-Score", F.round("`Z-Score`", 5))
