@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepair.operators.ordered import (
     BLOCK_ROWS,
+    CHUNK,
     CHUNK_ROWS,
     DAY,
     MONTH,
+    keyed_chunk,
     with_neighbour,
-    with_position,
     with_rolling,
 )
 
@@ -100,17 +101,31 @@ def demean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFram
     return df.join(mean, list(keys)).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
 
+def _edge_rows(df: DataFrame, n: int, keys: Sequence[str], seconds: int, last: bool) -> DataFrame:
+    """The ``n`` rows of each key at one end of time.
+
+    Rows are counted by key and chunk; only chunks that fewer than ``n`` rows lie beyond can hold
+    one of them, and only their rows are numbered.
+    """
+    side = F.desc if last else F.asc
+    rows = keyed_chunk(df, keys, "ts", seconds)
+    beyond = Window.partitionBy(*keys).orderBy(side(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
+    reached = counts.withColumn("_beyond", F.coalesce(F.sum("_rows").over(beyond), F.lit(0)))
+    kept = reached.where(F.col("_beyond") < n).select(*keys, CHUNK, "_beyond")
+    local = Window.partitionBy(*keys, CHUNK).orderBy(side("ts"))
+    numbered = rows.join(kept, [*keys, CHUNK]).withColumn("_pos", F.row_number().over(local) + F.col("_beyond"))
+    return numbered.where(F.col("_pos") <= n).select(*df.columns)
+
+
 def tail_n(df: DataFrame, n: int, keys: Sequence[str] = ("symbol",), seconds: int = MONTH) -> DataFrame:
     """Last ``n`` rows of each key, by row and not by time."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    numbered = with_position(df, list(keys), ["ts"], "_pos", seconds).join(counts, list(keys))
-    return numbered.where(F.col("_pos") > F.col("_total") - n).select(*df.columns)
+    return _edge_rows(df, n, list(keys), seconds, True)
 
 
 def head_n(df: DataFrame, n: int, keys: Sequence[str] = ("symbol",), seconds: int = MONTH) -> DataFrame:
     """First ``n`` rows of each key."""
-    numbered = with_position(df, list(keys), ["ts"], "_pos", seconds)
-    return numbered.where(F.col("_pos") <= n).select(*df.columns)
+    return _edge_rows(df, n, list(keys), seconds, False)
 
 
 def top_k(df: DataFrame, k: int, by: Sequence[Column | str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scans", "joins", "statistics", "trading", "streams"]
+MODULES = ["scans", "joins", "statistics", "trading", "streams", "wide"]
 
 
 def load():

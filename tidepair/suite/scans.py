@@ -140,13 +140,12 @@ MONITOR_SQL = f"""monitor AS (SELECT ts AS "Timestamp", y AS "ASSET_A", x AS "AS
 MONITOR_CTES = [sql.STATS, sql.RESIDUALS, sql.rolling("resid", "leg_1, leg_2"), CHAMPION_SQL, MONITOR_SQL]
 
 
-def monitor_rows(spark, sf_dir):
-    """Telemetry of the pair with the highest correlation: prices, residual spread, rolling z."""
-    best = top_k(data.stats(spark, sf_dir), 1, [F.desc(F.round("corr", 9)), "leg_1", "leg_2"]).select(*PAIR)
-    rows = data.pairs(spark, sf_dir).join(best, PAIR, "left_semi")
+def pair_telemetry(rows):
+    """Prices, residual spread and rolling z of pair rows."""
     spread = rows.withColumn("spread", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
     scored = data.rolling_z(spread, PAIR).withColumn("z", F.coalesce("rolling_z", F.lit(0.0)))
     return rounded(scored, "spread", "z").select(
+        *PAIR,
         F.col("ts").alias("Timestamp"),
         F.col("y").alias("ASSET_A"),
         F.col("x").alias("ASSET_B"),
@@ -155,6 +154,12 @@ def monitor_rows(spark, sf_dir):
     )
 
 
+def monitor_rows(spark, sf_dir):
+    """Telemetry of the pair with the highest correlation."""
+    best = top_k(data.stats(spark, sf_dir), 1, [F.desc(F.round("corr", 9)), "leg_1", "leg_2"]).select(*PAIR)
+    return pair_telemetry(data.pairs(spark, sf_dir).join(best, PAIR, "left_semi")).drop(*PAIR)
+
+
 def monitor_log(spark, sf_dir):
     path = scratch_path(spark, "monitor")
     store.write_csv(monitor_rows(spark, sf_dir), path)
@@ -180,15 +185,16 @@ def recent_log(spark, sf_dir):
 @query(
     "z_zone",
     over_pairs(
-        """SELECT "Timestamp", "Z-Score", CASE WHEN "Z-Score" > 2 THEN 'inverse' WHEN "Z-Score" < -2 THEN 'off'
-           ELSE 'normal' END AS zone FROM monitor""",
+        f"""SELECT *, CASE WHEN "Z-Score" > 2 THEN 'inverse' WHEN "Z-Score" < -2 THEN 'off' ELSE 'normal' END AS zone
+           FROM (SELECT leg_1, leg_2, ts AS "Timestamp", {r('coalesce(rolling_z, 0.0)')} AS "Z-Score" FROM scored)""",
         60,
-        *MONITOR_CTES,
+        *MONITOR_CTES[:3],
     ),
 )
 def z_zone(spark, sf_dir):
-    log = monitor_rows(spark, sf_dir)
-    return log.select("Timestamp", "`Z-Score`", signals.z_zone(F.col("`Z-Score`")).alias("zone"))
+    """The zone of every pair at every time."""
+    log = pair_telemetry(data.pairs(spark, sf_dir))
+    return log.select(*PAIR, "Timestamp", "`Z-Score`", signals.z_zone(F.col("`Z-Score`")).alias("zone"))
 
 
 # ---- sinks -----------------------------------------------------------------------------------
