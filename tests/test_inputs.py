@@ -80,3 +80,28 @@ def test_lags_beyond_the_default_overlap(spark, block_rows):
     df = spark.createDataFrame([("A", "B", float(v), i + 1, n) for i, v in enumerate(x)], "leg_1 string, leg_2 string, spread double, pos long, n long")
     got = stats.adf(df, lags=lags, block_rows=block_rows).first()
     assert got.used_lag == lags and got.adf_stat == pytest.approx(coef[1] / np.sqrt(variance), rel=1e-6)
+
+
+def test_crowded_chunk_of_probes_is_cut(spark):
+    rng = np.random.default_rng(8)
+    bars = closes(spark, {"A": rng.normal(size=40), "B": rng.normal(size=3)})
+    probes = spark.range(3000).selectExpr("IF(id % 50 = 0, 'B', 'A') AS symbol", "timestamp_micros(id * 793123) AS ts")
+    key = lambda df: sorted((r.symbol, r.ts, r.close) for r in df.collect())
+    whole = key(align.asof_join(bars, probes, max_rows=None))
+    assert len(whole) == 3000 and key(align.asof_join(bars, probes, max_rows=200)) == whole
+    last = {(r.symbol, r.ts): r.close for r in bars.collect()}
+    for symbol, ts, close in whole[::97]:
+        seen = [(t, c) for (s, t), c in last.items() if s == symbol and t <= ts]
+        assert close == (max(seen)[1] if seen else None)
+
+
+@pytest.mark.parametrize("n", [1, 7, 100])
+def test_tails_read_only_the_chunks_they_need(spark, n):
+    from tidepair.operators import windows
+
+    df = closes(spark, {"A": range(60), "B": range(5)})
+    for rows, pick in ((windows.tail_n(df, n, seconds=600), lambda v: v[-n:]), (windows.head_n(df, n, seconds=600), lambda v: v[:n])):
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.symbol, []).append(r.close)
+        assert {s: sorted(v) for s, v in got.items()} == {"A": pick(list(range(60))), "B": pick(list(range(5)))}

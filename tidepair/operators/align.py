@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepair.operators.clean import known
-from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, order_key, with_last_known
+from tidepair.operators.ordered import CHUNK, CHUNK_ROWS, MONTH, add_chunk, order_key, with_last_known
 
 
 def resample_last(
@@ -107,21 +107,24 @@ def align_left(left: DataFrame, right: DataFrame, on: str = "ts") -> DataFrame:
 
 def asof_value(df: DataFrame, probe, value: str = "close") -> DataFrame:
     """Per symbol, the last non-null row at or before one timestamp."""
-    known = df.where((F.col("ts") <= F.lit(probe).cast("timestamp")) & known(value))
-    return known.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by(value, "ts").alias(value))
+    earlier = df.where((F.col("ts") <= F.lit(probe).cast("timestamp")) & known(value))
+    return earlier.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by(value, "ts").alias(value))
 
 
 def asof_join(
-    df: DataFrame, probes: DataFrame, value: str = "close", seconds: int = MONTH
+    df: DataFrame, probes: DataFrame, value: str = "close", seconds: int = MONTH, max_rows: int | None = CHUNK_ROWS
 ) -> DataFrame:
-    """For each (symbol, ts) probe, the last known value at or before it."""
-    rows = df.select("symbol", "ts", value, F.lit(0).alias("_probe"))
+    """For each (symbol, ts) probe, the last known value at or before it.
+
+    Probes may be raw events: chunks of more than ``max_rows`` rows are cut further.
+    """
+    rows = df.where(known(value)).select("symbol", "ts", value, F.lit(0).alias("_probe"))
     asks = probes.select(
         "symbol", "ts", F.lit(None).cast(df.schema[value].dataType).alias(value), F.lit(1).alias("_probe")
     )
     merged = rows.unionByName(asks)
     return (
-        with_last_known(merged, ["symbol"], ["ts", "_probe"], {value: value}, seconds)
+        with_last_known(merged, ["symbol"], ["ts", "_probe"], {value: value}, seconds, max_rows)
         .where(F.col("_probe") == 1)
         .select("symbol", "ts", value)
     )

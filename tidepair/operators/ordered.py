@@ -197,10 +197,11 @@ def with_position(
     order: Sequence[str],
     out: str = "pos",
     seconds: int = MONTH,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based row position within each key."""
+    """Add the 1-based row position within each key; ``max_rows`` as in ``with_neighbour``."""
     before = lambda w: F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    chunked = _with_carry(df, keys, order[0], seconds, [], {"_before": before})
+    chunked = _with_carry(df, keys, order[0], seconds, [], {"_before": before}, max_rows)
     local = F.row_number().over(_local(keys, order)).cast("bigint")
     return chunked.select(*df.columns, (local + F.coalesce(F.col("_before"), F.lit(0))).alias(out))
 
@@ -211,8 +212,9 @@ def with_last_known(
     order: Sequence[str],
     cols: dict[str, str],
     seconds: int = MONTH,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Forward fill: the latest non-null value at or before each row."""
+    """Forward fill: the latest non-null value at or before each row; ``max_rows`` as above."""
     at = order_key(order)
     before = lambda out: lambda w: F.last(f"_l_{out}", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1)
@@ -224,6 +226,7 @@ def with_last_known(
         seconds,
         [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{out}") for out, c in cols.items()],
         {f"_b_{out}": before(out) for out in cols},
+        max_rows,
     )
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     kept = [c for c in df.columns if c not in cols]
