@@ -11,7 +11,18 @@ from tidepair.operators.ordered import order_key
 from tidepair.operators.pairs import PAIR
 from tidepair.operators.signals import STRATEGY_SIGNALS, allowed
 from tidepair.session import scratch_path, use_utc
-from tidepair.streaming.processors import SIGNAL, SNAPSHOT, KalmanPairStrategy, KeyedStep, OrderGate, PriceBoard
+from tidepair.streaming.processors import (
+    RATIO,
+    REVERSION,
+    SIGNAL,
+    SNAPSHOT,
+    KalmanPairStrategy,
+    KeyedStep,
+    MeanReversionStrategy,
+    OrderGate,
+    PriceBoard,
+    RatioStrategy,
+)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -83,6 +94,14 @@ def signals(updates: DataFrame, **params) -> DataFrame:
     return keyed(updates, KalmanPairStrategy(**params), SIGNAL)
 
 
+def mean_reversion(updates: DataFrame, hedge_ratio: float, **params) -> DataFrame:
+    return keyed(updates, MeanReversionStrategy(hedge_ratio, **params), REVERSION)
+
+
+def ratio(updates: DataFrame, **params) -> DataFrame:
+    return keyed(updates, RatioStrategy(**params), RATIO)
+
+
 def order_gate(stream: DataFrame, schema: str = SIGNAL, allow: Sequence[str] = STRATEGY_SIGNALS, **limits) -> DataFrame:
     """Allow-listed signals that pass the per-pair cooldown and the optional limits."""
     columns = [part.split()[0] for part in schema.split(", ")]

@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidepair.operators.kalman import initial_state, step
-from tidepair.operators.signals import ENTRY_LONG_SPREAD, ENTRY_SHORT_SPREAD, EXIT_ALL
+from tidepair.operators.signals import DEMO_ENTRY, ENTRY_LONG, ENTRY_LONG_SPREAD, ENTRY_SHORT, ENTRY_SHORT_SPREAD, EXIT_ALL
 
 SNAPSHOT = "leg_1 string, leg_2 string, ts timestamp, y double, x double"
 SIGNAL = (
     "leg_1 string, leg_2 string, ts timestamp, signal_type string, side int, y double, x double, "
     "z_score double, beta double, predicted_y double, error double"
 )
+REVERSION = "leg_1 string, leg_2 string, ts timestamp, signal_type string, y double, x double, z_score double, spread double"
+RATIO = "leg_1 string, leg_2 string, ts timestamp, signal_type string, y double, x double, ratio double"
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -104,6 +106,54 @@ class KalmanPairStrategy(KeyedStep):
         return (y, x, *filtered, position), emitted
 
 
+class MeanReversionStrategy(KeyedStep):
+    """Price board and an entry on every bar whose spread is far from its trailing mean."""
+
+    state_schema = "y double, x double, seen array<double>"
+    columns = ["leg_1", "leg_2", "ts", "signal_type", "y", "x", "z_score", "spread"]
+
+    def __init__(self, hedge_ratio: float, window: int = 30, threshold: float = 2.0, min_obs: int = 20):
+        self.hedge_ratio, self.window, self.threshold, self.min_obs = hedge_ratio, window, threshold, min_obs
+
+    def start(self):
+        return None, None, []
+
+    def advance(self, state, row):
+        y = state[0] if pd.isna(row.y) else float(row.y)
+        x = state[1] if pd.isna(row.x) else float(row.x)
+        if y is None or x is None:
+            return (y, x, state[2]), None
+        spread = y - self.hedge_ratio * x
+        seen = [*state[2], spread][-self.window :]
+        mean = sum(seen) / len(seen)
+        std = (sum((v - mean) ** 2 for v in seen) / len(seen)) ** 0.5
+        z = (spread - mean) / std if len(seen) >= self.min_obs and std > 0 else 0.0
+        if abs(z) <= self.threshold:
+            return (y, x, seen), None
+        return (y, x, seen), (row.ts, ENTRY_LONG if z < 0 else ENTRY_SHORT, y, x, z, spread)
+
+
+class RatioStrategy(KeyedStep):
+    """Price board and an entry on every bar whose price ratio is above the threshold."""
+
+    state_schema = "y double, x double"
+    columns = ["leg_1", "leg_2", "ts", "signal_type", "y", "x", "ratio"]
+
+    def __init__(self, threshold: float = 1000.0):
+        self.threshold = threshold
+
+    def start(self):
+        return None, None
+
+    def advance(self, state, row):
+        y = state[0] if pd.isna(row.y) else float(row.y)
+        x = state[1] if pd.isna(row.x) else float(row.x)
+        emitted = None
+        if y is not None and x is not None and x != 0 and y / x > self.threshold:
+            emitted = (row.ts, DEMO_ENTRY, y, x, y / x)
+        return (y, x), emitted
+
+
 class OrderGate(KeyedStep):
     """Passes a signal when the key is not cooling down, nor over its rate, nor in a closed hour."""
 

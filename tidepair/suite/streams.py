@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.clean import valid_ticks
 from tidepair.operators.pairs import PAIR
+from tidepair.plans.strategies import run_strategy
 from tidepair.sources.bars import read_monitor
 from tidepair.sources.schemas import EVENTS_DDL
 from tidepair.streaming import jobs
-from tidepair.streaming.processors import SIGNAL
+from tidepair.streaming.processors import REVERSION, SIGNAL, MeanReversionStrategy
 from tidepair.suite import data, sql
 from tidepair.suite.registry import query, rounded
 from tidepair.suite.scans import INSTRUMENTS_SQL, RAW_TICKS_SQL, instruments, raw_ticks
-from tidepair.suite.sql import r
+from tidepair.suite.sql import over_pairs, r
+from tidepair.suite.trading import MR_SQL
 
 # No two events share a timestamp.
 ORDER = ("ts",)
@@ -111,6 +113,38 @@ def stream_signals(spark, sf_dir):
     return _report(jobs.run_append(jobs.signals(_pair_updates(spark, sf_dir)), "signals"))
 
 
+_RATIO = 1.05
+
+
+@query(
+    "stream_mean_reversion",
+    sql.query(_CLOSED, _BOARD, MR_SQL, body=f"SELECT leg_1, leg_2, ts, signal_type, {r('z', 5)} AS z_score, {r('spread', 4)} AS spread FROM mr"),
+)
+def stream_mean_reversion(spark, sf_dir):
+    found = jobs.run_append(jobs.mean_reversion(_pair_updates(spark, sf_dir), 1.25), "reversion")
+    return rounded(rounded(found.drop("y", "x"), "z_score", digits=5), "spread", digits=4)
+
+
+@query(
+    "stream_ratio",
+    sql.query(_CLOSED, _BOARD, body=f"SELECT leg_1, leg_2, ts, 'DEMO_ENTRY' AS signal_type, {r('y / x')} AS ratio FROM pairs WHERE y / x > {_RATIO}"),
+)
+def stream_ratio(spark, sf_dir):
+    found = jobs.run_append(jobs.ratio(_pair_updates(spark, sf_dir), threshold=_RATIO), "ratio")
+    return rounded(found.drop("y", "x"), "ratio")
+
+
+@query(
+    "strategy_batch",
+    over_pairs(f"SELECT leg_1, leg_2, ts, signal_type, {r('z', 5)} AS z_score, {r('spread', 4)} AS spread FROM mr", 60, MR_SQL),
+)
+def strategy_batch(spark, sf_dir):
+    """The streamed mean-reversion step as a plug-in of the batch path."""
+    rows = data.pairs(spark, sf_dir).select(*PAIR, "ts", "y", "x")
+    found = run_strategy(rows, MeanReversionStrategy(1.25), REVERSION).drop("y", "x")
+    return rounded(rounded(found, "z_score", digits=5), "spread", digits=4)
+
+
 def _signal_table(spark, sf_dir):
     """Path of the signals table that the strategy job leaves, for the jobs behind it."""
     return jobs.run_batches(jobs.signals(_pair_updates(spark, sf_dir)), "signals", jobs.table_sink)
