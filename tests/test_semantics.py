@@ -198,9 +198,9 @@ def test_gate_and_order_types(spark):
     orders = [("A", "BUY", 10.0, "MKT"), ("B", "SELL", 5.0, "LMT")]
     kinds = ["HOLD", "EXIT", None, "WHAT", "LONG_SPREAD"]
     df = spark.createDataFrame([("A", "B", i, k, orders) for i, k in enumerate(kinds)], SIGNAL_SCHEMA)
-    passed = signals.allowed(df, signals.GATE_DEFAULT)
+    passed = signals.allowed(df, ["LONG_SPREAD", "SHORT_SPREAD", "EXIT"])
     assert rows(passed, "signal_type") == [("EXIT",), ("LONG_SPREAD",)]
-    assert signals.rejected(df, signals.GATE_DEFAULT).count() == 3
+    assert signals.rejected(df, ["LONG_SPREAD", "SHORT_SPREAD", "EXIT"]).count() == 3
     sent, refused = signals.order_intents(passed.where("signal_type = 'EXIT'"))
     assert rows(sent, "asset", "type") == [("A", "MKT")] and rows(refused, "asset", "type") == [("B", "LMT")]
 

@@ -11,7 +11,7 @@ from tidepair.operators.ordered import with_neighbour
 from tidepair.operators.pairs import PAIR
 from tidepair.operators.windows import rolling_z
 
-# Signal names of the strategies and of the gate's default allow-list.
+# Signal names of the strategies.
 ENTRY_LONG_SPREAD, ENTRY_SHORT_SPREAD, EXIT_ALL = "ENTRY_LONG_SPREAD", "ENTRY_SHORT_SPREAD", "EXIT_ALL"
 ENTRY_LONG, ENTRY_SHORT, DEMO_ENTRY, HOLD = "ENTRY_LONG", "ENTRY_SHORT", "DEMO_ENTRY", "HOLD"
 STRATEGY_SIGNALS = [ENTRY_LONG_SPREAD, ENTRY_SHORT_SPREAD, EXIT_ALL, ENTRY_LONG, ENTRY_SHORT, DEMO_ENTRY]
