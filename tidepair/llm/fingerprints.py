@@ -11,7 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepair.llm import minhash_dedup
@@ -21,8 +21,6 @@ from tidepair.session import stage
 PERMUTATIONS, SEED = 128, 19
 #: Bands and places in a band: a pair of similarity 0.75 shares a band with 1 - 4e-7.
 BANDS, ROWS = 32, 4
-#: Hexadecimal digits of a place: the low 16 bits of its minimum.
-DIGITS = 4
 
 
 def signatures(texts: list[bytes], n: int = PERMUTATIONS) -> np.ndarray:
@@ -35,44 +33,91 @@ def written(rows: np.ndarray) -> list[str]:
     return [r.astype(">u2").tobytes().hex() for r in rows]
 
 
-def likeness(a: Column, b: Column, n: int = PERMUTATIONS) -> Column:
-    """Share of equal places of two written fingerprints, 0 to 1."""
-    same = lambda i: (F.substring(a, i * DIGITS + 1, DIGITS) == F.substring(b, i * DIGITS + 1, DIGITS)).cast("int")
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), same), F.lit(0), lambda s, x: s + x) / n
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint) of every row; a null text counts as empty."""
+
+    def fn(batch, texts):
+        return batch.column("doc_id"), written(signatures(texts))
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return tx.map_texts(rows, fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def row_key() -> Column:
-    """Names a row by its id and text; rows that repeat both share it."""
-    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.col("text").cast("binary")))
+_COMPARED = "doc_id long, n_chars long, edited_sha256 string, mine binary, theirs binary, near_edited double, near_next double"
 
 
-def next_rows(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, n_chars, next_key): each row's successor by descending doc_id, last to first.
+def _edited(text: str, following: str) -> bytes:
+    """The text with its last third replaced by as many first characters of the next one."""
+    cut = len(text) // 3
+    return (text[: len(text) - cut] + following[:cut]).encode()
 
-    Only ids are put in order: ranges of them are numbered, each range links its own rows, and
-    the ends of ranges are linked over one row a range. Null ids come last, equal ids are in
-    order of their keys.
-    """
-    ids = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.length("text")).cast("long").alias("n_chars"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("key")]
-    placed = stage(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("part").orderBy(*order)
-    linked = placed.withColumn("next_key", F.lead("key").over(within)).withColumn("place", F.row_number().over(within))
-    linked = stage(linked, "linked")
-    firsts = linked.where("place = 1").select("part", F.col("key").alias("first"))
-    ends = firsts.withColumn("after", F.lead("first").over(Window.orderBy("part")))
-    ends = ends.withColumn("after", F.coalesce("after", F.first("first").over(Window.orderBy("part")))).select("part", "after")
-    return linked.join(ends, "part").select("key", "doc_id", "n_chars", F.coalesce("next_key", "after").alias("next_key"))
 
+def _compared(ids: list, texts: list[bytes], followings: list[bytes], mine: np.ndarray, after: np.ndarray) -> list:
+    """Columns of _COMPARED for texts with their successors and both signatures."""
+    whole = [t.decode() for t in texts]
+    edits = [_edited(t, f.decode()) for t, f in zip(whole, followings, strict=True)]
+    theirs = _signed(edits)
+    binary = lambda rows: [r.astype(">u2").tobytes() for r in rows]
+    digests = [hashlib.sha256(e).hexdigest() for e in edits]
+    return [ids, [len(t) for t in whole], digests, binary(mine), binary(theirs), (mine == theirs).mean(axis=1), (mine == after).mean(axis=1)]
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every row; a null text counts as empty."""
+
+def _signed(texts: list[bytes]) -> np.ndarray:
+    """Signatures of many texts, hashed in slices of bounded size."""
+    parts = [signatures(texts[a:b]) for a, b in tx.slices([len(t) for t in texts])]
+    return np.concatenate(parts) if parts else np.zeros((0, PERMUTATIONS), dtype=np.uint16)
+
+
+def _stream(batches):
+    """Compares each row of a sorted partition with the next one; the partition's first and
+    last rows go out with their texts (kind F and L), to be linked across partitions."""
+    schema = pa.schema(
+        [("kind", pa.string()), ("digest", pa.string()), ("text", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string())]
+        + [("mine", pa.binary()), ("theirs", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    )
+
+    def border(kind, row):
+        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(schema.names, (kind, row[1], row[2].decode(), row[0], *[None] * 6), strict=True)}, schema=schema)
+
+    last, signed = None, None
+    for batch in batches:
+        texts, ids, digests = tx.text_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
+        for a, b in tx.slices([len(t) for t in texts]):
+            mine = signatures(texts[a:b])
+            if last is None:
+                yield border("F", (ids[a], digests[a], texts[a]))
+                rows, signs = texts[a:b], mine
+                owners = ids[a:b]
+            else:
+                rows, signs, owners = [last[2], *texts[a:b]], np.concatenate([signed, mine]), [last[0], *ids[a:b]]
+            if len(rows) > 1:
+                out = _compared(owners[:-1], rows[:-1], rows[1:], signs[:-1], signs[1:])
+                n = len(rows) - 1
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string())] * 3 + [pa.array(c, type=schema.field(i + 3).type) for i, c in enumerate(out)], schema=schema)
+            last, signed = (ids[b - 1], digests[b - 1], texts[b - 1]), mine[-1:]
+    if last is not None:
+        yield border("L", last)
+
+
+def _across(borders: DataFrame) -> DataFrame:
+    """The last row of each partition, compared with the first one of the next.
+
+    Only ids and digests are put in order, two rows a partition; the texts are joined after.
+    """
+    order = Window.orderBy(F.col("doc_id").desc_nulls_last(), F.col("digest"), F.col("kind"))
+    names = borders.select("kind", "doc_id", "digest", F.struct("doc_id", "digest").alias("name"))
+    placed = names.withColumn("next", F.lead("name").over(order)).withColumn("start", F.first("name").over(order))
+    lasts = placed.where("kind = 'L'").select("doc_id", "digest", F.coalesce("next", "start").alias("next"))
+    key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), digest)
+    texts = borders.select(key(F.col("doc_id"), F.col("digest")).alias("key"), "text").dropDuplicates(["key"])
+    wanted = lasts.select("doc_id", key(F.col("doc_id"), F.col("digest")).alias("own"), key(F.col("next.doc_id"), F.col("next.digest")).alias("after"))
+    pairs = wanted.join(texts.select(F.col("key").alias("own"), "text"), "own").join(texts.select(F.col("key").alias("after"), F.col("text").alias("following")), "after")
 
     def fn(batch, texts):
-        return batch.column("doc_id"), written(signatures(texts))
+        following = tx.text_bytes(batch.column("following"))
+        return _compared(batch.column("doc_id").to_pylist(), texts, following, signatures(texts), _signed(following))
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return tx.map_texts(rows, fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return tx.map_texts(pairs.select("doc_id", "text", "following"), fn, _COMPARED)
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -80,35 +125,22 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by the beginning of the next document, by
     descending doc_id (after the last comes the first). Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as empty; a
-    lone document follows itself; rows that repeat id and text get equal rows. An empty table
-    gives an empty result.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", row_key())
-    links = stage(next_rows(rows), "links").withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
-    texts = rows.select("key", "text")
-    wanted = links.select(F.col("next_key").alias("key"), F.col("key").alias("for"), "cut")
-    heads = texts.join(wanted, "key").select(F.col("for").alias("key"), F.expr("substring(text, 1, cut)").alias("head"))
-    heads = heads.groupBy("key").agg(F.max("head").alias("head"))
-    full = texts.join(links.select("key", "doc_id", "n_chars", "next_key", "cut"), "key").join(heads, "key")
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - cut as int))"), F.col("head"))
-    full = full.select("key", "doc_id", "n_chars", "next_key", "text", edited.alias("edited"))
+    fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as empty; null
+    ids come last; rows of one id follow each other in order of their texts' digests; a lone
+    document follows itself. An empty table gives an empty result.
 
-    def fn(batch, texts):
-        changed = tx.text_bytes(batch.column("edited"))
-        mine, theirs = signatures(texts), signatures(changed)
-        near = (mine == theirs).mean(axis=1)
-        digests = [hashlib.sha256(t).hexdigest() for t in changed]
-        return batch.column("key"), batch.column("doc_id"), batch.column("n_chars"), batch.column("next_key"), digests, written(mine), written(theirs), near
-
-    schema = "key string, doc_id long, n_chars long, next_key string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"
-    marked = stage(tx.map_texts(full, fn, schema), "fingerprints")
-    following = marked.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("following")).dropDuplicates(["next_key"])
-    out = marked.join(following, "next_key")
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("fingerprint"), F.col("following")).alias("near_next")
-    )
+    Texts are dealt once, by ranges of ids; a partition streams through its sorted rows with
+    the last one in hand, and only rows at the borders of partitions are joined.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("digest")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    streamed = stage(dealt.mapInArrow(_stream, f"kind string, digest string, text string, {_COMPARED}"), "fingerprints")
+    done = streamed.where("kind is null").select(*[c.split(" ")[0] for c in _COMPARED.split(", ")])
+    every = done.unionByName(_across(streamed.where("kind is not null").select("kind", "doc_id", "digest", "text")))
+    hexed = lambda c: F.lower(F.hex(c))
+    return every.select("doc_id", "n_chars", "edited_sha256", hexed("mine").alias("fingerprint"), hexed("theirs").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
