@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tidepair import suite
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "customer events orders".split()
+TABLES = "customer events orders lineitem".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
@@ -27,14 +28,19 @@ def canonical(pdf):
     return sorted(tuple("" if pd.isna(v) else str(v) for v in row) for row in pdf.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+QUERIES, SQL = suite.load()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, oracle, name):
-    got = entry.queries()[name](spark, SF_DIR).toPandas()
-    want = oracle.execute(entry.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF_DIR).toPandas()
+    want = oracle.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
 
+def test_entry_holds_every_query():
+    assert QUERIES.keys() <= entry.queries().keys() and SQL.keys() <= entry.oracle_sql().keys()
 
 
 def test_entry(spark):
