@@ -111,8 +111,10 @@ def judge(docs: DataFrame) -> DataFrame:
         (chars("_lines") - chars("_good")).alias("lost_chars"),
         F.array_join("_good", "\n").alias("cleaned"),
     )
-    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("line_chars"))
-    return rows.withColumn("kept", kept)
+    # A numbered row keeps the optimiser from copying the whole judgement into a filter on it.
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.col("line_chars")) & (F.col("_row") >= 0)
+    return rows.withColumn("kept", kept).drop("_row")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -121,9 +123,7 @@ def clean(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, becomes the length of the cleaned text. The row travels
     beside the judged columns in one struct, so clashing names can't meet.
     """
-    judged = judge(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
-    # A numbered row keeps the optimiser from copying the whole judgement into the filter.
-    judged = judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    judged = judge(docs.select(F.struct(*docs.columns).alias("doc_id"), "text")).where("kept")
     out = []
     for field in docs.schema.fields:
         if field.name == "text":
