@@ -180,6 +180,18 @@ def test_shared_passage_in_many_documents_and_odd_rows(spark):
     assert passage_dedup.repeated_passages(cases.empty(spark)).collect() == []
 
 
+def test_repeats_around_a_frequent_line_are_found(spark):
+    # Half of each pair's passage is stock text that all others hold too.
+    stock = cases.prose(77, 25)
+    data = [(1000 + i, f"{cases.prose(3000 + i, 60)} {stock} {cases.prose(4000 + i, 60)}", "en", "s", 1) for i in range(40)]
+    for i in range(40):
+        passage = f"{stock} {cases.prose(2000 + i, 25)}"
+        data += [(100 + i, f"{cases.prose(5000 + i, 60)} {passage} {cases.prose(6000 + i, 60)}", "en", "s", 1)]
+        data += [(200 + i, f"{cases.prose(7000 + i, 60)} {passage} {cases.prose(8000 + i, 60)}", "en", "s", 1)]
+    got = passage_dedup.repeated_passages(cases.frame(spark, data, clash=False)).collect()
+    assert {(r.doc_id, r.match_id, r.start_word, r.end_word) for r in got} == {x for i in range(40) for x in ((100 + i, 200 + i, 60, 110), (200 + i, 100 + i, 60, 110))}
+
+
 def test_shingles_and_words_match_brute_force():
     texts = ["", "a", "a b c", "A b\tc d e", "é ü\x0bb  c d e f", "x " * 50, "日本 語 a b c d"]
     words = tx.Words([t.encode() for t in texts])
