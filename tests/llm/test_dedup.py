@@ -205,6 +205,23 @@ def test_near_passages_are_found(spark):
     assert len({r.doc_id for r in got}) >= 2 * 295
 
 
+def test_passages_bridge_what_their_length_allows():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    # Seven words in the middle of 100 leave 11 shingles without a match.
+    for n, misses in ((96, 11), (46, 6), (700, 90)):
+        one = draw(n)
+        two = one.copy()
+        two[(n - misses) // 2 : (n - misses) // 2 + misses] = draw(misses)
+        both = n - misses
+        assert passage_dedup._passages(one, two, (0, n - 1, 0, n - 1)) == [(0, n + 4, 0, n + 4, both / (n + misses))]
+        # A stray match next to the passage takes nothing from it.
+        mine, theirs, stray = draw(60), draw(60), draw(1)
+        one2, two2 = np.concatenate([one, mine, stray]), np.concatenate([stray, theirs, two])
+        got = passage_dedup._passages(one2, two2, (0, len(one2) - 1, 0, len(two2) - 1))
+        assert got == [(0, n + 4, 61, 61 + n + 4, both / (n + misses))]
+
+
 def test_shingles_and_words_match_brute_force():
     texts = ["", "a", "a b c", "A b\tc d e", "é ü\x0bb  c d e f", "x " * 50, "日本 語 a b c d"]
     words = tx.Words([t.encode() for t in texts])
