@@ -61,6 +61,16 @@ def test_large_group_of_copies_stays_linear(spark):
     assert {r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == {0}
 
 
+def test_links_between_members_far_from_the_ends(spark):
+    # All documents share 840 words (similarity 0.72, no link), pairs of them 30 more (0.77).
+    shared = cases.prose(1, 840)
+    data = [(i, f"{shared} {cases.prose(100 + i % 30, 30)} {cases.prose(1000 + i, 130)}", "en", "s", 1) for i in range(60)]
+    docs = cases.frame(spark, data, clash=False)
+    want = brute_components({r[0]: cases.shingles(r[1]) for r in data})
+    assert want == {i: i % 30 for i in range(60)}
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_drop_keeps_one_of_each_group_and_the_columns(spark):
     docs = cases.frame(spark)
     out = minhash_dedup.drop_near_duplicates(docs)

@@ -26,6 +26,8 @@ SEED = 7
 LEAST_EQUAL = 18
 #: Similarity of a link, in per cent.
 PERCENT = 75
+#: Open pairs are all compared once there are no more than so many for each row of the open buckets.
+OPEN = 16
 
 
 def sketches(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
@@ -56,15 +58,27 @@ def table_keys(sketch: DataFrame, groups: int = GROUPS, width: int = WIDTH) -> D
     return wide.select("node", "x", F.explode("y").alias("y")).select(F.xxhash64("x", "y").alias("key"), "node")
 
 
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, node, lo, hi, n) of buckets with several nodes: their least and greatest one, and how many.
+
+    The ends of a bucket come from a map-side aggregate; the join back is one that Spark can
+    split at a hot key.
+    """
+    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("node").alias("n")).where("lo < hi")
+    return keys.join(ends, "key")
+
+
+def _to_ends(met: DataFrame) -> DataFrame:
+    ends = met.select(F.explode(F.array(F.struct("node", F.col("lo").alias("end")), F.struct("node", F.col("hi").alias("end")))).alias("p"))
+    return ends.select(F.least("p.node", "p.end").alias("a"), F.greatest("p.node", "p.end").alias("b")).where("a < b").distinct()
+
+
 def candidates(keys: DataFrame) -> DataFrame:
     """(a, b), a < b: every node with the least and the greatest node of each of its tables' buckets.
 
-    So a bucket gives at most two pairs a member, never all pairs. The ends of a bucket come
-    from a map-side aggregate; the join back is one that Spark can split at a hot key.
+    So a bucket gives at most two pairs a member at first; ``settled`` sees to the others.
     """
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    joined = keys.join(ends, "key").select(F.explode(F.array(F.struct("node", F.col("lo").alias("end")), F.struct("node", F.col("hi").alias("end")))).alias("p"))
-    return joined.select(F.least("p.node", "p.end").alias("a"), F.greatest("p.node", "p.end").alias("b")).where("a < b").distinct()
+    return _to_ends(buckets(keys))
 
 
 def likely(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
@@ -105,8 +119,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) over the confirmed pairs.
+def spanning(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that span the components of the confirmed pairs.
 
     First each node is confirmed against its least candidate only; then just the candidates
     that still lie in different components. Copies of one group so cost one comparison each.
@@ -122,7 +136,51 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     open_pairs = stage(open_pairs, "open")
     more = stage(confirm(open_pairs, docs, percent), "confirmed")
-    return components(links.unionByName(more))
+    return links.unionByName(more)
+
+
+def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) over the confirmed pairs."""
+    return components(spanning(pairs, docs, percent))
+
+
+def settled(links: DataFrame, crowd: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) such that any two nodes of one bucket of ``crowd`` (key, node) are in one
+    component or were compared.
+
+    Rounds compare the members of a bucket with one of them, drawn anew each time, and merge what
+    they link, until few pairs of different components are left or a round links nothing. Then
+    all those pairs are compared: as many as a bucket has that collide and are not alike.
+    """
+    turn, last = 0, False
+    while True:
+        label = stage(components(links), "components")
+        if last:
+            return label
+        rows = crowd.join(label.repartition(F.xxhash64("node")), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        parts = rows.groupBy("key", "component").agg(F.count("node").alias("held"))
+        mixed = parts.groupBy("key").agg(F.count("component").alias("parts"), F.sum("held").alias("n"), F.sum(F.col("held") * F.col("held")).alias("same")).where("parts > 1")
+        mixed = stage(mixed, "mixed")
+        left = mixed.agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+        if not left.rows:
+            return label
+        rows = stage(rows.join(mixed.select("key").repartition(F.xxhash64("key")), "key", "left_semi"), "open")
+        last = left.pairs <= OPEN * left.rows
+        while True:
+            if last:
+                one = rows.select("key", F.col("node").alias("other"), F.col("component").alias("c"))
+                meets = F.col("other") < F.col("node")
+            else:
+                one = rows.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("component").alias("c")), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
+                meets = F.lit(True)
+            pairs = rows.join(one.withColumnRenamed("key", "k").repartition(F.xxhash64("k")), (F.col("key") == F.col("k")) & (F.col("component") != F.col("c")) & meets)
+            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            more = stage(confirm(stage(likely(pairs, sketch, LEAST_EQUAL), "pairs"), docs, percent), "confirmed")
+            turn += 1
+            if last or more.limit(1).count():
+                break
+            last = True
+        links = links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -139,8 +197,10 @@ def near_duplicates(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH, p
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "classes")
     nodes = classes.select("node", "sig")
-    pairs = likely(candidates(table_keys(nodes, groups, width)), nodes, LEAST_EQUAL)
-    found = linked(pairs, docs, percent)
+    met = stage(buckets(table_keys(nodes, groups, width)), "buckets")
+    links = spanning(likely(_to_ends(met), nodes, LEAST_EQUAL), docs, percent)
+    # Buckets of up to three nodes have no pair without an end.
+    found = settled(links, met.where("n > 3").select("key", "node"), nodes, docs, percent)
     named = classes.select("digest", "node").join(found, "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component"))
     out = sketch.join(named, "digest", "left")
