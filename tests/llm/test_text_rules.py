@@ -160,6 +160,22 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert len(surrogates.replace(cases.frame(spark)).collect()) == len(cases.rows())
 
 
+def test_no_token_of_a_titled_name_remains(spark):
+    texts = [
+        "Mrs. Anna Maria Keller met Dr. John A. Smith; later Ms. Keller and Mr. Smith left.",
+        "Prof. J. R. Tolkner saw Herr Karl von der Heide, Señora María de la Fuente and Mr. Ian McDonald.",
+        "Mr. Peter Paul Mary Jones Mrs. Eva O'Hara",
+    ]
+    got = {r.doc_id: r for r in surrogates.replace(cases.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        for token in re.findall(r"[A-Z]\w+", t):
+            assert token in ("Mrs", "Dr", "Ms", "Mr", "Prof", "Herr", "Señora") or token not in got[i].text, token
+    m = re.fullmatch(r"Mrs\. (\w+na) (\w+na) (\w+mer) met Dr\. (\w+) ([A-Z])\. (\w+mer); later Ms\. (\w+) and Mr\. (\w+) left\.", got[0].text)
+    assert m and m[3] == m[7] and m[6] == m[8] and m[5] != "A"
+    assert re.search(r"Herr \w+ron von der \w+mer, Señora \w+na de la \w+mer and Mr\. ", got[1].text)
+    assert [got[i].kinds.count("name") for i in range(3)] == [4, 4, 2]
+
+
 def test_surrogates_stay_distinct_where_they_collide(spark):
     # 676 two-letter addresses on one domain: keyed spelling meets itself, and meets real ones.
     letters = "abcdefghijklmnopqrstuvwxyz"

@@ -10,6 +10,8 @@ value that occurs, are given new ones until none do.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,12 @@ _NOT_IN = r"(?<![\p{L}\p{N}])"
 _MALE = r"Mr\.?|Mister|Herrn?|Señor|Sr\.|Monsieur|господин"
 _FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Señora|Sra\.|Madame|Mme\.?|госпожа"
 _EITHER = r"Dr\.|Prof\."
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}[\p{Ll}]+)*"
+_TOKEN = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}]+(?:\p{Lu}\p{Ll}+)*(?:[-'’]\p{Lu}[\p{Ll}]+)*"
+#: A title opens a name of its own.
+_NAME = rf"(?!(?:{_MALE}|{_FEMALE}|{_EITHER}) )" + _TOKEN
+_DOTTED = r"(?:\p{Lu}\.)(?:-?\p{Lu}\.)*"
+_INITIAL = rf"(?:{_DOTTED}|\p{{Lu}}(?![\p{{L}}\p{{N}}'’.-]))"
+_PARTICLE = r"(?:[Vv][oa]n|vom|zu[mr]?|[Dd]e|del|[Dd]ella|den|der|des|[Dd]i|d[ao]s?|[Dd]u|l[aeo]s?|el|al|bin|ibn|te[rn]|y)(?![\p{L}\p{N}'’-])"
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -36,7 +43,7 @@ PATTERNS = {
     "phone": _NOT_IN + r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
     "ssn": _NOT_IN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}])",
     "card": _NOT_IN + r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})(?![\p{L}\p{N}])",
-    "name": _NOT_IN + rf"(?:{_MALE}|{_FEMALE}|{_EITHER}) {_NAME}(?: {_NAME})?",
+    "name": _NOT_IN + rf"(?:{_MALE}|{_FEMALE}|{_EITHER}) (?:(?:{_INITIAL}|{_PARTICLE}|{_NAME}) )*{_NAME}(?: {_DOTTED})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -157,6 +164,15 @@ def _token(kind: Column, value: Column, key: str, tweak: Column) -> Column:
     return F.when(value.rlike(_SCRIPTS["cyrillic"]), spelled("cyrillic")).otherwise(spelled("latin"))
 
 
+def _initials(value: Column, key: str) -> Column:
+    """Each letter turned to another of its alphabet, by a keyed step; letters of none count as E."""
+    alphabets = [a.upper() for a in _ALPHABETS.values()]
+    steps = [1 + int.from_bytes(hashlib.blake2b(f"{key}:{a}".encode()).digest()[:8], "big") % (len(a) - 1) for a in alphabets]
+    known = "".join(alphabets)
+    turned = "".join(a[n:] + a[:n] for a, n in zip(alphabets, steps, strict=True))
+    return F.translate(F.regexp_replace(value, rf"[\p{{Lu}}&&[^{known}]]", "E"), known, turned)
+
+
 def surrogate(kind: Column, value: Column, key: str, tweak: Column) -> Column:
     """Replacement of a canonical value; ``tweak`` numbers the attempts."""
     return (
@@ -165,12 +181,15 @@ def surrogate(kind: Column, value: Column, key: str, tweak: Column) -> Column:
         .when(kind == "phone", _phone(value, key, tweak))
         .when(kind == "ssn", _permuted(value, key, tweak))
         .when(kind == "card", _card(value, key, tweak))
+        .when(kind == "initial", _initials(value, key))
+        .when(kind == "particle", value)
         .otherwise(_token(kind, value, key, tweak))
     )
 
 
 def _parts(raw: Column) -> Column:
-    """(kind, value) structs of a match: one, or one for each name token after a title.
+    """(kind, value) structs of a match: one, or one for each name token after a title: the last is the
+    surname, particles stay, initials are turned, all others are given names.
 
     Case, separators and brackets don't count: an address is lower-cased, numbers are digits.
     """
@@ -178,9 +197,11 @@ def _parts(raw: Column) -> Column:
     kind = _kind(raw)
     words = F.split(raw, " ")
     given = F.when(raw.rlike(f"^(?:{_FEMALE}) "), "given_f").when(raw.rlike(f"^(?:{_MALE}) "), "given_m").otherwise("given")
-    tokens = F.transform(
-        F.slice(words, 2, 2), lambda w, i: F.struct(F.when((i == 0) & (F.size(words) > 2), given).otherwise("surname").alias("kind"), w.alias("value"))
-    )
+    names = F.slice(words, 2, F.size(words) - 1)
+    initial = lambda w: w.rlike(f"^{_INITIAL}$")
+    last = F.size(names) - F.when(initial(F.element_at(names, -1)), 2).otherwise(1)
+    of = lambda w, i: F.when(initial(w), "initial").when(w.rlike(f"^{_PARTICLE}$") & (i < last), "particle").when(i < last, given).otherwise("surname")
+    tokens = F.transform(names, lambda w, i: F.struct(of(w, i).alias("kind"), w.alias("value")))
     coded = r"^(\+[0-9]{1,3})(?=[ .(-])"
     code = F.when(raw.rlike(coded), F.concat(F.regexp_extract(raw, coded, 1), F.lit(" "))).otherwise("")
     phone = F.concat(code, _digits(F.regexp_replace(raw, coded, "")))
@@ -208,9 +229,9 @@ def _dressed(raw: Column, kind: Column, new: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, value) of all texts."""
+    """Distinct (kind, value) of all texts; initials and particles need not be distinct."""
     found = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(ANY), F.lit(0))).alias("raw")).distinct()
-    return found.select(F.explode(_parts(F.col("raw"))).alias("e")).select("e.kind", "e.value").distinct()
+    return found.select(F.explode(_parts(F.col("raw"))).alias("e")).select("e.kind", "e.value").where(~F.col("kind").isin("initial", "particle")).distinct()
 
 
 def overrides(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -263,7 +284,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = rows.withColumn("found", each)
     new = F.transform("found", lambda e: F.struct(e["raw"].alias("raw"), F.get(e["parts"], 0)["kind"].alias("kind"), F.transform(e["parts"], final).alias("new")))
     rows = rows.withColumn("found", new)
-    is_name = lambda e: F.substring_index(e["kind"], "_", 1).isin("given", "surname")
+    is_name = lambda e: F.substring_index(e["kind"], "_", 1).isin("given", "surname", "initial", "particle")
     written = F.transform(
         "found",
         lambda e: F.when(is_name(e), F.concat_ws(" ", F.substring_index(e["raw"], " ", 1), e["new"])).otherwise(_dressed(e["raw"], e["kind"], F.get(e["new"], 0))),
