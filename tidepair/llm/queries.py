@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidepair.llm import bpe, fingerprints, language_id, minhash_dedup, passage_dedup, quality_classifier, quality_rules, secret_scan, source_mix, surrogates
+from tidepair.llm import (
+    bpe,
+    fill_middle,
+    fingerprints,
+    language_id,
+    minhash_dedup,
+    packing,
+    passage_dedup,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    surrogates,
+)
 from tidepair.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +104,18 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.repeated_passages(documents(spark, sf_dir))
+
+
+@query
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), keep_ids=False)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.planted(documents(spark, sf_dir)))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
