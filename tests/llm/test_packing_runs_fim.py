@@ -290,7 +290,7 @@ def test_packing_to_given_weights(spark):
 def test_rare_sources_wait_for_a_turn(spark):
     data = [(i, cases.prose(i, 300), "en", "big", 1) for i in range(200)] + [(1000, cases.prose(9, 120), "en", "small", 1)]
     rows = packing.pack(cases.frame(spark, data, clash=False)).collect()
-    # Credit of a share far below one turn a window gathers over windows, so pieces are turns, not crumbs.
+    # Credit of a share far below one turn a window gathers over windows, so pieces are turns (or what a sequence end leaves of one).
     own = [r for r in rows if r.doc_id == 1000]
-    assert len(own) <= 1.5 * own[0].doc_tokens / packing.TURN
+    assert len(own) <= 2 * own[0].doc_tokens / packing.TURN + 2
     assert len({r.sequence_id for r in own}) > 5
