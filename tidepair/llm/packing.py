@@ -15,6 +15,7 @@ every 4096 tokens. The rest at a bin's end becomes sequences of powers of two, w
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from itertools import chain
@@ -39,15 +40,33 @@ LENGTH = 4096
 TURN, SPLINTER = 128, 32
 #: Windows whose turns are packed as one stream.
 BIN = 1024
-#: Words of up to so many bytes are kept with their ids, up to so many of them.
-LONGEST_KEPT, MOST_KEPT = 64, 400_000
+#: Pieces of up to so many characters are kept with their ids, up to so many of them.
+LONGEST_KEPT, MOST_KEPT = 64, 700_000
+#: Pieces that go to the tokenizer as one text.
+TOGETHER = 256
+
+
+#: White space, and plain code points: ASCII and the Latin letters that stand for themselves after
+#: normalisation and have one lower-case letter each.
+_BLANK = r" \t-\r"
+_PLAIN = r"\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3\u01cd-\u01ef"
+_LETTERS = r"a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3\u01cd-\u01ef"
+_SUFFIXES = "'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]"
+_PIECES = rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^{_BLANK}0-9{_LETTERS}]+"
+#: Pieces of a plain text; pieces of any text, where a word with another code point is one piece.
+_PLAIN_PIECES = re.compile(_PIECES)
+_ANY_PIECES = re.compile(rf"(?<![^{_BLANK}])[^{_BLANK}]*[^{_PLAIN}][^{_BLANK}]*|{_PIECES}")
+_OTHER = re.compile(rf"[^{_PLAIN}]")
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space and never joins over it.
+    """Ids of texts by a tokenizer that splits words at white space and drops it.
 
-    So a text's ids are those of its words, in a row; ids of short words are kept. Ids are
-    bytes: two a token, little-endian, or four if the vocabulary is larger.
+    Its pattern takes letters, single digits, other signs and the English suffixes apart, so the
+    ids of a text are those of its pieces in a row, and ids of short pieces are kept. Pieces of
+    plain letters, digits or signs go to the tokenizer in batches, joined by blanks: each gives
+    ids up to one that ends a word. A word with any other code point goes there by itself. Ids
+    are bytes: two a token, little-endian, or four if the vocabulary is larger.
     """
 
     def __init__(self, path: str):
@@ -57,24 +76,48 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, plain: list[str], alone: list[str]) -> None:
+        """Keep the ids of pieces: ``plain`` ones hold plain letters, one digit or plain signs alone."""
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(group):
+                alone = alone + group
+                continue
+            data, width = ids.tobytes(), self.kind.itemsize
+            self.kept.update((p, data[a * width : b * width]) for p, a, b in zip(group, [0, *ends[:-1]], ends, strict=True))
+        self.kept.update((p, ids.tobytes()) for p, ids in zip(alone, self._ids(alone), strict=True))
 
     def encode(self, texts: list[bytes], end: int = END) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = set(chain.from_iterable(split))
         if len(self.kept) > MOST_KEPT:
             self.kept.clear()
-        missing = list(words.difference(self.kept))
-        if missing:
-            found = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-            self.kept.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(missing, found, strict=True))
+        split, plain, odd = [], set(), set()
+        for data in texts:
+            text = data.decode()
+            if _OTHER.search(text):
+                split.append(_ANY_PIECES.findall(text))
+                odd.update(split[-1])
+            else:
+                split.append(_PLAIN_PIECES.findall(text.lower()))
+                plain.update(split[-1])
+        alone = {p for p in odd.difference(self.kept) if _OTHER.search(p)}
+        missing = list(plain.union(odd).difference(self.kept, alone))
+        self.learn(missing, list(alone))
         last = np.array([end], dtype=self.kind).tobytes()
         get = self.kept.__getitem__
         out = [b"".join(map(get, own)) + last for own in split]
-        for w in missing:
-            if len(w) > LONGEST_KEPT:
-                del self.kept[w]
+        for p in chain(missing, alone):
+            if len(p) > LONGEST_KEPT:
+                del self.kept[p]
         return out
 
 
