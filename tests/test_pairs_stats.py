@@ -59,6 +59,50 @@ def test_min_rows_and_rank(spark, universe):
     assert (turned["leg_1"] > turned["leg_2"]).all()
 
 
+def test_exchanged_rows_do_not_follow_slabs(spark, universe):
+    """What is exchanged is matrix rows of strips: one a series and strip, not one a pair and slab."""
+    from tidepair.operators import blocks
+
+    df = from_pandas(spark, universe).withColumnRenamed("close", "v")
+    series, n_blocks = pairs._numbered_series(df, "v", 1, 1, None)
+    rows = df.join(series, "symbol").select("_home", "_at", F.unix_micros("ts").alias("ts_us"), "v")
+    n = universe["symbol"].nunique()
+    for n_slabs in (1, 8, 64, 240):
+        strips = -(-n_slabs // blocks.SLABS_PER_STRIP)
+        made = blocks.matrix_rows(rows, n_blocks, F.lit(n_slabs))
+        assert made.count() <= strips * n
+        assert blocks.added(made).count() <= n
+
+
+def test_rank_decides_legs_in_the_moments(spark, universe):
+    df = from_pandas(spark, universe)
+    symbols = sorted(universe["symbol"].unique())
+    rank = spark.createDataFrame([(s, (i * 5) % 9) for i, s in enumerate(symbols[1:], 1)], "symbol string, rank int")
+    got = pairs.pair_moments(df, rank=rank, n_blocks=3).orderBy("leg_1", "leg_2").collect()
+    place = {r["symbol"]: r["rank"] for r in rank.collect()}
+    # A symbol that the catalogue lacks forms no pair.
+    assert {s for r in got for s in (r["leg_1"], r["leg_2"])} == set(symbols[1:])
+    assert all(place[r["leg_1"]] < place[r["leg_2"]] for r in got)
+    want = pairs.orient(pairs.pair_moments(df), rank).orderBy("leg_1", "leg_2").collect()
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3]
+        np.testing.assert_allclose(a[3:], b[3:], rtol=1e-9)
+
+
+def test_moments_of_wide_universe_cross_blocks(spark):
+    """More series than one block holds, over several blocks and strips, against numpy."""
+    rng = np.random.default_rng(11)
+    stamps = pd.date_range("2024-01-01", periods=40, freq="h")
+    values = rng.normal(size=(40, 60)).cumsum(axis=0)
+    wide = pd.DataFrame(values, index=stamps, columns=[f"S{i:02d}" for i in range(60)])
+    long = wide.stack().rename("close").reset_index().set_axis(["ts", "symbol", "close"], axis=1)
+    got = pairs.hedge_stats(pairs.pair_moments(from_pandas(spark, long), n_blocks=4, n_slabs=20)).toPandas()
+    assert len(got) == 60 * 59 // 2 and (got["n"] == 40).all() and (got["leg_1"] < got["leg_2"]).all()
+    corr = wide.corr()
+    want = [corr.loc[a, b] for a, b in zip(got["leg_1"], got["leg_2"])]
+    np.testing.assert_allclose(got["corr"], want, atol=1e-9)
+
+
 def test_pair_bars_inner(spark, universe):
     df = from_pandas(spark, universe)
     one = spark.createDataFrame([("S1", "S2")], "leg_1 string, leg_2 string")

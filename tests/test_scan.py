@@ -62,6 +62,57 @@ def test_first_row_by_hand(spark):
     assert row["beta"] == pytest.approx((1 + (1 + q) * x) / s * y)
 
 
+def test_lanes_equal_the_step_rule():
+    """Many chunks of many lengths and noises at once, entered with any state, row by row the same."""
+    from tidepair.operators.kalman import KalmanScan, step
+
+    rng = np.random.default_rng(2)
+    lengths = [1, 2, 3, 7, 64, 65, 500, 3000]
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    n = begins[-1]
+    x = 50 + np.cumsum(rng.normal(size=n))
+    rows = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=n, freq="min"), "pos": np.arange(n), "y": 3 + 1.5 * x + rng.normal(size=n), "x": x})
+    for predict_first in (True, False):
+        scan = KalmanScan([1e-6, 1e-4, 1e-2], 1e-3, 1.0, predict_first)
+        states, first = [], np.array([i % 2 == 0 for i in range(len(lengths))])
+        for f in first:
+            spread = rng.normal(size=(3, 2))
+            entered = np.concatenate([np.r_[rng.normal(size=2), 1 + a * a, a * b, a * b, 1 + b * b] for a, b in spread])
+            states.append(scan.start() if f else entered)
+        got, group = scan.replay_all(rows, begins, states, first)
+        summaries = scan.summarise_all(rows, begins, first)
+        for g, (lo, hi) in enumerate(zip(begins[:-1], begins[1:])):
+            after = scan.advance(states[g], summaries[g]).reshape(3, 6)
+            for i, delta in enumerate(scan.deltas):
+                part = got[(group == g) & (got["delta"] == delta)]
+                state, q = tuple(states[g][6 * i : 6 * i + 6]), 0.0 if first[g] and not predict_first else delta
+                for k, (_, row) in enumerate(part.iterrows()):
+                    state, e, s = step(state, row["y"], row["x"], q, 1e-3)
+                    q = delta
+                    want = [state[1], state[0], e, s]
+                    np.testing.assert_allclose([row["beta"], row["intercept"], row["error"], row["s"]], want, rtol=1e-9, atol=1e-9)
+                assert k == hi - lo - 1
+                np.testing.assert_allclose(after[i], state, rtol=1e-8, atol=1e-9)
+
+
+def test_groups_are_whole_across_arrow_batches():
+    import pyarrow as pa
+
+    from tidepair.operators.scan import whole_groups
+
+    keys = np.repeat(np.arange(40), np.arange(40) % 7)
+    table = pa.table({"k": keys, "v": np.arange(len(keys))})
+    for size in (1, 3, 10, 1000):
+        seen = []
+        for part, begins in whole_groups(iter(table.to_batches(max_chunksize=size)), ["k"], at_once=5):
+            assert begins[0] == 0 and begins[-1] == len(part)
+            k = part.column("k").to_numpy()
+            assert all(len(set(k[a:b])) == 1 for a, b in zip(begins[:-1], begins[1:]))
+            seen += [k[a] for a in begins[:-1]]
+        assert seen == sorted(set(keys))
+    assert list(whole_groups(iter([]), ["k"])) == []
+
+
 def loop(z, s, entry, exit_, rule, same, warmup=0):
     """Row-by-row statement of the rules."""
     side, opened, out = 0, 0.0, []

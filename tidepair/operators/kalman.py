@@ -22,73 +22,109 @@ def initial_state(p0: float = 1.0) -> list[float]:
 
 def step(state: Sequence[float], y: float, x: float, q: float, r: float):
     """One observation. Returns the new state, the innovation and its variance."""
+    return update(state, y, x, q, r)[:3]
+
+
+def update(state: Sequence[float], y: float, x: float, q: float, r: float):
+    """``step`` with the gain of intercept and slope as a last part; takes numbers or arrays."""
     m0, m1, p00, p01, p10, p11 = state
-    p00 += q
-    p11 += q
+    p00, p11 = p00 + q, p11 + q
     a0, a1 = p00 + p01 * x, p10 + p11 * x
     h0, h1 = p00 + x * p10, p01 + x * p11
     s = h0 + h1 * x + r
     e = y - (m0 + m1 * x)
     k0, k1 = a0 / s, a1 / s
     new = (m0 + k0 * e, m1 + k1 * e, p00 - k0 * h0, p01 - k0 * h1, p10 - k1 * h0, p11 - k1 * h1)
-    return new, e, s
+    return new, e, s, (k0, k1)
+
+
+# 2 x 2 matrices are tuples (top left, top right, bottom left, bottom right) of arrays, so that one
+# operation serves all noises and spans at once.
+
+
+def _times(a, b):
+    return a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]
+
 
+def _plus(a, b):
+    return tuple(x + y for x, y in zip(a, b, strict=True))
 
-def _inverse(m: np.ndarray) -> np.ndarray:
-    a, b, c, d = m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1]
-    out = np.stack([np.stack([d, -b], -1), np.stack([-c, a], -1)], -2)
-    return out / (a * d - b * c)[:, None, None]
 
+def _turned(a):
+    return a[0], a[2], a[1], a[3]
 
-def _elements(y: np.ndarray, x: np.ndarray, q: np.ndarray, r: float):
-    """Each observation as an element (A, b, C, eta, J) of the associative filtering scan."""
-    h = np.stack([np.ones_like(x), x], -1)
-    s = q * (1.0 + x * x) + r
-    gain = (q / s)[:, None] * h
-    a = np.eye(2) - gain[:, :, None] * h[:, None, :]
-    return a, gain * y[:, None], q[:, None, None] * a, h * (y / s)[:, None], h[:, :, None] * h[:, None, :] / s[:, None, None]
 
+def _on(a, v):
+    return a[0] * v[0] + a[1] * v[1], a[2] * v[0] + a[3] * v[1]
 
-def _apply(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return (m @ v[..., None])[..., 0]
+
+def _inverse_next_to_one(a):
+    """Inverse of the identity plus ``a``."""
+    p, q, r, s = 1.0 + a[0], a[1], a[2], 1.0 + a[3]
+    d = p * s - q * r
+    return s / d, -q / d, -r / d, p / d
 
 
 def _merge(e1, e2):
     """Element of two consecutive spans of observations."""
     a1, b1, c1, n1, j1 = e1
     a2, b2, c2, n2, j2 = e2
-    eye = np.eye(2)
-    through = a2 @ _inverse(eye + c1 @ j2)
-    a = through @ a1
-    b = _apply(through, b1 + _apply(c1, n2)) + b2
-    c = through @ c1 @ a2.swapaxes(-1, -2) + c2
-    back = a1.swapaxes(-1, -2) @ _inverse(eye + j2 @ c1)
-    eta = _apply(back, n2 - _apply(j2, b1)) + n1
-    j = back @ j2 @ a1 + j1
-    return a, b, c, eta, j
-
-
-def span_element(y: np.ndarray, x: np.ndarray, q: float, r: float, skip_first_q: bool) -> np.ndarray:
-    """A span's effect on any entering state, by pairwise merging; 14 numbers padded to 16."""
-    noise = np.full(len(y), q)
-    if skip_first_q:
-        noise[0] = 0.0
-    parts = _elements(y, x, noise, r)
-    while len(parts[0]) > 1:
-        n = len(parts[0]) // 2 * 2
-        merged = _merge(tuple(p[0:n:2] for p in parts), tuple(p[1:n:2] for p in parts))
-        parts = tuple(np.concatenate([m, p[n:]]) for m, p in zip(merged, parts))
-    return np.concatenate([p[0].ravel() for p in parts])
-
-
-def enter_span(state: Sequence[float], element: np.ndarray) -> np.ndarray:
-    """State after a span, from the state before it and the span's element."""
-    a, b = element[0:4].reshape(2, 2), element[4:6]
-    c, eta, j = element[6:10].reshape(2, 2), element[10:12], element[12:16].reshape(2, 2)
-    mean, cov = np.asarray(state[:2]), np.asarray(state[2:]).reshape(2, 2)
-    through = a @ np.linalg.inv(np.eye(2) + cov @ j)
-    new_cov = through @ cov @ a.T + c
-    return np.concatenate([through @ (mean + cov @ eta) + b, ((new_cov + new_cov.T) / 2).ravel()])
+    inside = _inverse_next_to_one(_times(c1, j2))
+    through = _times(a2, inside)
+    back = _times(_turned(a1), _turned(inside))
+    lifted, lowered = _on(c1, n2), _on(j2, b1)
+    return (
+        _times(through, a1),
+        _plus(_on(through, (b1[0] + lifted[0], b1[1] + lifted[1])), b2),
+        _plus(_times(_times(through, c1), _turned(a2)), c2),
+        _plus(_on(back, (n2[0] - lowered[0], n2[1] - lowered[1])), n1),
+        _plus(_times(_times(back, j2), a1), j1),
+    )
+
+
+def _flat(element) -> list[np.ndarray]:
+    return [c for part in element for c in part]
+
+
+def _parts(numbers) -> tuple:
+    return tuple(numbers[0:4]), tuple(numbers[4:6]), tuple(numbers[6:10]), tuple(numbers[10:12]), tuple(numbers[12:16])
+
+
+def enter_spans(state: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """States after spans, from the states before them (6 numbers) and the spans' elements (16)."""
+    a, b, c, eta, j = _parts(elements)
+    mean, cov = tuple(state[:2]), tuple(state[2:])
+    through = _times(a, _inverse_next_to_one(_times(cov, j)))
+    lifted = _on(cov, eta)
+    mean = _plus(_on(through, (mean[0] + lifted[0], mean[1] + lifted[1])), b)
+    p00, p01, p10, p11 = _plus(_times(_times(through, cov), _turned(a)), c)
+    return np.stack([*mean, p00, (p01 + p10) / 2, (p01 + p10) / 2, p11])
+
+
+class _Lanes:
+    """Chunks cut into lanes, stretches that are walked row by row next to all other lanes.
+
+    A lane has about as many rows as the longest chunk has lanes: both are walked in turn.
+    """
+
+    def __init__(self, begins: np.ndarray):
+        lengths = np.diff(begins)
+        size = 1 << (int(lengths.max(initial=1)).bit_length() + 1) // 2
+        self.size = size
+        self.count = -(-lengths // size)
+        self.chunk = np.repeat(np.arange(len(lengths)), self.count)
+        self.number = np.arange(len(self.chunk)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.begin = begins[:-1][self.chunk] + self.number * size
+        self.length = np.minimum(begins[1:][self.chunk] - self.begin, size)
+
+    def rows(self, lanes: np.ndarray):
+        """Row k of all ``lanes`` that have one, for k in turn; longest lanes come first."""
+        length = self.length[lanes]
+        for k in range(int(length.max(initial=0))):
+            yield k, self.begin[lanes[: int((length > k).sum())]] + k
+
+    def longest_first(self, lanes: np.ndarray) -> np.ndarray:
+        return lanes[np.argsort(-self.length[lanes], kind="stable")]
 
 
 class KalmanScan(ChunkScan):
@@ -106,54 +142,121 @@ class KalmanScan(ChunkScan):
     def start(self):
         return np.tile(initial_state(self.p0), len(self.deltas))
 
+    def _noise(self, k: int, fresh: np.ndarray):
+        """Process noise (noise, lane) of the k-th rows; ``fresh`` lanes may begin without any."""
+        delta = np.array(self.deltas)[:, None]
+        return np.where(fresh, 0.0, delta) if k == 0 and not self.predict_first else delta
+
+    def _lane_elements(self, y, x, lanes: _Lanes, first, wanted: np.ndarray) -> np.ndarray:
+        """(16, noise, wanted): what lanes do to any entering state, walked from a state known for sure.
+
+        From there the filter's own mean and covariance are the element's b and C; what a change of
+        the entering state does to them (A) and what the observations say about it (eta, J) is
+        gathered on the way.
+        """
+        order = np.argsort(-lanes.length[wanted], kind="stable")
+        own = wanted[order]
+        fresh = (first[lanes.chunk] & (lanes.number == 0))[own]
+        zero = np.zeros((len(self.deltas), len(own)))
+        total = [zero + 1, zero, zero, zero + 1, *[zero] * 12]
+        total = [c.copy() for c in total]
+        for k, at in lanes.rows(own):
+            live = len(at)
+            a, b, c, eta, j = _parts([t[:, :live] for t in total])
+            yk, xk = y[at], x[at]
+            now, e, s, (k0, k1) = update((*b, *c), yk, xk, self._noise(k, fresh[:live]), self.r)
+            g0, g1 = a[0] + xk * a[2], a[1] + xk * a[3]
+            w0, w1 = g0 / s, g1 / s
+            new = [
+                a[0] - k0 * g0, a[1] - k0 * g1, a[2] - k1 * g0, a[3] - k1 * g1, *now,
+                eta[0] + w0 * e, eta[1] + w1 * e, j[0] + w0 * g0, j[1] + w0 * g1, j[2] + w1 * g0, j[3] + w1 * g1,
+            ]
+            for t, v in zip(total, new, strict=True):
+                t[:, :live] = v
+        out = np.empty((16, len(self.deltas), len(own)))
+        out[:, :, order] = np.stack(total)
+        return out
+
     def summarise(self, rows, first):
-        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
-        skip = first and not self.predict_first
-        return np.concatenate([span_element(y, x, d, self.r, skip) for d in self.deltas])
+        return self.summarise_all(rows, np.array([0, len(rows)]), np.array([first]))[0]
+
+    def summarise_all(self, rows, begins, first):
+        y, x = rows["y"].to_numpy(dtype=float), rows["x"].to_numpy(dtype=float)
+        lanes = _Lanes(begins)
+        elements = self._lane_elements(y, x, lanes, first, np.arange(len(lanes.chunk)))
+        # Lanes of a chunk merge in order; chunks with most lanes stand first, so that live ones are a prefix.
+        order = np.argsort(-lanes.count, kind="stable")
+        where = np.cumsum(lanes.count) - lanes.count
+        total = _parts(list(elements[:, :, where[order]]))
+        for k in range(1, int(lanes.count.max(initial=1))):
+            live = int((lanes.count[order] > k).sum())
+            nxt = _parts(list(elements[:, :, where[order][:live] + k]))
+            merged = _flat(_merge(_parts([c[:, :live] for c in _flat(total)]), nxt))
+            total = _parts([np.concatenate([m, c[:, live:]], axis=1) for m, c in zip(merged, _flat(total), strict=True)])
+        numbers = np.empty((16, len(self.deltas), len(order)))
+        numbers[:, :, order] = np.stack(_flat(total))
+        # By noise, then the element's numbers.
+        return list(numbers.transpose(2, 1, 0).reshape(len(order), -1))
 
     def advance(self, state, summary):
-        width = len(summary) // len(self.deltas)
-        return np.concatenate(
-            [
-                enter_span(state[i * STATE_SIZE : (i + 1) * STATE_SIZE], summary[i * width : (i + 1) * width])
-                for i in range(len(self.deltas))
-            ]
-        )
+        n = len(self.deltas)
+        return enter_spans(state.reshape(n, -1).T, summary.reshape(n, -1).T).T.ravel()
+
+    def _lane_states(self, y, x, lanes: _Lanes, states, first) -> np.ndarray:
+        """(number, noise, lane): the states that enter the lanes of all chunks."""
+        n = len(self.deltas)
+        out = np.empty((STATE_SIZE, n, len(lanes.chunk)))
+        heads = np.flatnonzero(lanes.number == 0)
+        out[:, :, heads] = np.stack(states).reshape(-1, n, STATE_SIZE).transpose(2, 1, 0)
+        if len(heads) < len(lanes.chunk):
+            followed = np.flatnonzero(np.append(lanes.number[1:] > 0, False))
+            elements = np.empty((16, n, len(lanes.chunk)))
+            elements[:, :, followed] = self._lane_elements(y, x, lanes, first, followed)
+            order = np.argsort(-lanes.count, kind="stable")
+            for k in range(1, int(lanes.count.max())):
+                lane = heads[order[: int((lanes.count > k).sum())]] + k
+                out[:, :, lane] = enter_spans(out[:, :, lane - 1], elements[:, :, lane - 1])
+        return out
 
     def replay(self, rows, state, first):
-        ys, xs = rows["y"].tolist(), rows["x"].tolist()
-        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
-        parts = []
-        for i, delta in enumerate(self.deltas):
-            now = tuple(float(v) for v in state[i * STATE_SIZE : (i + 1) * STATE_SIZE])
-            q = delta if not first or self.predict_first else 0.0
-            trace = []
-            for yi, xi in zip(ys, xs):
-                now, e, s = step(now, yi, xi, q, self.r)
-                q = delta
-                trace.append((now[1], now[0], e, s))
-            beta, intercept, error, s = np.array(trace).T
-            sure = s > 0
-            std = np.sqrt(np.where(sure, s, np.nan))
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "delta": delta,
-                        "ts": rows["ts"],
-                        "pos": rows["pos"],
-                        "y": y,
-                        "x": x,
-                        "beta": beta,
-                        "intercept": intercept,
-                        "error": error,
-                        "s": s,
-                        "std_dev": std,
-                        "z_score": error / std,
-                        "spread": y - beta * x,
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+        return self.replay_all(rows, np.array([0, len(rows)]), [state], np.array([first]))[0]
+
+    def replay_all(self, rows, begins, states, first):
+        y, x = rows["y"].to_numpy(dtype=float), rows["x"].to_numpy(dtype=float)
+        lanes = _Lanes(begins)
+        now = self._lane_states(y, x, lanes, states, first)
+        own = lanes.longest_first(np.arange(len(lanes.chunk)))
+        fresh = (first[lanes.chunk] & (lanes.number == 0))[own]
+        now = tuple(now[:, :, own])
+        trace = np.empty((4, len(self.deltas), len(y)))
+        for k, at in lanes.rows(own):
+            live = len(at)
+            now, error, s = step(tuple(c[:, :live] for c in now), y[at], x[at], self._noise(k, fresh[:live]), self.r)
+            for out, c in zip(trace, (now[1], now[0], error, s), strict=True):
+                out[:, at] = c
+        beta, intercept, error, s = trace.reshape(4, -1)
+        many = len(self.deltas)
+        with np.errstate(invalid="ignore"):
+            std = np.sqrt(np.where(s > 0, s, np.nan))
+        y, x = np.tile(y, many), np.tile(x, many)
+        out = pd.DataFrame(
+            {
+                "delta": np.repeat(self.deltas, len(rows)),
+                "ts": np.tile(rows["ts"].to_numpy(), many),
+                "pos": np.tile(rows["pos"].to_numpy(), many),
+                "y": y,
+                "x": x,
+                "beta": beta,
+                "intercept": intercept,
+                "error": error,
+                "s": s,
+                "std_dev": std,
+                "z_score": error / std,
+                "spread": y - beta * x,
+            },
+            copy=False,
+        )
+        return out, np.tile(np.repeat(np.arange(len(begins) - 1), np.diff(begins)), many)
 
 
 def kalman(

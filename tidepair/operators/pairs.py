@@ -2,61 +2,41 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepair.operators.blocks import SUMS, added, matrix_rows
 from tidepair.operators.clean import known
-from tidepair.operators.ordered import spread_out
 
 PAIR = ["leg_1", "leg_2"]
 SYMBOLS_PER_BLOCK = 256
 TIMES_PER_SLAB = 4096
 
-_MOMENTS = "leg_1 string, leg_2 string, n bigint, sy double, sx double, syy double, sxx double, sxy double"
-
-
 def _shares(df: DataFrame, col: str, per_share: int) -> Column:
     """How many hash shares keep about ``per_share`` distinct values each, counted in the plan."""
     n = df.agg(F.ceil(F.approx_count_distinct(col) / per_share).cast("int").alias("n"))
     return F.greatest(n.scalar(), F.lit(1))
 
 
-def _cell_moments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairwise-complete sums for one (time slab, symbol block x symbol block) cell."""
-    col, symbols = pd.factorize(pdf["symbol"], sort=True)
-    symbols = np.asarray(symbols, dtype=object)
-    row, times = pd.factorize(pdf["ts_us"])
-    dense = np.zeros((len(times), len(symbols)))
-    seen = np.zeros_like(dense)
-    dense[row, col] = pdf["v"].to_numpy()
-    seen[row, col] = 1.0
-    if seen.sum() != len(pdf):
-        raise ValueError("a symbol has several rows at one timestamp; de-duplicate first")
-    block = np.empty(len(symbols), dtype=np.int64)
-    block[col] = pdf["_home"].to_numpy()
-    squares = dense * dense
-    # On the diagonal cell every pair is met once; elsewhere only pairs across the two blocks.
-    same = pdf["_b1"].iat[0] == pdf["_b2"].iat[0]
-    i, j = np.triu_indices(len(symbols), 1)
-    if not same:
-        across = block[i] != block[j]
-        i, j = i[across], j[across]
-    n = (seen.T @ seen)[i, j]
-    out = pd.DataFrame(
-        {
-            "leg_1": symbols[i],
-            "leg_2": symbols[j],
-            "n": n.astype(np.int64),
-            "sy": (dense.T @ seen)[i, j],
-            "sx": (seen.T @ dense)[i, j],
-            "syy": (squares.T @ seen)[i, j],
-            "sxx": (seen.T @ squares)[i, j],
-            "sxy": (dense.T @ dense)[i, j],
-        }
+def _numbered_series(df: DataFrame, value: str, min_rows: int, n_blocks: int | None, rank: DataFrame | None) -> tuple[DataFrame, Column]:
+    """(symbol, _mean, _order, _home, _at) of the series that are long enough, and the number of blocks.
+
+    ``_order`` decides which leg comes first: the symbol, or its catalogue rank.
+    """
+    series = (
+        df.groupBy("symbol")
+        .agg(F.avg("v").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") >= min_rows)
+        .drop("_n")
     )
-    return out[out["n"] > 0]
+    if rank is not None:
+        series = series.join(rank.select("symbol", F.struct(F.col("rank"), F.col("symbol")).alias("_order")), "symbol")
+    else:
+        series = series.withColumn("_order", F.struct("symbol"))
+    blocks = _shares(series, "symbol", SYMBOLS_PER_BLOCK) if n_blocks is None else F.lit(n_blocks)
+    series = series.withColumn("_home", F.pmod(F.xxhash64("symbol"), blocks).cast("int"))
+    place = F.row_number().over(Window.partitionBy("_home").orderBy("_order")) - 1
+    return series.withColumn("_at", place.cast("int")), blocks
 
 
 def pair_moments(
@@ -65,56 +45,45 @@ def pair_moments(
     min_rows: int = 1,
     n_blocks: int | None = None,
     n_slabs: int | None = None,
+    rank: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over the common timestamps of every unordered pair of symbols.
 
-    Expects one row per (symbol, ts). Rows of two symbols are never joined: timestamps are hashed
-    into slabs and symbols into blocks, a slab's rows go to one cell per pair of blocks, and a
-    cell returns one row of sums per pair out of a matrix product. A cell holds about
-    ``TIMES_PER_SLAB`` timestamps of two blocks of symbols, however rows are spread over symbols
-    or over time. Symbols with fewer than ``min_rows`` rows
-    cannot form a pair that long and are left out first. Values are taken relative to the
-    symbol's mean so that the sums keep their digits.
+    Expects one row per (symbol, ts). Rows of two symbols are never joined, and no row of a pair
+    is exchanged: timestamps are hashed into slabs and symbols into blocks, matrix products give
+    the sums of all pairs of two blocks, and the matrices are added up before they are taken
+    apart (see ``blocks``). Symbols with fewer than ``min_rows`` rows cannot form a pair that long
+    and are left out first. Values are taken relative to the symbol's mean so that the sums keep
+    their digits. The first leg is the one earlier in the alphabet, or with the lower
+    ``rank(symbol, rank)``; symbols without a rank are left out.
     """
     valued = df.where(known(value)).select("symbol", "ts", F.col(value).alias("v"))
-    centre = (
-        valued.groupBy("symbol")
-        .agg(F.avg("v").alias("_mean"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= min_rows)
-        .drop("_n")
-    )
-    blocks = _shares(centre, "symbol", SYMBOLS_PER_BLOCK) if n_blocks is None else F.lit(n_blocks)
+    series, blocks = _numbered_series(valued, value, min_rows, n_blocks, rank)
     slabs = _shares(valued, "ts", TIMES_PER_SLAB) if n_slabs is None else F.lit(n_slabs)
-    rows = (
-        valued.join(centre, "symbol")
-        .select(
-            "symbol",
-            F.unix_micros("ts").alias("ts_us"),
-            (F.col("v") - F.col("_mean")).alias("v"),
-            F.pmod(F.xxhash64("ts"), slabs).cast("int").alias("_slab"),
-            F.pmod(F.xxhash64("symbol"), blocks).cast("int").alias("_home"),
-        )
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("_b1", F.least("_home", "_other"))
-        .withColumn("_b2", F.greatest("_home", "_other"))
-        .drop("_other")
-    )
-    cells = spread_out(rows, "_slab", "_b1", "_b2").groupBy("_slab", "_b1", "_b2").applyInPandas(_cell_moments, _MOMENTS)
-    sums = cells.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ["n", "sy", "sx", "syy", "sxx", "sxy"]])
-    means = centre.select("symbol", F.col("_mean"))
-    return (
-        sums.where(F.col("n") >= min_rows)
-        .join(means.withColumnsRenamed({"symbol": "leg_1", "_mean": "_my"}), "leg_1")
-        .join(means.withColumnsRenamed({"symbol": "leg_2", "_mean": "_mx"}), "leg_2")
-        .select(
-            *PAIR,
-            "n",
-            (F.col("_my") + F.col("sy") / F.col("n")).alias("mean_y"),
-            (F.col("_mx") + F.col("sx") / F.col("n")).alias("mean_x"),
-            (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")).alias("cyy"),
-            (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")).alias("cxx"),
-            (F.col("sxy") - F.col("sy") * F.col("sx") / F.col("n")).alias("cxy"),
-        )
+    rows = valued.join(series, "symbol").select("_home", "_at", F.unix_micros("ts").alias("ts_us"), (F.col("v") - F.col("_mean")).alias("v"))
+    sums = added(matrix_rows(rows, blocks, slabs))
+    # A block's series in the order of their numbers; a block is bounded by its size.
+    members = series.groupBy("_home").agg(F.array_sort(F.collect_list(F.struct("_at", "symbol", "_mean", "_order"))).alias("s"))
+    one = members.select(F.col("_home").alias("_b1"), F.col("s").alias("_s1"))
+    two = members.select(F.col("_home").alias("_b2"), F.col("s").alias("_s2"))
+    rows = sums.join(one, "_b1").join(two, "_b2")
+    entries = F.posexplode(F.arrays_zip(*SUMS, "_s2")).alias("_j", "e")
+    rows = rows.select("_b1", "_b2", "_i", F.get("_s1", F.col("_i")).alias("a"), entries)
+    # In a block's product with itself every pair stands twice.
+    rows = rows.where((F.col("e.n") >= max(min_rows, 1)) & ((F.col("_b1") < F.col("_b2")) | (F.col("_i") < F.col("_j"))))
+    turned = F.col("e._s2._order") < F.col("a._order")
+    legs = lambda y, x: (F.when(turned, F.col(x)).otherwise(F.col(y)), F.when(turned, F.col(y)).otherwise(F.col(x)))
+    names, means, s1, s2 = legs("a.symbol", "e._s2.symbol"), legs("a._mean", "e._s2._mean"), legs("e.sy", "e.sx"), legs("e.syy", "e.sxx")
+    n = F.col("e.n")
+    return rows.select(
+        names[0].alias("leg_1"),
+        names[1].alias("leg_2"),
+        n.cast("bigint").alias("n"),
+        (means[0] + s1[0] / n).alias("mean_y"),
+        (means[1] + s1[1] / n).alias("mean_x"),
+        (s2[0] - s1[0] * s1[0] / n).alias("cyy"),
+        (s2[1] - s1[1] * s1[1] / n).alias("cxx"),
+        (F.col("e.sxy") - F.col("e.sy") * F.col("e.sx") / n).alias("cxy"),
     )
 
 
@@ -133,12 +102,19 @@ def swap_legs(moments: DataFrame) -> DataFrame:
 
 
 def orient(moments: DataFrame, rank: DataFrame) -> DataFrame:
-    """Put the leg with the lower catalogue ``rank(symbol, rank)`` first."""
+    """Put the leg with the lower catalogue ``rank(symbol, rank)`` first, in one pass over the pairs.
+
+    Pairs that are still to be made take ``pair_moments(rank=...)`` instead, which joins the
+    ranks to the symbols.
+    """
     r1 = rank.select(F.col("symbol").alias("leg_1"), F.col("rank").alias("_r1"))
     r2 = rank.select(F.col("symbol").alias("leg_2"), F.col("rank").alias("_r2"))
     ranked = moments.join(r1, "leg_1").join(r2, "leg_2")
-    kept = ranked.where(F.col("_r1") <= F.col("_r2")).select(*moments.columns)
-    return kept.unionByName(swap_legs(ranked.where(F.col("_r1") > F.col("_r2")).select(*moments.columns)))
+    turned = F.col("_r1") > F.col("_r2")
+    partner = {"leg_1": "leg_2", "mean_y": "mean_x", "cyy": "cxx"}
+    partner |= {v: k for k, v in partner.items()}
+    pick = lambda c: F.when(turned, F.col(partner[c])).otherwise(F.col(c)).alias(c) if c in partner else F.col(c)
+    return ranked.select(*[pick(c) for c in moments.columns])
 
 
 def both_directions(moments: DataFrame) -> DataFrame:

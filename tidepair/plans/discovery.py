@@ -29,9 +29,7 @@ def candidates(closes: DataFrame, gate: Column, min_rows: int, seconds: int, ran
     All-pair statistics come from the block products; only passing pairs get rows. Both are
     written once because the tests below read them more than once.
     """
-    moments = pairs.pair_moments(closes, min_rows=min_rows)
-    if rank is not None:
-        moments = pairs.orient(moments, rank)
+    moments = pairs.pair_moments(closes, min_rows=min_rows, rank=rank)
     lines = stage(pairs.hedge_stats(moments).where(gate), "lines")
     rows = pairs.pair_bars(closes, lines.select(*PAIR, "n", "alpha", "beta"))
     numbered = with_position(rows, PAIR, ["ts"], "pos", seconds)
