@@ -37,10 +37,18 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def latest_prices(ticks: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Latest valid price per instrument; partial aggregates keep a hot instrument cheap."""
-    return ticks.groupBy("key").agg(
-        F.max_by("price", order_key(order)).alias("price"), F.max("ts").alias("ts")
+def latest_prices(ticks: DataFrame, order: Sequence[str] = ("ts",), keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Latest valid price per instrument and ``keep`` period of event time.
+
+    Partial aggregates keep a hot instrument cheap. A period's state goes once the watermark has
+    passed its end, so instruments that trade no more hold no state; a reader takes the row with
+    the greatest ``ts`` of each instrument.
+    """
+    return (
+        ticks.withWatermark("ts", delay)
+        .groupBy(F.window("ts", keep).alias("_w"), "key")
+        .agg(F.max_by("price", order_key(order)).alias("price"), F.max("ts").alias("ts"))
+        .drop("_w")
     )
 
 
@@ -61,17 +69,24 @@ def pair_updates(
 ) -> DataFrame:
     """Per pair and bucket the last price of each leg that traded in it.
 
-    A tick is handed to the pairs it belongs to and merged on the map side, so the state step
-    behind sees one row per pair and bucket, however busy a symbol is.
+    Two stateful operators in a chain: ticks are merged by bucket and symbol (on the map side
+    first), and only the closed buckets' bars are handed to the pairs of their symbol and merged
+    there. So ticks are shuffled once, whatever the number of pairs, and the step behind sees
+    one row per pair and bucket. The bars keep the event time, so the second merge closes a bucket
+    in the batch that closes its bars.
     """
-    at = order_key(order)
     legs = pairs.select(*PAIR, F.col("leg_1").alias("symbol"), F.lit(1).alias("leg")).unionByName(
         pairs.select(*PAIR, F.col("leg_2").alias("symbol"), F.lit(2).alias("leg"))
     )
-    price = lambda leg: F.max_by("price", F.when(F.col("leg") == leg, at))
-    return (
+    bars = (
         ticks.withWatermark("ts", delay)
-        .join(legs, "symbol")
+        .groupBy(F.window("ts", width).alias("_b"), "symbol")
+        .agg(F.max_by("price", order_key(order)).alias("price"))
+        .select("symbol", F.window_time("_b").alias("ts"), "price")
+    )
+    price = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("price")))
+    return (
+        bars.join(legs, "symbol")
         .groupBy(F.window("ts", width).alias("_w"), *PAIR)
         .agg(price(1).alias("y"), price(2).alias("x"))
         .select(*PAIR, F.col("_w.start").alias("ts"), "y", "x")
@@ -79,10 +94,14 @@ def pair_updates(
 
 
 def keyed(stream: DataFrame, processor: KeyedStep, schema: str, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Run a step per key with its state in the state store."""
+    """Run a step per key with its state in the state store.
+
+    A step that forgets its keys does so by event-time timers and needs a stream with a watermark.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    mode = "EventTime" if processor.forgets() else "None"
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 
@@ -90,8 +109,16 @@ def ready_snapshots(updates: DataFrame) -> DataFrame:
     return keyed(updates, PriceBoard(), SNAPSHOT)
 
 
-def signals(updates: DataFrame, **params) -> DataFrame:
-    return keyed(updates, KalmanPairStrategy(**params), SIGNAL)
+def idle_for(processor: KeyedStep, seconds: float | None) -> KeyedStep:
+    """``processor``, forgetting a key that gets no rows for so many seconds of event time (more than
+    a bucket and the watermark's delay, or keys are forgotten between buckets)."""
+    processor.idle_s = seconds
+    return processor
+
+
+def signals(updates: DataFrame, idle_s: float | None = None, **params) -> DataFrame:
+    """Strategy signals; ``idle_s`` forgets pairs that have stopped trading (needs a watermark)."""
+    return keyed(updates, idle_for(KalmanPairStrategy(**params), idle_s), SIGNAL)
 
 
 def mean_reversion(updates: DataFrame, hedge_ratio: float, **params) -> DataFrame:
@@ -102,10 +129,16 @@ def ratio(updates: DataFrame, **params) -> DataFrame:
     return keyed(updates, RatioStrategy(**params), RATIO)
 
 
-def order_gate(stream: DataFrame, schema: str = SIGNAL, allow: Sequence[str] = STRATEGY_SIGNALS, **limits) -> DataFrame:
-    """Allow-listed signals that pass the per-pair cooldown and the optional limits."""
+def order_gate(
+    stream: DataFrame, schema: str = SIGNAL, allow: Sequence[str] = STRATEGY_SIGNALS, delay: str = "10 minutes", **limits
+) -> DataFrame:
+    """Allow-listed signals that pass the per-pair cooldown and the optional limits.
+
+    A timer closes the cooldown: once the watermark (``delay`` behind the latest signal) has passed
+    its end, the pair holds no state until its next signal.
+    """
     columns = [part.split()[0] for part in schema.split(", ")]
-    return keyed(allowed(stream, allow), OrderGate(columns, **limits), schema)
+    return keyed(allowed(stream.withWatermark("ts", delay), allow), OrderGate(columns, **limits), schema)
 
 
 def monitor_rows(df: DataFrame, ts: str = "ts", a: str = "y", b: str = "x", spread: str | None = None, z: str | None = None):

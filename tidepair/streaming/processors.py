@@ -25,13 +25,24 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class KeyedStep(StatefulProcessor):
-    """Base: one flat state row per key, stepped through the batch's rows in time order."""
+    """Base: one flat state row per key, stepped through the batch's rows in time order.
+
+    A step that names ``idle_s`` (or overrides ``expiry_ms``) forgets a key whose state is due: an
+    event-time timer stands at that moment and moves with every batch of rows.
+    """
 
     state_schema: str
     columns: Sequence[str]
+    #: Seconds of event time without rows after which a key is forgotten; None keeps it for good.
+    idle_s: float | None = None
+
+    def forgets(self) -> bool:
+        return self.idle_s is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        self.due = handle.getValueState("due", "ms bigint") if self.forgets() else None
 
     def start(self) -> tuple:
         raise NotImplementedError
@@ -40,17 +51,39 @@ class KeyedStep(StatefulProcessor):
         """One row: the new state and the output (without the key), or None."""
         raise NotImplementedError
 
+    def expiry_ms(self, state: tuple, last_ms: int) -> int:
+        """Event time at which nothing depends on the state any more."""
+        return last_ms + int(self.idle_s * 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else self.start()
-        out = []
+        out, last = [], None
         for row in _ordered(rows).itertuples(index=False):
             state, emitted = self.advance(state, row)
+            last = row.ts
             if emitted is not None:
                 out.append((*key, *emitted))
         self.state.update(state)
+        if self.due is not None and last is not None:
+            self._stand(self.expiry_ms(state, pd.Timestamp(last).value // 1_000_000))
         if out:
             yield pd.DataFrame(out, columns=list(self.columns))
 
+    def _stand(self, at_ms: int) -> None:
+        """Move the key's timer."""
+        if self.due.exists():
+            before = self.due.get()[0]
+            if before == at_ms:
+                return
+            self.handle.deleteTimer(before)
+        self.due.update((at_ms,))
+        self.handle.registerTimer(at_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.due.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -173,6 +206,15 @@ class OrderGate(KeyedStep):
     def start(self):
         return None, -1, 0
 
+    def forgets(self):
+        return True
+
+    def expiry_ms(self, state, last_ms):
+        """The end of the cooldown, and of the minute whose signals are counted."""
+        sent_us, minute, _ = state
+        cooled = last_ms if sent_us is None else -(-(sent_us + self.cooldown_us) // 1000)
+        return max(cooled, (minute + 1) * 60_000 if self.max_per_minute is not None else cooled)
+
     def advance(self, state, row):
         last, minute, sent = state
         now = int(pd.Timestamp(row.ts).value // 1000)

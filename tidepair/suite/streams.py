@@ -77,7 +77,7 @@ def stream_latest_price(spark, sf_dir):
     ticks = valid_ticks(raw_ticks(_events(spark, sf_dir)), instruments(spark, sf_dir))
     path = jobs.run_batches(jobs.latest_prices(ticks, ORDER), "latest", jobs.table_sink, "update")
     written = spark.read.schema("key string, price double, ts timestamp, batch long").parquet(path)
-    return written.groupBy("key").agg(F.max_by(F.struct("price", "ts"), "batch").alias("_r")).select("key", "_r.*")
+    return written.groupBy("key").agg(F.max_by("price", F.struct("ts", "batch")).alias("price"), F.max("ts").alias("ts"))
 
 
 @query("stream_resample", sql.query(_CLOSED, body="SELECT symbol, ts, close FROM closed"))
