@@ -111,9 +111,50 @@ def test_fitted_chunks_split_a_hot_bucket(spark):
     got = ordered.with_running_sum(df, ["symbol"], ["ts", "id"], {"total": "v"}, 86_400, max_rows=500)
     assert list(got.toPandas().sort_values("id")["total"]) == list(pdf["v"].cumsum())
     chunked = ordered.add_chunk(df, "ts", 86_400)
-    full = chunked.groupBy("symbol", ordered.CHUNK).count().where("count > 500").drop("count")
-    cut = ordered.cut_chunks(chunked, ["symbol"], "ts", ordered.chunk_cuts(chunked, ["symbol"], "ts", full))
+    cut = ordered.fitted_chunks(chunked, ["symbol"], "ts", 500)
     parts = cut.groupBy(ordered.CHUNK).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("ts").alias("n"))
     parts = parts.toPandas().sort_values(ordered.CHUNK)
     assert parts["n"].sum() == len(pdf) and parts["n"].max() < 500
     assert (parts["hi"].iloc[:-1].to_numpy() < parts["lo"].iloc[1:].to_numpy()).all()
+
+
+def test_hot_month_is_dealt_over_several_tasks(spark):
+    rng = np.random.default_rng(13)
+    # One burst of seconds holds most rows of a month; the series has no key at all.
+    burst = pd.Timestamp("2024-01-10") + pd.to_timedelta(np.sort(rng.choice(10**7, 4000, replace=False)), unit="us")
+    calm = pd.date_range("2024-01-01", periods=200, freq="3h")
+    stamps = burst.append(calm).sort_values().astype("datetime64[us]")
+    pdf = pd.DataFrame({"ts": stamps, "v": rng.integers(-9, 10, len(stamps)).astype(float)})
+    df = from_pandas(spark, pdf)
+    cut = ordered.fitted_chunks(ordered.add_chunk(df, "ts", ordered.MONTH), [], "ts", 300)
+    sizes = [r["count"] for r in cut.groupBy(ordered.CHUNK).count().collect()]
+    assert max(sizes) <= 300 and sum(sizes) == len(pdf)
+    got = ordered.with_drawdown(df, [], ["ts"], "v", ordered.MONTH, max_rows=300).toPandas().sort_values("ts")
+    equity = pdf["v"].cumsum()
+    np.testing.assert_array_equal(got["equity"], equity)
+    np.testing.assert_array_equal(got["drawdown"], equity - equity.cummax())
+
+
+def test_scans_take_crowded_chunks_apart(spark):
+    from tests.helpers import walk_pairs
+    from tidepair.operators.kalman import KalmanScan
+    from tidepair.operators.scan import run_scan
+
+    pdf = walk_pairs(900, step="1s")
+    scan = KalmanScan([1e-4], 1e-3, 1.0, True)
+    one, many = (run_scan(from_pandas(spark, pdf), scan, ["leg_1", "leg_2"], max_rows=n).toPandas().sort_values("ts") for n in (None, 100))
+    np.testing.assert_allclose(many["beta"], one["beta"], rtol=1e-9)
+    np.testing.assert_allclose(many["error"], one["error"], rtol=1e-7, atol=1e-9)
+
+
+def test_no_driver_action_before_the_result(spark, series):
+    """Cuts are part of the plan: building it runs no job."""
+    df = from_pandas(spark, series)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "plan-only")
+    try:
+        ordered.with_neighbour(df, ["symbol"], ["ts"], {"b": "v"}, 600, max_rows=5)
+        ordered.with_drawdown(df, ["symbol"], ["ts"], "v", 600, max_rows=5)
+        assert list(tracker.getJobIdsForGroup("plan-only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -14,8 +14,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidepair.session import stage
-
 CHUNK = "_chunk"
 BLOCK = "_block"
 DAY = 86_400
@@ -48,12 +46,21 @@ def keyed_chunk(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> Da
 PARTS = 256
 
 
-def chunk_cuts(chunked: DataFrame, keys: Sequence[str], ts: str, full: DataFrame) -> DataFrame:
-    """Quantiles of the timestamps in the chunks listed in ``full``; a mergeable sketch."""
+def chunk_cuts(chunked: DataFrame, keys: Sequence[str], ts: str, max_rows: int) -> DataFrame:
+    """(keys, chunk, _cuts): timestamps that part the chunks of more than ``max_rows`` rows.
+
+    They are quantiles out of a mergeable sketch over the crowded chunks alone. All of it is one
+    plan: where the counts show that no chunk is crowded, adaptive execution drops the sketch and
+    the joins behind it. A crowded chunk is parted in about twice as many as it needs, ``PARTS`` at
+    most.
+    """
+    counted = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     quantiles = [i / PARTS for i in range(1, PARTS)]
-    cuts = F.percentile_approx(F.unix_micros(ts), quantiles, F.lit(10_000))
-    crowded = chunked.join(full, [*keys, CHUNK], "left_semi")
-    return crowded.groupBy(*keys, CHUNK).agg(cuts.alias("_cuts"))
+    sketch = F.percentile_approx(F.unix_micros(ts), quantiles, F.lit(10_000))
+    sketched = chunked.join(counted, [*keys, CHUNK]).groupBy(*keys, CHUNK).agg(F.any_value("_n").alias("_n"), sketch.alias("_q"))
+    parts = F.least(F.ceil(F.col("_n") * 2 / max_rows), F.lit(PARTS)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.floor(i * PARTS / parts).cast("int") - 1))
+    return sketched.select(*keys, CHUNK, F.array_distinct(picked).alias("_cuts"))
 
 
 def cut_chunks(chunked: DataFrame, keys: Sequence[str], ts: str, cuts: DataFrame) -> DataFrame:
@@ -65,6 +72,11 @@ def cut_chunks(chunked: DataFrame, keys: Sequence[str], ts: str, cuts: DataFrame
     return joined.withColumn(CHUNK, F.col(CHUNK) * PARTS + part).select(*chunked.columns)
 
 
+def fitted_chunks(chunked: DataFrame, keys: Sequence[str], ts: str, max_rows: int | None) -> DataFrame:
+    """``chunked`` with crowded chunks cut; without ``max_rows`` as it is."""
+    return chunked if max_rows is None else cut_chunks(chunked, keys, ts, chunk_cuts(chunked, keys, ts, max_rows))
+
+
 def spread_out(df: DataFrame, *cols: str) -> DataFrame:
     """Partition by ``cols`` into the session's full number of shuffle partitions.
 
@@ -96,23 +108,16 @@ def _with_carry(
 ) -> DataFrame:
     """Summarise each chunk, scan the summaries per key, join the result back to the rows.
 
-    With ``max_rows`` the summaries are computed at once, to see whether a chunk holds more rows
-    than one task should get; such chunks are cut at quantiles. ``edges`` is a frame with the same
-    summaries as ``df`` that is cheaper to scan.
+    With ``max_rows`` chunks that hold more rows than one task should get are cut at quantiles,
+    all within the plan. ``edges`` is a frame with the same summaries as ``df`` that is cheaper to
+    scan.
     """
     rows = keyed_chunk(df, keys, ts, seconds)
     source = rows if edges is None else keyed_chunk(edges, keys, ts, seconds)
-    summarise = lambda frame: frame.groupBy(*keys, CHUNK).agg(
-        F.count(F.lit(1)).alias("_rows"), *aggregates
-    )
-    summary = summarise(source)
     if max_rows is not None:
-        summary = stage(summary, "chunks")
-        full = summary.where(F.col("_rows") > max_rows).select(*keys, CHUNK)
-        if not full.isEmpty():
-            cuts = stage(chunk_cuts(source, keys, ts, full), "cuts")
-            rows, source = (cut_chunks(frame, keys, ts, cuts) for frame in (rows, source))
-            summary = summarise(source)
+        cuts = chunk_cuts(source, keys, ts, max_rows)
+        rows, source = (cut_chunks(frame, keys, ts, cuts) for frame in (rows, source))
+    summary = source.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     carry = summary.select(*keys, CHUNK, *[f(across).alias(name) for name, f in carried.items()])
     return rows.join(carry, [*keys, CHUNK], "left")
@@ -245,10 +250,13 @@ def with_drawdown(
     order: Sequence[str],
     value: str,
     seconds: int = MONTH,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``equity`` (running sum), ``peak`` (running maximum of it) and ``drawdown``."""
+    """Add ``equity`` (running sum), ``peak`` (running maximum of it) and ``drawdown``;
+    ``max_rows`` as in ``with_neighbour``."""
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = keyed_chunk(df, keys, order[0], seconds).withColumn("_cum", F.sum(value).over(upto))
+    chunked = fitted_chunks(keyed_chunk(df, keys, order[0], seconds), keys, order[0], max_rows)
+    rows = chunked.withColumn("_cum", F.sum(value).over(upto))
     # A chunk's own total and the highest point it reaches above its start.
     summary = rows.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_total"), F.max("_cum").alias("_top"))
     across = Window.partitionBy(*keys).orderBy(CHUNK)

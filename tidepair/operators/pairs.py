@@ -159,14 +159,16 @@ def correlation_matrix(df: DataFrame, value: str) -> DataFrame:
 def pair_bars(df: DataFrame, pairs: DataFrame, value: str = "close") -> DataFrame:
     """Aligned rows ``(leg_1, leg_2, ts, y, x)`` of the chosen pairs, common timestamps only.
 
-    ``pairs`` is the outcome of a gate (or a hand-made list), so only those rows are made. The
-    second join is on (symbol, ts), which spreads any one symbol over all tasks; the first meets
-    the small pair list, where adaptive execution broadcasts or splits a hot symbol.
+    ``pairs`` is the outcome of a gate (or a hand-made list) and small next to the rows; read it
+    from a written table. The gate stands below the pair join on both sides: rows of first legs
+    meet their pairs, and of the rows on the other side only those of second legs are exchanged.
+    The join is on (symbol, ts), which spreads any one symbol over all tasks.
     """
     valued = df.where(known(value)).select("symbol", "ts", F.col(value).alias("v"))
     extra = [c for c in pairs.columns if c not in PAIR]
     y = valued.select(F.col("symbol").alias("leg_1"), "ts", F.col("v").alias("y"))
     x = valued.select(F.col("symbol").alias("leg_2"), "ts", F.col("v").alias("x"))
+    x = x.join(pairs.select("leg_2"), "leg_2", "left_semi")
     return y.join(pairs, "leg_1").join(x, ["leg_2", "ts"]).select(*PAIR, "ts", "y", "x", *extra)
 
 

@@ -143,9 +143,14 @@ def pnl_by_ts(pnl: DataFrame) -> DataFrame:
     return pnl.groupBy("ts").agg(F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("n_pairs"))
 
 
+#: Timestamps of a portfolio curve that one task sorts.
+CURVE_ROWS = 500_000
+
+
 def equity_curve(pnl: DataFrame, seconds: int = MONTH) -> DataFrame:
-    """Portfolio equity, running peak and drawdown over time."""
-    return with_drawdown(pnl_by_ts(pnl).select("ts", "pnl"), [], ["ts"], "pnl", seconds)
+    """Portfolio equity, running peak and drawdown over time. All timestamps are one series, so a
+    chunk of it may be dense; it is cut where it holds more than ``CURVE_ROWS`` of them."""
+    return with_drawdown(pnl_by_ts(pnl).select("ts", "pnl"), [], ["ts"], "pnl", seconds, CURVE_ROWS)
 
 
 def attribution(pnl: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:

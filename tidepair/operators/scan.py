@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidepair.functions.grouped import put_keys
-from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, spread_out
+from tidepair.operators.ordered import CHUNK, MONTH, add_chunk, fitted_chunks, spread_out
 
 #: Rows of whole chunks that are handed to a scan at once.
 AT_ONCE = 65_536
@@ -126,11 +126,15 @@ def run_scan(
     keys: Sequence[str],
     ts: str = "ts",
     seconds: int = MONTH,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Run ``scan`` over each key of ``df`` in time order."""
+    """Run ``scan`` over each key of ``df`` in time order.
+
+    A chunk is held by one worker; ``max_rows`` cuts those that are too full at quantiles of time.
+    """
     keys = list(keys)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    rows = add_chunk(df, ts, seconds)
+    rows = fitted_chunks(add_chunk(df, ts, seconds), keys, ts, max_rows)
     # One small row per chunk that holds data, with its neighbours.
     order = Window.partitionBy(*keys).orderBy(CHUNK)
     present = (

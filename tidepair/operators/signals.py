@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepair.operators.ordered import with_neighbour
+from tidepair.operators.align import asof_join
+from tidepair.operators.ordered import MONTH, with_neighbour
 from tidepair.operators.pairs import PAIR
 from tidepair.operators.windows import rolling_z
 
@@ -138,12 +139,33 @@ def trade_ledger(signals: DataFrame) -> DataFrame:
     )
 
 
-def price_ledger(orders: DataFrame, prices: DataFrame) -> DataFrame:
-    """Fill orders ``(ts, key, ...)`` at the aligned price of their instrument and bar."""
-    fills = prices.select(F.col("symbol").alias("key"), "ts", F.col("close").alias("price"))
+def price_ledger(orders: DataFrame, prices: DataFrame, seconds: int = MONTH) -> DataFrame:
+    """Fill orders ``(ts, key, ...)`` at the last price of their instrument known by then.
+
+    ``prices`` are the bars as they came, not the filled grid: the price that stands when an order
+    is given is carried over from the chunk before where need be. Orders before an instrument's
+    first price are not filled.
+    """
+    asked = orders.select(F.col("key").alias("symbol"), "ts").distinct()
+    fills = asof_join(prices, asked, seconds=seconds).where(F.col("close").isNotNull())
+    fills = fills.select(F.col("symbol").alias("key"), "ts", F.col("close").alias("price"))
     return orders.join(fills, ["key", "ts"])
 
 
+def pair_orders(signals: DataFrame, qty: float, hedge_qty: float) -> DataFrame:
+    """``(ts, signal, key, action, qty)``: both legs' orders of entry signals and of their exits.
+
+    A long buys the first leg and sells the second; ``EXIT_ALL`` of a side undoes its entry.
+    """
+    if "side" not in signals.columns:
+        signals = signals.withColumn("side", F.lit(0))
+    long = (F.col("signal_type") == ENTRY_LONG) | ((F.col("signal_type") == EXIT_ALL) & (F.col("side") < 0))
+    word = lambda buy: F.when(buy, F.lit("BUY")).otherwise(F.lit("SELL"))
+    legs = F.array(order("leg_1", word(long), F.lit(qty)), order("leg_2", word(~long), F.lit(hedge_qty)))
+    rows = signals.withColumn("o", F.explode(legs))
+    return rows.select("ts", F.col("signal_type").alias("signal"), F.col("o.key").alias("key"), F.col("o.action").alias("action"), F.col("o.qty").alias("qty"))
+
+
 def allowed(signals: DataFrame, allow: Sequence[str] = STRATEGY_SIGNALS) -> DataFrame:
     """Known, non-null signals other than HOLD."""
     return signals.where(_passes(allow))

@@ -72,7 +72,7 @@ def pair_scan(
     Values are rounded before the thresholds apply.
     """
     if tail_rows is not None:
-        closes = windows.tail_n(closes, tail_rows, seconds=seconds)
+        closes = stage(windows.tail_n(closes, tail_rows, seconds=seconds), "tails")
     gate = (F.col("n") >= min_rows) & (F.col("corr") >= min_corr)
     lines, numbered = candidates(closes, gate, min_rows, seconds, rank)
     speed = stats.half_life(numbered, block_rows=block_rows)

@@ -12,9 +12,12 @@ from tidepair.operators.kalman import kalman, kalman_library
 from tidepair.operators.ordered import MONTH, with_position
 from tidepair.operators.pairs import PAIR, pair_bars
 from tidepair.operators.positions import positions, trades
+from tidepair.operators.signals import pair_orders, price_ledger
 from tidepair.operators.windows import rolling_z
 from tidepair.plans.discovery import cointegrated_pairs
+from tidepair.plans.strategies import run_strategy
 from tidepair.session import stage
+from tidepair.streaming.processors import KeyedStep
 
 KEYS = [*PAIR, "delta"]
 
@@ -103,8 +106,24 @@ def portfolio_backtest(
     """From prices to the portfolio scorecard: common timestamps, pair gates, one backtest per
     surviving pair on resampled bars, one curve."""
     shared = stage(align.align_inner_all(closes).select("symbol", "ts", "close"), "shared")
-    chosen = cointegrated_pairs(shared, min_corr, max_p, seconds)
+    chosen = stage(cointegrated_pairs(shared, min_corr, max_p, seconds), "chosen")
     bars = align.resample_last(shared, width)
     rows = stage(with_position(pair_bars(bars, chosen), PAIR, ["ts"], "pos", seconds), "rows")
     result = stage(pair_pnl(rows, shares=shares, cost=cost, seconds=seconds, **rule), "pnl")
     return pnl.scorecard(result, seconds=seconds)
+
+
+def board_backtest(
+    closes: DataFrame, chosen: DataFrame, step: KeyedStep, schema: str, qty: float, hedge_qty: float, seconds: int = MONTH
+) -> DataFrame:
+    """A strategy over the filled board, and the ledger of its orders.
+
+    Every timestamp of any instrument is a tick of the board once all have a price; the step goes
+    through the board's rows of each pair, and orders are filled at the price that stands.
+    """
+    board = stage(align.align_outer_ffill(closes, seconds=seconds), "board")
+    found = run_strategy(pair_bars(board, chosen.select(*PAIR)), step, schema, seconds=seconds)
+    orders = pair_orders(found, qty, hedge_qty)
+    return price_ledger(orders, closes, seconds).select(
+        F.col("ts").alias("time"), "signal", F.col("key").alias("asset"), "action", "qty", "price"
+    )

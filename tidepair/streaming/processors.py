@@ -16,6 +16,7 @@ SIGNAL = (
     "z_score double, beta double, predicted_y double, error double"
 )
 REVERSION = "leg_1 string, leg_2 string, ts timestamp, signal_type string, y double, x double, z_score double, spread double"
+POSITIONED = "leg_1 string, leg_2 string, ts timestamp, signal_type string, side int, y double, x double, z_score double, spread double"
 RATIO = "leg_1 string, leg_2 string, ts timestamp, signal_type string, y double, x double, ratio double"
 
 
@@ -36,6 +37,18 @@ class KeyedStep(StatefulProcessor):
     #: Seconds of event time without rows after which a key is forgotten; None keeps it for good.
     idle_s: float | None = None
 
+    #: Rows before a stretch that settle the state it is entered with, apart from the mode; None: no number does.
+    memory: int | None = None
+    #: The few values that the rest of the state (a position, say) can have.
+    modes: Sequence = (None,)
+
+    def with_mode(self, state: tuple, mode) -> tuple:
+        """``state`` as if the step were in ``mode``."""
+        return state
+
+    def mode_of(self, state: tuple):
+        return None
+
     def forgets(self) -> bool:
         return self.idle_s is not None
 
@@ -147,23 +160,65 @@ class MeanReversionStrategy(KeyedStep):
 
     def __init__(self, hedge_ratio: float, window: int = 30, threshold: float = 2.0, min_obs: int = 20):
         self.hedge_ratio, self.window, self.threshold, self.min_obs = hedge_ratio, window, threshold, min_obs
+        # Rows of both legs: the window is full, whatever came before.
+        self.memory = window
 
     def start(self):
         return None, None, []
 
-    def advance(self, state, row):
+    def score(self, seen: list, spread: float) -> float | None:
+        mean = sum(seen) / len(seen)
+        std = (sum((v - mean) ** 2 for v in seen) / len(seen)) ** 0.5
+        return (spread - mean) / std if len(seen) >= self.min_obs and std > 0 else None
+
+    def watch(self, state, row):
+        """Prices, trailing spreads and z after a row; z is None while there is none."""
         y = state[0] if pd.isna(row.y) else float(row.y)
         x = state[1] if pd.isna(row.x) else float(row.x)
         if y is None or x is None:
-            return (y, x, state[2]), None
+            return (y, x, state[2]), None, None
         spread = y - self.hedge_ratio * x
         seen = [*state[2], spread][-self.window :]
-        mean = sum(seen) / len(seen)
-        std = (sum((v - mean) ** 2 for v in seen) / len(seen)) ** 0.5
-        z = (spread - mean) / std if len(seen) >= self.min_obs and std > 0 else 0.0
-        if abs(z) <= self.threshold:
-            return (y, x, seen), None
-        return (y, x, seen), (row.ts, ENTRY_LONG if z < 0 else ENTRY_SHORT, y, x, z, spread)
+        return (y, x, seen), self.score(seen, spread), spread
+
+    def advance(self, state, row):
+        state, z, spread = self.watch(state, row)
+        if z is None or abs(z) <= self.threshold:
+            return state, None
+        return state, (row.ts, ENTRY_LONG if z < 0 else ENTRY_SHORT, state[0], state[1], z, spread)
+
+
+class PositionedReversion(MeanReversionStrategy):
+    """Mean reversion that holds a position: entered when flat, left when the spread is back near its mean."""
+
+    state_schema = "y double, x double, seen array<double>, position int"
+    columns = ["leg_1", "leg_2", "ts", "signal_type", "side", "y", "x", "z_score", "spread"]
+    modes = (0, 1, -1)
+
+    def __init__(self, hedge_ratio: float, window: int = 30, entry: float = 2.0, exit_: float = 0.5, min_obs: int = 20):
+        super().__init__(hedge_ratio, window, entry, min_obs)
+        self.exit = exit_
+
+    def start(self):
+        return None, None, [], 0
+
+    def with_mode(self, state, mode):
+        return (*state[:3], mode)
+
+    def mode_of(self, state):
+        return state[3]
+
+    def advance(self, state, row):
+        position = state[3]
+        seen, z, spread = self.watch(state, row)
+        signal, side = None, 0
+        if z is not None:
+            if position == 0 and abs(z) > self.threshold:
+                position = side = 1 if z < 0 else -1
+                signal = ENTRY_LONG if side > 0 else ENTRY_SHORT
+            elif position != 0 and abs(z) < self.exit:
+                side, position, signal = position, 0, EXIT_ALL
+        return (*seen, position), None if signal is None else (row.ts, signal, side, seen[0], seen[1], z, spread)
 
 
 class RatioStrategy(KeyedStep):

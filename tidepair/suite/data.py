@@ -42,10 +42,23 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived table, written once per application to the shared folder and read from there."""
+def source_stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of an input's files, from the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str, source: str) -> tuple:
+    """What a derived table stands for: its name and the state of the input it comes from."""
+    return spark.sparkContext.applicationId, name, source_stamp(spark, f"{sf_dir}/{source}.parquet")
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build, source: str = "events") -> DataFrame:
+    """A derived table, written to the shared folder once for each state of its input, and read from there."""
     use_utc(spark)
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = _key(spark, sf_dir, name, source)
     if key not in _tables:
         path = scratch_path(spark, name)
         df = build()
@@ -58,7 +71,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def bars_path(spark: SparkSession, sf_dir: str, minutes: int) -> str:
     """Path of the bar library of one width, as the ingestion job stores it."""
     use_utc(spark)
-    key = (spark.sparkContext.applicationId, sf_dir, f"bars{minutes}")
+    key = _key(spark, sf_dir, f"bars{minutes}", "events")
     if key not in _tables:
         path = scratch_path(spark, f"bars{minutes}")
         save_bars(ohlc_bars(ticks(spark, sf_dir), f"{minutes} minutes"), path)

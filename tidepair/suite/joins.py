@@ -62,7 +62,7 @@ def align_left(spark, sf_dir):
     return align.align_left(y, x)
 
 
-_FFILL = """grid AS (SELECT s.symbol, t.ts, b.close FROM (SELECT DISTINCT ts FROM bars) t, (SELECT DISTINCT symbol FROM bars) s
+FFILL_SQL = """grid AS (SELECT s.symbol, t.ts, b.close FROM (SELECT DISTINCT ts FROM bars) t, (SELECT DISTINCT symbol FROM bars) s
   LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = t.ts),
 filled AS (SELECT symbol, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS close FROM grid),
 ready AS (SELECT max(t) AS t FROM (SELECT min(ts) AS t FROM bars GROUP BY symbol))"""
@@ -70,12 +70,26 @@ ready AS (SELECT max(t) AS t FROM (SELECT min(ts) AS t FROM bars GROUP BY symbol
 
 @query(
     "align_outer_ffill",
-    over_bars("SELECT symbol, ts, close FROM filled WHERE ts >= (SELECT t FROM ready)", 15, _FFILL),
+    over_bars("SELECT symbol, ts, close FROM filled WHERE ts >= (SELECT t FROM ready)", 15, FFILL_SQL),
 )
 def align_outer_ffill(spark, sf_dir):
     return align.align_outer_ffill(data.closes(spark, sf_dir, 15), seconds=data.CHUNK_SECONDS)
 
 
+@query(
+    "aligned_wide",
+    over_bars(
+        """SELECT ts, max(CASE WHEN symbol = 'click' THEN close END) AS click, max(CASE WHEN symbol = 'view' THEN close END) AS view
+        FROM bars WHERE ts IN (SELECT ts FROM bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)) GROUP BY ts""",
+        15,
+    ),
+)
+def aligned_wide(spark, sf_dir):
+    """Closes at the timestamps that all symbols share, one column for each named symbol."""
+    shared = align.align_inner_all(data.closes(spark, sf_dir, 15))
+    return align.to_wide(shared, ["click", "view"])
+
+
 @query(
     "readiness_gate",
     over_bars(

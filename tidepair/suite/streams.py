@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from tidepair.operators.clean import valid_ticks
 from tidepair.operators.pairs import PAIR
+from tidepair.plans.research import board_backtest
 from tidepair.plans.strategies import run_strategy
 from tidepair.sources.bars import read_monitor
 from tidepair.sources.schemas import EVENTS_DDL
 from tidepair.streaming import jobs
-from tidepair.streaming.processors import REVERSION, SIGNAL, MeanReversionStrategy
+from tidepair.streaming.processors import POSITIONED, REVERSION, SIGNAL, MeanReversionStrategy, PositionedReversion
 from tidepair.suite import data, sql
+from tidepair.suite.joins import FFILL_SQL
 from tidepair.suite.registry import query, rounded
 from tidepair.suite.scans import INSTRUMENTS_SQL, RAW_TICKS_SQL, instruments, raw_ticks
-from tidepair.suite.sql import over_pairs, r
+from tidepair.suite.sql import over_bars, over_pairs, r
 from tidepair.suite.trading import MR_SQL
 
 # No two events share a timestamp.
@@ -139,12 +141,62 @@ def stream_ratio(spark, sf_dir):
     over_pairs(f"SELECT leg_1, leg_2, ts, signal_type, {r('z', 5)} AS z_score, {r('spread', 4)} AS spread FROM mr", 60, MR_SQL),
 )
 def strategy_batch(spark, sf_dir):
-    """The streamed mean-reversion step as a plug-in of the batch path."""
+    """The streamed mean-reversion step as a plug-in of the batch path, over blocks of 256 rows."""
     rows = data.pairs(spark, sf_dir).select(*PAIR, "ts", "y", "x")
-    found = run_strategy(rows, MeanReversionStrategy(1.25), REVERSION).drop("y", "x")
+    found = run_strategy(rows, MeanReversionStrategy(1.25), REVERSION, block_rows=256, seconds=data.CHUNK_SECONDS).drop("y", "x")
     return rounded(rounded(found, "z_score", digits=5), "spread", digits=4)
 
 
+POSITIONED_SQL = [
+    """scored AS MATERIALIZED (SELECT leg_1, leg_2, 0.0::DOUBLE AS delta, ts, pos, y, x, spread, CASE WHEN n >= 20 THEN (spread - m) / nullif(s, 0) END AS z
+  FROM (SELECT *, count(*) OVER w AS n, avg(spread) OVER w AS m, stddev_pop(spread) OVER w AS s FROM (SELECT *, y - 1.25::DOUBLE * x AS spread FROM pairs)
+    WINDOW w AS (PARTITION BY leg_1, leg_2 ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)))""",
+    sql.positions("scored", "z", [(2.0, 0.5)], "abs", False),
+    """held AS MATERIALIZED (SELECT leg_1, leg_2, w.ts, CASE WHEN w.leaves THEN 'EXIT_ALL' WHEN w.side > 0 THEN 'ENTRY_LONG' ELSE 'ENTRY_SHORT' END AS signal_type,
+    CAST(CASE WHEN w.leaves THEN w.side_before ELSE w.side END AS INTEGER) AS side, w.z, w.spread FROM walk w WHERE w.leaves OR w.enters)""",
+]
+
+
+@query(
+    "strategy_positions",
+    over_pairs(
+        f"SELECT leg_1, leg_2, ts, signal_type, side, {r('z', 5)} AS z_score, {r('spread', 4)} AS spread FROM held", 60, *POSITIONED_SQL, recursive=True
+    ),
+)
+def strategy_positions(spark, sf_dir):
+    """A strategy that holds positions, over blocks of 256 rows: each block is walked from flat, long and short."""
+    rows = data.pairs(spark, sf_dir).select(*PAIR, "ts", "y", "x")
+    found = run_strategy(rows, PositionedReversion(1.25), POSITIONED, block_rows=256, seconds=data.CHUNK_SECONDS).drop("y", "x")
+    return rounded(rounded(found, "z_score", digits=5), "spread", digits=4)
+
+
+_BOARD_PAIRS = """pairs AS MATERIALIZED (SELECT a.symbol AS leg_1, b.symbol AS leg_2, a.ts, a.close AS y, b.close AS x,
+    row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) AS pos
+  FROM filled a JOIN filled b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ts >= (SELECT t FROM ready))"""
+_BOARD_ORDERS = """orders_ AS (SELECT ts, signal_type, leg_1 AS asset, buys AS buys, 10.0::DOUBLE AS qty FROM turned
+  UNION ALL SELECT ts, signal_type, leg_2, NOT buys, 12.0::DOUBLE FROM turned)"""
+
+
+@query(
+    "board_ledger",
+    over_bars(
+        """SELECT o.ts AS "time", o.signal_type AS signal, o.asset, CASE WHEN o.buys THEN 'BUY' ELSE 'SELL' END AS action, o.qty, f.close AS price
+        FROM orders_ o JOIN filled f ON f.symbol = o.asset AND f.ts = o.ts""",
+        15,
+        FFILL_SQL,
+        _BOARD_PAIRS,
+        *POSITIONED_SQL,
+        "turned AS (SELECT *, signal_type = 'ENTRY_LONG' OR (signal_type = 'EXIT_ALL' AND side < 0) AS buys FROM held)",
+        _BOARD_ORDERS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def board_ledger(spark, sf_dir):
+    """Backtest over the filled board of all instruments, with the ledger of its orders."""
+    chosen = data.stats(spark, sf_dir, 15).select(*PAIR)
+    closes = data.closes(spark, sf_dir, 15)
+    return board_backtest(closes, chosen, PositionedReversion(1.25), POSITIONED, 10, 12, data.CHUNK_SECONDS)
+
+
 def _signal_table(spark, sf_dir):
     """Path of the signals table that the strategy job leaves, for the jobs behind it."""
     return jobs.run_batches(jobs.signals(_pair_updates(spark, sf_dir)), "signals", jobs.table_sink)
