@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepair.llm import minhash_dedup
+from tidepair.llm import minhash_dedup, set_join
 from tidepair.llm import text as tx
 from tidepair.session import stage
 
@@ -146,8 +146,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of documents that the bands link: verified pairs and their classes.
 
-    Signatures fall into bands; documents that share a band with the least or the greatest of
-    its bucket are pairs, verified by the Jaccard similarity of their full sets (0.75). Texts
+    Signatures fall into bands; any two documents that share a band and whose full sets have a
+    Jaccard similarity of 0.75 or more end in one class. Texts
     with equal sets are merged first. ``class_id`` is the least doc_id reachable. Rows without
     an id or without words are left out; an empty table gives an empty result.
     """
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def fn(batch, texts):
         sets, first = tx.distinct(*tx.Words(texts).shingles())
         sig = tx.minhash(sets, first, a, b).view(np.int32)
-        digests = [hashlib.blake2b(sets[i:j].tobytes(), digest_size=16).digest() for i, j in zip(first[:-1], first[1:], strict=True)]
+        digests = [set_join.set_digest(sets[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
         flat = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, sig.shape[1], dtype=np.int32), pa.array(sig.ravel()))
         return batch.column("doc_id"), np.diff(first), digests, flat
 
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "classes")
     band = lambda i: F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS))
     keys = classes.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
-    pairs = minhash_dedup.likely(minhash_dedup.candidates(keys), classes.select("node", "sig"), BANDS * ROWS // 2)
-    found = minhash_dedup.linked(pairs, rows)
+    met = stage(minhash_dedup.buckets(keys), "buckets")
+    found = minhash_dedup.link(met, classes, rows, BANDS * ROWS // 2)
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     return sketch.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")

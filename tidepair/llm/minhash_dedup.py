@@ -8,13 +8,12 @@ table unless all 12 groups of a collection differ: 1 - 2 * 0.4375 ** 12 = 0.9999
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepair.llm import set_join
 from tidepair.llm import text as tx
 from tidepair.llm.graph import components
 from tidepair.session import stage
@@ -26,8 +25,6 @@ SEED = 7
 LEAST_EQUAL = 18
 #: Similarity of a link, in per cent.
 PERCENT = 75
-#: Open pairs are all compared once there are no more than so many for each row of the open buckets.
-OPEN = 16
 
 
 def sketches(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
@@ -40,7 +37,7 @@ def sketches(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH) -> DataF
     def fn(batch, texts):
         sets, first = tx.distinct(*tx.Words(texts).shingles())
         sig = tx.minhash(sets, first, a, b).view(np.int32)
-        digests = [hashlib.blake2b(sets[i:j].tobytes(), digest_size=16).digest() for i, j in zip(first[:-1], first[1:], strict=True)]
+        digests = [set_join.set_digest(sets[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
         flat = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, sig.shape[1], dtype=np.int32), pa.array(sig.ravel()))
         return batch.column("doc_id"), np.diff(first), digests, flat
 
@@ -68,17 +65,16 @@ def buckets(keys: DataFrame) -> DataFrame:
     return keys.join(ends, "key")
 
 
-def _to_ends(met: DataFrame) -> DataFrame:
-    ends = met.select(F.explode(F.array(F.struct("node", F.col("lo").alias("end")), F.struct("node", F.col("hi").alias("end")))).alias("p"))
-    return ends.select(F.least("p.node", "p.end").alias("a"), F.greatest("p.node", "p.end").alias("b")).where("a < b").distinct()
-
-
 def candidates(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: every node with the least and the greatest node of each of its tables' buckets.
+    """(a, b), a < b: every node with the least node of all its tables' buckets.
 
-    So a bucket gives at most two pairs a member at first; ``settled`` sees to the others.
+    So a node gives one pair at first, however large its groups are; ``link`` sees to the others.
     """
-    return _to_ends(buckets(keys))
+    return _least_ends(buckets(keys))
+
+
+def _least_ends(met: DataFrame) -> DataFrame:
+    return met.groupBy("node").agg(F.min("lo").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
 
 
 def likely(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
@@ -89,98 +85,27 @@ def likely(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
     return two.where(equal >= least).select("a", "b").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
+def link(met: DataFrame, classes: DataFrame, docs: DataFrame, least: int, percent: int = PERCENT) -> DataFrame:
+    """(node, component) such that any two nodes of one bucket that are similar are in one component.
 
-    Texts join the pairs on the larger id first, then on the smaller, which may be the end of
-    many buckets: that join can be split, and the set of such an end is hashed once per run.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-    def run(batches):
-        kept = {}
-        for batch in batches:
-            ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            lengths = [len(x) for x in batch.column("text_b").cast(pa.binary()).to_pylist()]
-            for lo, hi in tx.slices(lengths):
-                part = batch.slice(lo, hi - lo)
-                sets, first = tx.distinct(*tx.Words(tx.text_bytes(part.column("text_b"))).shingles())
-                fine = []
-                for i, x in enumerate(tx.text_bytes(part.column("text_a"))):
-                    if kept.get("text") != x:
-                        kept = {"text": x, "set": tx.distinct(*tx.Words([x]).shingles())[0]}
-                    both, union = tx.similarity(kept["set"], sets[first[i] : first[i + 1]])
-                    fine.append(union > 0 and 100 * both >= percent * union)
-                rows = np.flatnonzero(fine)
-                yield pa.RecordBatch.from_pydict({"a": [ids_a[lo + r] for r in rows], "b": [ids_b[lo + r] for r in rows]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return two.mapInArrow(run, "a long, b long").distinct()
-
-
-def spanning(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that span the components of the confirmed pairs.
-
-    First each node is confirmed against its least candidate only; then just the candidates
-    that still lie in different components. Copies of one group so cost one comparison each.
+    ``met`` holds the buckets (key, node, lo), ``classes`` their (node, digest, sig). First every
+    node is verified against the least node that it shares a bucket with; copies of one text end
+    in one component by a comparison each. Buckets that still hold several components are
+    open: their nodes are joined by the rare members of their sets, which misses no similar pair
+    and makes few others, and what is found is verified.
     """
-    pairs = stage(pairs, "pairs")
-    near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(confirm(near, docs, percent), "confirmed")
+    sets = stage(set_join.sets_of(docs, classes.join(met.select("node"), "node", "left_semi")), "sets")
+    near = likely(_least_ends(met), classes.select("node", "sig"), least)
+    links = stage(set_join.verified(near, sets, percent), "links")
     label = stage(components(links), "components")
-    left = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    open_pairs = pairs.join(near.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").drop("done")
-    open_pairs = open_pairs.join(left, "a", "left").join(right, "b", "left")
-    open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    open_pairs = stage(open_pairs, "open")
-    more = stage(confirm(open_pairs, docs, percent), "confirmed")
-    return links.unionByName(more)
-
-
-def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) over the confirmed pairs."""
-    return components(spanning(pairs, docs, percent))
-
-
-def settled(links: DataFrame, crowd: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) such that any two nodes of one bucket of ``crowd`` (key, node) are in one
-    component or were compared.
-
-    Rounds compare the members of a bucket with one of them, drawn anew each time, and merge what
-    they link, until few pairs of different components are left or a round links nothing. Then
-    all those pairs are compared: as many as a bucket has that collide and are not alike.
-    """
-    turn, last = 0, False
-    while True:
-        label = stage(components(links), "components")
-        if last:
-            return label
-        rows = crowd.join(label.repartition(F.xxhash64("node")), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        parts = rows.groupBy("key", "component").agg(F.count("node").alias("held"))
-        mixed = parts.groupBy("key").agg(F.count("component").alias("parts"), F.sum("held").alias("n"), F.sum(F.col("held") * F.col("held")).alias("same")).where("parts > 1")
-        mixed = stage(mixed, "mixed")
-        left = mixed.agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left.rows:
-            return label
-        rows = stage(rows.join(mixed.select("key").repartition(F.xxhash64("key")), "key", "left_semi"), "open")
-        last = left.pairs <= OPEN * left.rows
-        while True:
-            if last:
-                one = rows.select("key", F.col("node").alias("other"), F.col("component").alias("c"))
-                meets = F.col("other") < F.col("node")
-            else:
-                one = rows.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("component").alias("c")), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
-                meets = F.lit(True)
-            pairs = rows.join(one.withColumnRenamed("key", "k").repartition(F.xxhash64("k")), (F.col("key") == F.col("k")) & (F.col("component") != F.col("c")) & meets)
-            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-            more = stage(confirm(stage(likely(pairs, sketch, LEAST_EQUAL), "pairs"), docs, percent), "confirmed")
-            turn += 1
-            if last or more.limit(1).count():
-                break
-            last = True
-        links = links.unionByName(more)
+    rows = met.select("key", "node").join(label.repartition(F.xxhash64("node")), "node", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
+    open_ = rows.join(mixed.select("key").repartition(F.xxhash64("key")), "key", "left_semi").groupBy("node").agg(F.any_value("component").alias("component"))
+    left = stage(sets.join(open_, "node"), "open")
+    pairs = stage(set_join.across(left, percent), "pairs")
+    more = stage(set_join.verified(pairs, sets, percent), "links")
+    return components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -196,11 +121,8 @@ def near_duplicates(docs: DataFrame, groups: int = GROUPS, width: int = WIDTH, p
     sketch = stage(sketches(docs, groups, width), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "classes")
-    nodes = classes.select("node", "sig")
-    met = stage(buckets(table_keys(nodes, groups, width)), "buckets")
-    links = spanning(likely(_to_ends(met), nodes, LEAST_EQUAL), docs, percent)
-    # Buckets of up to three nodes have no pair without an end.
-    found = settled(links, met.where("n > 3").select("key", "node"), nodes, docs, percent)
+    met = stage(buckets(table_keys(classes.select("node", "sig"), groups, width)), "buckets")
+    found = link(met, classes, docs, LEAST_EQUAL, percent)
     named = classes.select("digest", "node").join(found, "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component"))
     out = sketch.join(named, "digest", "left")
