@@ -61,6 +61,20 @@ def test_failing_lines_go_and_poor_texts_with_them(spark):
     assert 2 not in got
 
 
+def test_quotes_scripts_and_long_lines_are_no_reason(spark):
+    french = "Il a dit « bonjour » à sa mère. Il a ensuite dit « merci » à son père, puis « au revoir » à tous les gens qui étaient encore là ce soir."
+    german = "Sie rief »halt« und er rief »nein«, doch niemand blieb stehen, denn der Zug fuhr schon und alle wollten nur noch nach Hause und schlafen gehen."
+    arabic = "هل تعرف الطريق إلى المدينة القديمة حيث كان جدي يبيع الكتب والخرائط والأقلام قبل أن يرحل إلى البحر مع أصدقائه في ذلك الصيف البعيد؟"
+    hindi = "वह हर सुबह नदी के किनारे चलता था और अपने पुराने मित्रों से मिलता था और फिर सब लोग साथ बैठकर चाय पीते और बातें करते थे।"
+    shouting = cases.prose(4, 60) + " What?? " + cases.prose(5, 60) + " No!! " + cases.prose(6, 60) + " Well!! " + cases.prose(7, 20)
+    data = [(i, t, "xx", "s", 1) for i, t in enumerate([french, german, arabic, hindi, shouting])]
+    data += [(10, f"{french}\nStart » Shop › Hosen » Blau\n{german}", "xx", "s", 1), (11, "WOW!! BUY!! NOW!!\n" + cases.prose(8, 40), "xx", "s", 1)]
+    got = {r.doc_id: r.text for r in quality_rules.clean(cases.frame(spark, data, clash=False)).collect()}
+    for i, t in enumerate([french, german, arabic, hindi, shouting]):
+        assert got.get(i) == t, t
+    assert got[10] == f"{french}\n{german}" and got[11] == cases.prose(8, 40)
+
+
 def test_clean_documents_stay_and_poor_ones_go(spark):
     path = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
@@ -113,6 +127,30 @@ def test_added_rules_and_masking(spark):
     assert secret_scan.mask(docs).dtypes == docs.dtypes
 
 
+def test_private_keys_go_whole(spark):
+    body = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "MIIEow+/IBAAK=\n" * 30
+    key = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}-----END {kind}PRIVATE KEY-----"
+    text = f"first {key('RSA ')} then {key('')}\nand -----BEGIN EC PRIVATE KEY----- cut off, -- as it is --"
+    docs = cases.frame(spark, [(1, text, "en", "s", 1)])
+    spans = [s.split(":") for s in secret_scan.scan(docs).collect()[0].spans.split(",") if s.startswith("private_key")]
+    assert [text[int(a) : int(b)] for _, a, b in spans] == [key("RSA "), key(""), "-----BEGIN EC PRIVATE KEY-----"]
+    masked = secret_scan.mask(docs).collect()[0].text
+    assert masked == "first [SECRET] then [SECRET]\nand [SECRET] cut off, -- as it is --"
+
+
+def test_long_runs_are_scanned_once():
+    import time
+
+    compiled, n = secret_scan.scanner(), 1_000_000
+    hostile = ["://x: " + "a" * n, "://x: " + "0a" * (n // 2), ".eyJa " + "eyJ" * (n // 3), "-----BEGIN RSA PRIVATE KEY----- " * 3000, "bearer " * (n // 7), "password" + " " * n]
+    for text in hostile:
+        begun = time.process_time()
+        compiled.scan(text.encode())
+        assert time.process_time() - begun < 20, text[:20]
+    found = compiled.scan(b"see https://me:pa55w0rd@host/x and 9git+ssh://u:longer@host")
+    assert [s[2] for s in found] == [6, 6]
+
+
 def test_automaton_matches_re():
     rules = [r"ab{2,3}(c|de)*", r"[^a-c\n]x+", r"(?i)key\x20?=\d{2,}", r"a?b?c?d"]
     rng = random.Random(2)
@@ -176,6 +214,24 @@ def test_no_token_of_a_titled_name_remains(spark):
     assert [got[i].kinds.count("name") for i in range(3)] == [4, 4, 2]
 
 
+def test_very_long_entities_are_replaced(spark):
+    texts = [
+        "Mr. " + "Anna " * 2000 + "left.",
+        "write a@b" + ".c" * 20_000 + " today",
+        "Mr. " + "A. " * 20_000 + "Smith",
+        "Mr. " + "Ab" * 20_000 + " left",
+        "Mr. Jones " + "A." * 20_000,
+        "Dr. Παπαδόπουλος met Mrs. Ελένη Παπαδόπουλος.",
+    ]
+    got = {r.doc_id: r for r in surrogates.replace(cases.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert len(got) == len(texts)
+    assert "Anna" not in got[0].text and got[0].text.endswith(" left.") and got[0].n_entities == 1
+    assert "a@b" not in got[1].text and got[1].text.endswith(".example.org today")
+    assert "AbAb" not in got[3].text and "Jones" not in got[4].text
+    first, given, second = re.fullmatch(r"Dr\. ([\u0370-\u03ff]+) met Mrs\. ([\u0370-\u03ff]+) ([\u0370-\u03ff]+)\.", got[5].text).groups()
+    assert first == second != "Παπαδόπουλος" and given.endswith("να")
+
+
 def test_surrogates_stay_distinct_where_they_collide(spark):
     # 676 two-letter addresses on one domain: keyed spelling meets itself, and meets real ones.
     letters = "abcdefghijklmnopqrstuvwxyz"

@@ -30,28 +30,33 @@ _NOT_IN = r"(?<![\p{L}\p{N}])"
 _MALE = r"Mr\.?|Mister|Herrn?|Señor|Sr\.|Monsieur|господин"
 _FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Señora|Sra\.|Madame|Mme\.?|госпожа"
 _EITHER = r"Dr\.|Prof\."
-_TOKEN = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}]+(?:\p{Lu}\p{Ll}+)*(?:[-'’]\p{Lu}[\p{Ll}]+)*"
+# Loops over groups are possessive throughout (nothing that follows could use what they give back):
+# the matcher walks those, where it would recurse into others, so the length of a match is free.
+_TOKEN = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+(?:[-'’]\p{Lu}\p{Ll}++)*+"
 #: A title opens a name of its own.
 _NAME = rf"(?!(?:{_MALE}|{_FEMALE}|{_EITHER}) )" + _TOKEN
-_DOTTED = r"(?:\p{Lu}\.)(?:-?\p{Lu}\.)*"
+_DOTTED = r"(?:\p{Lu}\.)(?:-?\p{Lu}\.)*+"
 _INITIAL = rf"(?:{_DOTTED}|\p{{Lu}}(?![\p{{L}}\p{{N}}'’.-]))"
 _PARTICLE = r"(?:[Vv][oa]n|vom|zu[mr]?|[Dd]e|del|[Dd]ella|den|der|des|[Dd]i|d[ao]s?|[Dd]u|l[aeo]s?|el|al|bin|ibn|te[rn]|y)(?![\p{L}\p{N}'’-])"
+#: A name token with the few initials and particles in front of it.
+_STEP = rf"(?:(?:{_INITIAL}|{_PARTICLE}) ){{0,6}}{_NAME}"
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": _NOT_IN + r"(?<![0-9]\.)(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\p{L}\p{N}]|\.[0-9])",
     "phone": _NOT_IN + r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
     "ssn": _NOT_IN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}])",
     "card": _NOT_IN + r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})(?![\p{L}\p{N}])",
-    "name": _NOT_IN + rf"(?:{_MALE}|{_FEMALE}|{_EITHER}) (?:(?:{_INITIAL}|{_PARTICLE}|{_NAME}) )*{_NAME}(?: {_DOTTED})?",
+    "name": _NOT_IN + rf"(?:{_MALE}|{_FEMALE}|{_EITHER}) {_STEP}(?: {_STEP})*+(?: {_DOTTED})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
+    "greek": "βα βε βο γα γε γο δα δε δι δο ζα ζε θα θε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε το φα φε".split(),
     "cyrillic": "ба бе би бо ва ве ви во да де ди до га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то".split(),
 }
-_ENDINGS = {"latin": {"given_f": "na", "given_m": "ron", "given": "lis", "surname": "mer"}, "cyrillic": {"given_f": "на", "given_m": "рон", "given": "лис", "surname": "мер"}}
+_ENDINGS = {"latin": {"given_f": "na", "given_m": "ron", "given": "lis", "surname": "mer"}, "greek": {"given_f": "να", "given_m": "ρων", "given": "λις", "surname": "μερ"}, "cyrillic": {"given_f": "на", "given_m": "рон", "given": "лис", "surname": "мер"}}
 _ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 
@@ -161,7 +166,8 @@ def _token(kind: Column, value: Column, key: str, tweak: Column) -> Column:
             ending = F.when(kind == name, tail).otherwise(ending)
         return F.initcap(F.concat(F.array_join(of, ""), ending))
 
-    return F.when(value.rlike(_SCRIPTS["cyrillic"]), spelled("cyrillic")).otherwise(spelled("latin"))
+    out = F.when(value.rlike(_SCRIPTS["cyrillic"]), spelled("cyrillic")).when(value.rlike(_SCRIPTS["greek"]), spelled("greek"))
+    return out.otherwise(spelled("latin"))
 
 
 def _initials(value: Column, key: str) -> Column:
