@@ -11,11 +11,12 @@ import hashlib
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepair.llm import text as tx
-from tidepair.llm.automaton import Automaton
+from tidepair.llm.automaton import Automaton, _Parser
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,8 @@ class Rule:
 
     ``marker`` is what any kept span holds, so that texts without it need no second look; it
     has few counted parts, since states of the combined automaton multiply with those.
-    ``head`` is the part before the value whose length counts.
+    ``head`` is the part before the value whose length counts. A span can't start behind a byte
+    of ``apart``: where a long run of such bytes fails, its other places need no look.
     """
 
     kind: str
@@ -32,20 +34,23 @@ class Rule:
     marker: str
     least: int = 0
     head: str = ""
+    apart: str = ""
 
 
 _ASSIGN_HEAD = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 _VALUE = r"[A-Za-z0-9+/_.=\-]"
+#: A key is secret from its first line to its last, or its first line alone where the last is missing.
+_KEY_LINE = r"-----{}\x20([A-Z0-9]+\x20)*PRIVATE\x20KEY-----"
 _VENDOR = r"(gh[pousr]_|github_pat_|glpat-|xox[baprs]-|sk_live_|sk_test_|AIza|npm_|hf_)"
 #: Kinds in the order in which ties at one start are listed; the first three are the base.
 RULES = (
     Rule("assign", f"{_ASSIGN_HEAD}{_VALUE}+", f"{_ASSIGN_HEAD}{_VALUE}", 12, _ASSIGN_HEAD),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]", 18),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", 16),
-    Rule("private_key", r"-----BEGIN\x20([A-Z0-9]+\x20)*PRIVATE\x20KEY-----", r"-----BEGIN\x20"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", r"\.eyJ[A-Za-z0-9_\-]", 40),
+    Rule("private_key", f"{_KEY_LINE.format('BEGIN')}(([^\\-]|-[^\\-])*{_KEY_LINE.format('END')})?", r"-----BEGIN\x20"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", r"\.eyJ[A-Za-z0-9_\-]", 40, apart=r"[A-Za-z0-9_\-]"),
     Rule("vendor_token", f"{_VENDOR}[A-Za-z0-9_\\-]+", f"{_VENDOR}[A-Za-z0-9_\\-]", 24),
-    Rule("url_password", r"[a-z][a-z0-9+.\-]*://[A-Za-z0-9._~%\-]+:[A-Za-z0-9._~%!$&*+=\-]+@", r"://[A-Za-z0-9._~%\-]+:", 12),
+    Rule("url_password", r"[a-z][a-z0-9+.\-]{0,31}://[A-Za-z0-9._~%\-]+:[A-Za-z0-9._~%!$&*+=\-]+@", r"://[A-Za-z0-9._~%\-]+:", 12, apart="[a-z]"),
     Rule("bearer", r"(?i)bearer\x20+[A-Za-z0-9._~+/=\-]+", r"(?i)bearer\x20", 27),
 )
 BASE = 3
@@ -59,6 +64,7 @@ class Scanner:
         self.all = Automaton([r.marker for r in rules], search=True)
         self.each = [Automaton([r.pattern], search=False) for r in rules]
         self.heads = [Automaton([r.head], search=False) if r.head else None for r in rules]
+        self.apart = [_Parser(r.apart).atom()[1] if r.apart else frozenset() for r in rules]
         self.starts = []
         for one in self.each:
             begins = {k for k in range(one.width) if one.table[k] != one.dead * one.width}
@@ -76,8 +82,11 @@ class Scanner:
     def spans_of(self, k: int, data: bytes) -> list[tuple[int, int]]:
         one, head, rule = self.each[k], self.heads[k], self.rules[k]
         coded, begins = data.translate(one.classes), data.translate(self.starts[k])
-        spans, at = [], begins.find(1)
+        spans, at, apart = [], begins.find(1), self.apart[k]
         while at >= 0:
+            if at and data[at - 1] in apart:
+                at = begins.find(1, at + 1)
+                continue
             end = one.longest(coded, at)
             if end < 0:
                 end = at + 1
@@ -147,29 +156,35 @@ def mask(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
     def run(batches):
         compiled, at = scanner(), columns.index("text")
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            changed = False
-            for i, text in enumerate(texts):
-                spans = compiled.scan(text.encode()) if text else ()
-                if spans:
-                    changed, parts, done = True, [], 0
-                    merged: list[list[int]] = []
-                    for a, b, _ in spans:
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    for a, b in merged:
-                        parts += [text[done:a], by]
-                        done = b
-                    texts[i] = "".join(parts) + text[done:]
-            if changed:
-                held = list(batch.columns)
-                held[at] = pa.array(texts, type=batch.schema.field(at).type)
-                if has_length:
-                    n = columns.index("n_chars")
-                    held[n] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.schema.field(n).type)
-                batch = pa.RecordBatch.from_arrays(held, schema=batch.schema)
-            yield batch
+            sizes = pa.compute.binary_length(batch.column(at).cast(pa.binary()).fill_null(b"")).to_pylist()
+            for lo, hi in tx.slices(sizes):
+                yield masked(compiled, batch.slice(lo, hi - lo), at)
+
+    def masked(compiled, batch, at):
+        texts = batch.column(at).to_pylist()
+        changed = False
+        for i, text in enumerate(texts):
+            spans = compiled.scan(text.encode()) if text else ()
+            if not spans:
+                continue
+            changed, parts, done = True, [], 0
+            merged: list[list[int]] = []
+            for a, b, _ in spans:
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            for a, b in merged:
+                parts += [text[done:a], by]
+                done = b
+            texts[i] = "".join(parts) + text[done:]
+        if not changed:
+            return batch
+        held = list(batch.columns)
+        held[at] = pa.array(texts, type=batch.schema.field(at).type)
+        if has_length:
+            n = columns.index("n_chars")
+            held[n] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.schema.field(n).type)
+        return pa.RecordBatch.from_arrays(held, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
