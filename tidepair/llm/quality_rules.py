@@ -3,8 +3,10 @@
 DataFrame expressions only. A line (text between ``\\n``) with a word is removed if
 
 - punctuation: no word in it ends in a sentence mark (closing quotes and brackets may follow),
-  a tenth or more of it are symbols, or it holds three runs of two or more marks like ``!!``;
-- navigation: it holds two or more bars or arrows between items;
+  a tenth or more of it are symbols, or it holds three runs of two or more marks like ``!!``, one
+  in a hundred characters or more;
+- navigation: it holds two or more bars or arrows between items, one in forty characters or more;
+  angle marks count only in lines that hold none of the other direction, which quotations do;
 - boilerplate: it is short and holds a phrase of licences, notices or page furniture.
 
 Lines without a word are never counted as lost and are dropped with their neighbours' ends.
@@ -27,9 +29,13 @@ MOST_LOST = 40
 MOST_SYMBOLS = 10
 #: Boilerplate phrases count in lines up to this long; a paragraph may mention them.
 NOTICE_CHARS = 200
-SENTENCE = r"[.!?…。！？][\"'\)\]»”’]*([\x20\x09-\x0D]|$)"
+#: A run of marks, or a separator of items, counts in lines of up to so many characters for each.
+SHOUT_CHARS, ITEM_CHARS = 100, 40
+SENTENCE = r"[.!?…。！？؟۔।॥][\"'\)\]»”’]*([\x20\x09-\x0D]|$)"
 SHOUTS = r"[!?]{2}.*[^!?][!?]{2}.*[^!?][!?]{2}"
-ITEMS = r"[|»›→].*[|»›→]"
+RUNS = r"[!?]{2,}"
+BARS, ANGLES, OPENING = "|→", "»›", "«‹"
+ITEMS = rf"[{BARS}{ANGLES}].*[{BARS}{ANGLES}]"
 NOTICES = (
     "all rights reserved", "licensed under", "released under the", "spdx-license", "copyright ", "(c) 20",
     "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "sign in", "log in",
@@ -45,9 +51,12 @@ def line_fails(line: Column) -> dict[str, Column]:
     notice = F.lit(False)
     for phrase in NOTICES:
         notice = notice | F.contains(lowered, F.lit(phrase))
+    shouts = line.rlike(SHOUTS) & (SHOUT_CHARS * F.size(F.regexp_extract_all(line, F.lit(RUNS), F.lit(0))) >= F.length(line))
+    only = lambda marks: F.length(F.regexp_replace(line, f"[^{marks}]+", ""))
+    items = F.when(line.rlike(f"[{OPENING}]"), only(BARS)).otherwise(only(BARS + ANGLES))
     return {
-        "punctuation": ~line.rlike(SENTENCE) | (100 * symbols >= MOST_SYMBOLS * F.length(line)) | line.rlike(SHOUTS),
-        "navigation": line.rlike(ITEMS),
+        "punctuation": ~line.rlike(SENTENCE) | (100 * symbols >= MOST_SYMBOLS * F.length(line)) | shouts,
+        "navigation": line.rlike(ITEMS) & (items >= 2) & (ITEM_CHARS * items >= F.length(line)),
         "boilerplate": (F.length(line) <= NOTICE_CHARS) & notice,
     }
 
@@ -136,10 +145,12 @@ def clean(docs: DataFrame) -> DataFrame:
     return judged.select(*out)
 
 
+_ITEMS_SQL = f"length(regexp_replace(line, CASE WHEN regexp_matches(line, '[{OPENING}]') THEN '[^{BARS}]+' ELSE '[^{BARS}{ANGLES}]+' END, '', 'g'))"
 _LINE_SQL = f"""
         NOT regexp_matches(line, '{SENTENCE.replace("'", "''")}')
         OR 100 * length(regexp_replace(line, '[^{SYMBOLS}]+', '', 'g')) >= {MOST_SYMBOLS} * length(line)
-        OR regexp_matches(line, '{SHOUTS}') OR regexp_matches(line, '{ITEMS}')
+        OR (regexp_matches(line, '{SHOUTS}') AND {SHOUT_CHARS} * len(regexp_extract_all(line, '{RUNS}')) >= length(line))
+        OR (regexp_matches(line, '{ITEMS}') AND {_ITEMS_SQL} >= 2 AND {ITEM_CHARS} * {_ITEMS_SQL} >= length(line))
         OR (length(line) <= {NOTICE_CHARS} AND ({" OR ".join(f"contains(lower(line), '{p}')" for p in NOTICES)}))"""
 
 SQL = f"""
