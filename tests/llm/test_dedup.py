@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tidepair.llm import fingerprints, graph, minhash_dedup, passage_dedup
+from tidepair.llm import fingerprints, graph, minhash_dedup, passage_dedup, set_join
 from tidepair.llm import text as tx
 
 
@@ -71,6 +72,55 @@ def test_links_between_members_far_from_the_ends(spark):
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Recall at a similarity of 0.75 to 0.8, in pairs and in groups that share most of their text."""
+    data, sets = [], {}
+    for k in range(150):
+        base = cases.prose(5000 + k // 3 * 3, 300).split(" ")
+        for j in range(2):
+            words = list(base)
+            # Each changed word costs five shingles; both texts change different ones.
+            for n in range(4 - (j and k % 2)):
+                words[10 + 67 * n + 13 * j + k % 3] = f"n{k}x{j}x{n}"
+            data.append((2 * k + j, " ".join(words), "en", "s", 1))
+    sets = {r[0]: cases.shingles(r[1]) for r in data}
+    near = [(a, b) for a, b in zip(range(0, 300, 2), range(1, 300, 2)) if 0.75 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) <= 0.82]
+    assert len(near) > 100
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(cases.frame(spark, data, clash=False)).collect()}
+    assert got == brute_components(sets)
+    assert all(got[a] == got[b] for a, b in near)
+
+
+def test_prefix_join_misses_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    rows, common = [], rng.choice(10**6, 60, replace=False)
+    for i in range(160):
+        size = int(rng.integers(1, 60))
+        own = set(rng.choice(common, min(size, 60), replace=False).tolist()) | set((2_000_000 + i * 100 + np.arange(rng.integers(0, 12))).tolist())
+        rows.append((i, int(i % 9 == 0) * 1000 + i, len(own), sorted(own)))
+    sets = spark.createDataFrame(rows, "node long, component long, n int, hashes array<long>")
+    want = set()
+    for i, _, _, x in rows:
+        for j, _, _, y in rows[:i]:
+            both = len(set(x) & set(y))
+            if 100 * both >= 75 * (len(x) + len(y) - both):
+                want.add((j, i))
+    pairs = set_join.across(sets, 75)
+    assert len(want) > 20 and want <= {tuple(r) for r in pairs.collect()}
+    assert {tuple(r) for r in set_join.verified(pairs, sets, 75).collect()} == want
+
+
+def test_a_group_below_the_threshold_builds_few_pairs(spark):
+    # 300 variants of one text, any two of them at 0.72: they share table keys, and none is linked.
+    shared = cases.prose(1, 840)
+    data = [(i, f"{shared} {cases.prose(1000 + i, 160)}", "en", "s", 1) for i in range(300)]
+    docs = cases.frame(spark, data, clash=False)
+    sketch = minhash_dedup.sketches(docs).withColumnRenamed("doc_id", "node")
+    sets = set_join.sets_of(docs, sketch.select("node", "digest")).withColumn("component", F.col("node"))
+    assert set_join.across(sets, 75).count() == 0
+    assert {r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == set(range(300))
+
+
 def test_drop_keeps_one_of_each_group_and_the_columns(spark):
     docs = cases.frame(spark)
     out = minhash_dedup.drop_near_duplicates(docs)
