@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,12 +135,13 @@ def _mapped(df: DataFrame, fn, schema: str, size_at: int) -> DataFrame:
 
 
 def _rows(batches) -> Iterator[tuple]:
-    """Rows of Arrow batches, a few at a time; strings come as bytes."""
+    """Rows of Arrow batches, a bounded number of bytes at a time; strings come as bytes."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in part.columns]
-            yield from zip(*[c.to_pylist() for c in columns], strict=True)
+        columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns]
+        lengths = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in columns if pa.types.is_binary(c.type)]
+        sizes = (64 + np.sum(lengths, axis=0)).tolist() if lengths else [64] * batch.num_rows
+        for lo, hi in tx.slices(sizes, BATCH_BYTES):
+            yield from zip(*[c.slice(lo, hi - lo).to_pylist() for c in columns], strict=True)
 
 
 def pieces(docs: DataFrame, seed: int = SEED) -> DataFrame:
