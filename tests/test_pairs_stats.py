@@ -64,7 +64,7 @@ def test_exchanged_rows_do_not_follow_slabs(spark, universe):
     from tidepair.operators import blocks
 
     df = from_pandas(spark, universe).withColumnRenamed("close", "v")
-    series, n_blocks = pairs._numbered_series(df, "v", 1, 1, None)
+    series, n_blocks = pairs._numbered_series(df, 1, 1, None)
     rows = df.join(series, "symbol").select("_home", "_at", F.unix_micros("ts").alias("ts_us"), "v")
     n = universe["symbol"].nunique()
     for n_slabs in (1, 8, 64, 240):

@@ -18,7 +18,7 @@ def _shares(df: DataFrame, col: str, per_share: int) -> Column:
     return F.greatest(n.scalar(), F.lit(1))
 
 
-def _numbered_series(df: DataFrame, value: str, min_rows: int, n_blocks: int | None, rank: DataFrame | None) -> tuple[DataFrame, Column]:
+def _numbered_series(df: DataFrame, min_rows: int, n_blocks: int | None, rank: DataFrame | None) -> tuple[DataFrame, Column]:
     """(symbol, _mean, _order, _home, _at) of the series that are long enough, and the number of blocks.
 
     ``_order`` decides which leg comes first: the symbol, or its catalogue rank.
@@ -58,7 +58,7 @@ def pair_moments(
     ``rank(symbol, rank)``; symbols without a rank are left out.
     """
     valued = df.where(known(value)).select("symbol", "ts", F.col(value).alias("v"))
-    series, blocks = _numbered_series(valued, value, min_rows, n_blocks, rank)
+    series, blocks = _numbered_series(valued, min_rows, n_blocks, rank)
     slabs = _shares(valued, "ts", TIMES_PER_SLAB) if n_slabs is None else F.lit(n_slabs)
     rows = valued.join(series, "symbol").select("_home", "_at", F.unix_micros("ts").alias("ts_us"), (F.col("v") - F.col("_mean")).alias("v"))
     sums = added(matrix_rows(rows, blocks, slabs))

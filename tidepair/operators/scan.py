@@ -82,20 +82,21 @@ def _begins(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], at_once: int = AT_ONCE) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups out of a sorted stream, and where each group begins (and the end)."""
-    held, rows, table = [], 0, None
+    held, rows, enough = [], 0, at_once
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < at_once:
+        if rows < enough:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         begins = _begins(table, keys)
         if len(begins) > 1:
             yield table.slice(0, begins[-1]), begins
             held = table.slice(begins[-1]).to_batches()
-            rows = sum(b.num_rows for b in held)
+            rows, enough = sum(b.num_rows for b in held), at_once
         else:
-            held = table.to_batches()
+            # One group alone so far: look again when it has doubled.
+            held, enough = table.to_batches(), 2 * rows
     if rows:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, np.append(_begins(table, keys), len(table))
