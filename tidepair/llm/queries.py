@@ -98,7 +98,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(documents(spark, sf_dir))
+    key = spark.conf.get(surrogates.KEY_SETTING, surrogates.KEY)
+    return surrogates.replace(documents(spark, sf_dir), key)
 
 
 @query

@@ -19,6 +19,8 @@ from tidepair.session import stage
 
 #: The key is a parameter of every function; keep the one in use secret.
 KEY = "change-me"
+#: The session setting that names the key of the registered query.
+KEY_SETTING = "spark.tidepair.surrogates.key"
 ROUNDS = 4
 #: From this attempt on, spelled surrogates grow by a few letters, so short formats can't run out.
 LONGER = 2
