@@ -214,6 +214,21 @@ def test_no_token_of_a_titled_name_remains(spark):
     assert [got[i].kinds.count("name") for i in range(3)] == [4, 4, 2]
 
 
+def test_names_keep_their_surrogates_behind_any_title_and_none(spark):
+    texts = [
+        "Mrs. Anna Keller came. Then Anna Keller left; Keller paid, Annabel didn't, and Kellers stayed.",
+        "Dr. Anna Keller wrote to Prof. Robin Keller and Mr. Robin Stone, and Mrs. Robin Gray answered.",
+        "Anna and Keller are not titled here.",
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace(cases.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    first, last = re.match(r"Mrs\. (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mrs. {first} {last} came. Then {first} {last} left; {last} paid, Annabel didn't, and Kellers stayed."
+    assert got[1].startswith(f"Dr. {first} {last} wrote to Prof. ") and first.endswith("na")
+    # A name of both genders keeps a surrogate for each, and one without.
+    names = re.search(r"Prof\. (\w+) \w+ and Mr\. (\w+) \w+, and Mrs\. (\w+) ", got[1]).groups()
+    assert [n[-2:] for n in names] == ["is", "on", "na"] and got[2] == texts[2]
+
+
 def test_very_long_entities_are_replaced(spark):
     texts = [
         "Mr. " + "Anna " * 2000 + "left.",

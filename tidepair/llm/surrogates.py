@@ -247,7 +247,9 @@ def overrides(found: DataFrame, key: str = KEY) -> DataFrame:
 
     Of values with one surrogate the least keeps it; a surrogate that itself occurs as a value
     of its kind is given up. Each round gives the others their next attempt and checks it
-    against all values and all surrogates taken. Only counts come to the driver.
+    against all values and all surrogates taken. A given name behind a title without gender takes
+    the surrogate that it has behind the titles of one gender, if it stands behind those of one
+    only. Only counts come to the driver.
     """
     found = stage(found, "entities")
     settled = stage(found.withColumn("tweak", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.lit(0))), "surrogates")
@@ -263,13 +265,17 @@ def overrides(found: DataFrame, key: str = KEY) -> DataFrame:
             break
         fresh = F.when(F.col("again"), surrogate(F.col("kind"), F.col("value"), key, F.col("tweak"))).otherwise(F.col("old"))
         settled = stage(moved.select("kind", "value", "tweak", fresh.alias("surrogate")), "surrogates")
-    return settled.where("tweak > 0").select("kind", "value", "surrogate")
+    named = settled.where(F.col("kind").isin("given_f", "given_m")).groupBy("value").agg(F.count("kind").alias("genders"), F.min("surrogate").alias("known"))
+    neutral = settled.where("kind = 'given'").join(named.where("genders = 1"), "value").select("kind", "value", F.col("known").alias("surrogate"))
+    own = settled.where("tweak > 0").select("kind", "value", "surrogate").join(neutral.select("kind", "value"), ["kind", "value"], "left_anti")
+    return own.unionByName(neutral)
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities, kinds) of every row, with every entity replaced.
 
-    ``kinds`` lists the kinds in order, joined by commas. Text without entities stays as it is;
+    ``kinds`` lists the kinds in order, joined by commas. Where a text names somebody by title, the
+    same names are replaced wherever else they stand in it as words, too. Text without entities stays as it is;
     a null text stays null with none. Equal values get equal surrogates in all rows, different
     ones different surrogates. Repeated rows are replaced alike; an empty table gives an empty
     result; other columns are not read.
@@ -290,7 +296,11 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     each = F.transform("raws", lambda raw: F.struct(raw.alias("raw"), _parts(raw).alias("parts")))
     rows = rows.withColumn("found", each)
-    new = F.transform("found", lambda e: F.struct(e["raw"].alias("raw"), F.get(e["parts"], 0)["kind"].alias("kind"), F.transform(e["parts"], final).alias("new")))
+    told = F.transform("found", lambda e: F.struct(e["raw"].alias("raw"), F.transform(e["parts"], lambda p: F.struct(p["kind"], p["value"], final(p).alias("new"))).alias("parts")))
+    rows = rows.withColumn("found", told)
+    named = lambda e: F.filter(e["parts"], lambda p: F.substring_index(p["kind"], "_", 1).isin("given", "surname"))
+    rows = rows.withColumn("bare", F.array_distinct(F.flatten(F.transform("found", lambda e: F.transform(named(e), lambda p: F.struct(p["value"], p["new"]))))))
+    new = F.transform("found", lambda e: F.struct(e["raw"].alias("raw"), F.get(e["parts"], 0)["kind"].alias("kind"), F.transform(e["parts"], lambda p: p["new"]).alias("new")))
     rows = rows.withColumn("found", new)
     is_name = lambda e: F.substring_index(e["kind"], "_", 1).isin("given", "surname", "initial", "particle")
     written = F.transform(
@@ -300,9 +310,12 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = rows.withColumn("written", written)
     text = F.array_join(F.transform(F.split("text", ANY, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get("written", i), F.lit("")))), "")
     shown = F.transform("found", lambda e: F.when(is_name(e), "name").otherwise(e["kind"]))
+    word = lambda value: F.concat(F.lit(_NOT_IN), value, F.lit(r"(?![\p{L}\p{N}])"))
+    plain = F.aggregate("bare", F.col("titled"), lambda t, name: F.regexp_replace(t, word(name["value"]), name["new"]))
+    rows = rows.withColumn("titled", text)
     return rows.select(
         "doc_id",
-        F.when(F.size("raws") > 0, text).otherwise(F.col("text")).alias("text"),
+        F.when(F.size("bare") > 0, plain).when(F.size("raws") > 0, F.col("titled")).otherwise(F.col("text")).alias("text"),
         F.when(F.col("raws").isNull(), 0).otherwise(F.size("raws")).cast("long").alias("n_entities"),
         F.coalesce(F.array_join(shown, ","), F.lit("")).alias("kinds"),
     )
