@@ -99,7 +99,7 @@ def test_board_ledger_fills_at_the_standing_price(spark):
 def test_orders_before_the_first_price_are_not_filled(spark):
     prices = from_pandas(spark, pd.DataFrame({"symbol": "A", "ts": [pd.Timestamp("2024-01-02")], "close": [5.0]}))
     asked = pd.DataFrame({"key": ["A", "A", "B"], "ts": pd.to_datetime(["2024-01-01", "2024-03-01", "2024-03-01"]), "qty": [1.0, 2.0, 3.0]})
-    got = signals.price_ledger(from_pandas(spark, asked), prices).collect()
+    got = signals.standing_ledger(from_pandas(spark, asked), prices).collect()
     assert [(r["key"], r["qty"], r["price"]) for r in got] == [("A", 2.0, 5.0)]
 
 

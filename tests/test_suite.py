@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tidepair import suite
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "customer events orders lineitem".split()
+TABLES = "customer events orders lineitem supplier".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 

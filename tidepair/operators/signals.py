@@ -139,7 +139,13 @@ def trade_ledger(signals: DataFrame) -> DataFrame:
     )
 
 
-def price_ledger(orders: DataFrame, prices: DataFrame, seconds: int = MONTH) -> DataFrame:
+def price_ledger(orders: DataFrame, prices: DataFrame) -> DataFrame:
+    """Fill orders ``(ts, key, ...)`` at the aligned price of their instrument and bar."""
+    fills = prices.select(F.col("symbol").alias("key"), "ts", F.col("close").alias("price"))
+    return orders.join(fills, ["key", "ts"])
+
+
+def standing_ledger(orders: DataFrame, prices: DataFrame, seconds: int = MONTH) -> DataFrame:
     """Fill orders ``(ts, key, ...)`` at the last price of their instrument known by then.
 
     ``prices`` are the bars as they came, not the filled grid: the price that stands when an order
@@ -147,9 +153,8 @@ def price_ledger(orders: DataFrame, prices: DataFrame, seconds: int = MONTH) ->
     first price are not filled.
     """
     asked = orders.select(F.col("key").alias("symbol"), "ts").distinct()
-    fills = asof_join(prices, asked, seconds=seconds).where(F.col("close").isNotNull())
-    fills = fills.select(F.col("symbol").alias("key"), "ts", F.col("close").alias("price"))
-    return orders.join(fills, ["key", "ts"])
+    standing = asof_join(prices, asked, seconds=seconds).where(F.col("close").isNotNull())
+    return price_ledger(orders, standing)
 
 
 def pair_orders(signals: DataFrame, qty: float, hedge_qty: float) -> DataFrame:

@@ -12,7 +12,7 @@ from tidepair.operators.kalman import kalman, kalman_library
 from tidepair.operators.ordered import MONTH, with_position
 from tidepair.operators.pairs import PAIR, pair_bars
 from tidepair.operators.positions import positions, trades
-from tidepair.operators.signals import pair_orders, price_ledger
+from tidepair.operators.signals import pair_orders, standing_ledger
 from tidepair.operators.windows import rolling_z
 from tidepair.plans.discovery import cointegrated_pairs
 from tidepair.plans.strategies import run_strategy
@@ -124,6 +124,6 @@ def board_backtest(
     board = stage(align.align_outer_ffill(closes, seconds=seconds), "board")
     found = run_strategy(pair_bars(board, chosen.select(*PAIR)), step, schema, seconds=seconds)
     orders = pair_orders(found, qty, hedge_qty)
-    return price_ledger(orders, closes, seconds).select(
+    return standing_ledger(orders, closes, seconds).select(
         F.col("ts").alias("time"), "signal", F.col("key").alias("asset"), "action", "qty", "price"
     )
