@@ -22,7 +22,7 @@ MOST_COPIES = 3
 #: Hash bits, and bits split at each level: at most 2**STEP rows a source in a histogram.
 BITS, STEP = 60, 10
 #: Thresholds of a source: behind each one goes on with the documents that fit into the rest.
-PASSES = 5
+PASSES = 3
 
 
 def rank_hash(doc_id: str = "doc_id") -> Column:
