@@ -1,5 +1,7 @@
 """Chunked scans against plain sequential loops."""
 
+from decimal import Decimal, localcontext
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -44,6 +46,38 @@ def test_kalman_matches_matrix_form(spark, pair, seconds):
         np.testing.assert_allclose(part["spread"], pair["y"] - want[:, 0] * pair["x"], rtol=1e-7, atol=1e-6)
 
 
+def exact_spreads(y, x, q, r, predict_first=True):
+    """y less the posterior slope times x, row by row in decimal arithmetic."""
+    with localcontext() as context:
+        context.prec = 50
+        num = lambda v: Decimal(float(v))
+        m0, m1, p00, p01, p10, p11 = Decimal(0), Decimal(0), *[Decimal(1)] * 4
+        out = []
+        for yi, xi in zip(map(num, y), map(num, x)):
+            noise = num(q if out or predict_first else 0.0)
+            p00, p11 = p00 + noise, p11 + noise
+            h0, h1 = p00 + xi * p10, p01 + xi * p11
+            k0, k1 = ((p00 + p01 * xi) / (h0 + h1 * xi + num(r)), (p10 + p11 * xi) / (h0 + h1 * xi + num(r)))
+            e = yi - m0 - m1 * xi
+            m0, m1 = m0 + k0 * e, m1 + k1 * e
+            p00, p01, p10, p11 = p00 - k0 * h0, p01 - k0 * h1, p10 - k1 * h0, p11 - k1 * h1
+            out.append(float(yi - m1 * xi))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("seconds", [86_400, 10**9])
+def test_spread_keeps_its_digits_next_to_large_prices(spark, seconds):
+    pdf = walk_pairs(300).assign(x=lambda p: 1e6 + 2e5 * np.arange(300) + 100 * p["x"], y=lambda p: 1.1 * p["x"] + 300 * p["y"])
+    rows = from_pandas(spark, pdf)
+    # What a rolling z sees are the changes; the library flavour also shows what a chunk is entered with.
+    for found, want in [
+        (kalman(rows, deltas=[1e-4], seconds=seconds), exact_spreads(pdf["y"], pdf["x"], 1e-4, 1e-3)),
+        (kalman_library(rows, deltas=[1e-5], seconds=seconds), exact_spreads(pdf["y"], pdf["x"], 1e-5, 1.0, False)),
+    ]:
+        got = found.toPandas().sort_values("pos")["spread"].to_numpy()
+        assert np.abs(np.diff(got) - np.diff(want))[30:].max() < 1e-3 * np.median(np.abs(np.diff(want)))
+
+
 @pytest.mark.parametrize("seconds", [6 * 3600, 10**9])
 def test_library_flavour(spark, pair, seconds):
     got = kalman_library(from_pandas(spark, pair), seconds=seconds).toPandas().sort_values("ts")
