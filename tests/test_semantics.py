@@ -57,6 +57,18 @@ def test_gaps(spark):
     assert (verdict["n_gaps"], verdict["n_suspicious"], verdict["alert"]) == (2, 1, True)
 
 
+def test_gap_of_every_row(spark):
+    """Copies of a timestamp are rows of their own, as they are to the SQL."""
+    stamps = ["2024-01-01 00:00:00"] * 3 + ["2024-01-01 00:10:00", "2024-01-02 00:10:00", "2024-01-02 00:10:00"]
+    df = frame(spark, [("a", t) for t in stamps] + [("b", stamps[0])], "symbol string, ts timestamp")
+    for seconds in (60, DAY):
+        found = windows.gap_delta(df, seconds=seconds).orderBy("symbol", "ts", F.desc("gap_us")).collect()
+        got = [(r["symbol"], r["gap_us"], r["prev_ts"] and r["prev_ts"].minute) for r in found]
+        day = DAY * 1_000_000
+        assert got == [("a", 0, 0), ("a", 0, 0), ("a", None, None), ("a", 600_000_000, 0), ("a", day, 10), ("a", 0, 10), ("b", None, None)]
+    assert windows.gap_report(df, 300).count() == 2
+
+
 def test_asof(spark):
     df = frame(
         spark,
