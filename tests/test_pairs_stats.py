@@ -190,6 +190,20 @@ def test_adf_fixed_lag_and_closed_form(spark):
     assert closed["adf_stat"] == pytest.approx(stat, rel=1e-8) and closed["n_obs"] == m
 
 
+def test_adf_of_many_short_series_without_a_group_each(spark):
+    """Series of one block are solved next to each other where they lie; those without a verdict leave no trace."""
+    rng = np.random.default_rng(5)
+    series = {f"S{i:02d}": np.cumsum(rng.normal(size=n)) for i, n in enumerate([3, 40, 41, 2, 90, 200, 333, 1])}
+    rows = [(k, "B", float(x), i + 1, len(v)) for k, v in series.items() for i, x in enumerate(v)]
+    tested = stats.adf(spark.createDataFrame(rows, "leg_1 string, leg_2 string, spread double, pos long, n long"))
+    assert "FlatMapGroupsInPandas" not in tested._jdf.queryExecution().toString()
+    got = {r["leg_1"]: r for r in tested.collect()}
+    assert set(got) == {k for k, v in series.items() if len(v) >= 40}
+    for k, r in got.items():
+        stat, lag, m = brute_adf(series[k], True)
+        assert (r["leg_2"], r["used_lag"], r["n_obs"]) == ("B", lag, m) and r["adf_stat"] == pytest.approx(stat, rel=1e-8)
+
+
 def test_adf_too_short_gives_no_row(spark):
     assert stats.adf(numbered(spark, [1.0, 2.0, 1.5])).count() == 0
 
