@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepair.operators import pairs, windows
+from tidepair.operators import pairs, tiles, windows
 from tidepair.operators.ordered import DAY, with_position, with_running_sum
 from tidepair.operators.pairs import PAIR
 from tidepair.plans import discovery
@@ -62,7 +62,8 @@ def lines(spark, sf_dir):
 )
 def wide_pair_corr(spark, sf_dir):
     """Pairs of all suppliers that pass the row and correlation gates, with their hedge ratio."""
-    return rounded(lines(spark, sf_dir).select(*PAIR, "n", "corr", "beta"), "corr", "beta")
+    found = pairs.hedge_stats(tiles.gated_moments(closes(spark, sf_dir), min_rows=MIN_ROWS, min_corr=MIN_CORR))
+    return rounded(found.select(*PAIR, "n", "corr", "beta"), "corr", "beta")
 
 
 @query(
