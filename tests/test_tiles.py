@@ -49,6 +49,17 @@ def test_blocks_without_series_add_no_pairs(spark, universe, cells):
     assert sorted(got.select(*PAIR, "n").collect()) == sorted(want.select(*PAIR, "n").collect())
 
 
+@pytest.mark.parametrize("cells", [tiles.CELLS, 200 * 7])
+def test_gated_rows(spark, universe, cells):
+    df = from_pandas(spark, universe)
+    got = tiles.gated_rows(df, min_rows=GATE[0], min_corr=GATE[1], cells=cells).toPandas()
+    want = pairs.pair_bars(df, _lines(df).select(*PAIR, "alpha", "beta")).toPandas().sort_values([*PAIR, "ts"], ignore_index=True)
+    want["pos"] = want.groupby(PAIR).cumcount() + 1
+    want["spread"] = want["y"] - want["alpha"] - want["beta"] * want["x"]
+    got = got.sort_values([*PAIR, "ts"], ignore_index=True)
+    pd.testing.assert_frame_equal(got, want[got.columns], rtol=1e-9, atol=1e-7)
+
+
 def test_copies_of_a_timestamp_are_an_error(spark, universe):
     df = from_pandas(spark, pd.concat([universe, universe.head(1)]))
     with pytest.raises(Exception, match="several rows at one timestamp"):
@@ -64,7 +75,7 @@ def test_pairs_are_not_exchanged(spark):
     """Behind the tiles nothing is joined or exchanged, and a series is one record a tile."""
     from tidepair.suite import wide
 
-    for query in (wide.wide_pair_corr,):
+    for query in (wide.wide_pair_corr, wide.wide_pair_rows):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan[: plan.index("MapInArrow")]
         assert "Window" not in plan and "Join" not in plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepair.operators import pairs, tiles, windows
-from tidepair.operators.ordered import DAY, with_position, with_running_sum
+from tidepair.operators.ordered import DAY, with_running_sum
 from tidepair.operators.pairs import PAIR
 from tidepair.plans import discovery
 from tidepair.session import scratch_path
@@ -46,16 +46,6 @@ def closes(spark, sf_dir):
     return data._stored(spark, sf_dir, "wide", build, "lineitem")
 
 
-def lines(spark, sf_dir):
-    """Statistics of the pairs that pass the row and correlation gates."""
-
-    def build():
-        found = pairs.hedge_stats(pairs.pair_moments(closes(spark, sf_dir), min_rows=MIN_ROWS))
-        return found.where((F.col("n") >= MIN_ROWS) & (F.col("corr") >= MIN_CORR))
-
-    return data._stored(spark, sf_dir, "wide-lines", build, "lineitem")
-
-
 @query(
     "wide_pair_corr",
     sql.query(_BARS, sql.PAIRS, sql.STATS, body=f"SELECT leg_1, leg_2, n, {r('corr')} AS corr, {r('beta')} AS beta FROM stats WHERE {_GATE}"),
@@ -76,11 +66,9 @@ def wide_pair_corr(spark, sf_dir):
     ),
 )
 def wide_pair_rows(spark, sf_dir):
-    """Numbered rows and residuals of the gated pairs alone: the gate stands below the pair join."""
-    rows = pairs.pair_bars(closes(spark, sf_dir), lines(spark, sf_dir).select(*PAIR, "alpha", "beta"))
-    numbered = with_position(rows, PAIR, ["ts"], "pos", YEAR)
-    spread = F.col("y") - F.col("alpha") - F.col("beta") * F.col("x")
-    return rounded(numbered.select(*PAIR, "ts", "pos", "y", "x", spread.alias("spread")), "spread", digits=4)
+    """Numbered rows and residuals of the gated pairs alone: they leave the tile that holds both legs."""
+    rows = tiles.gated_rows(closes(spark, sf_dir), min_rows=MIN_ROWS, min_corr=MIN_CORR)
+    return rounded(rows, "spread", digits=4)
 
 
 def _scan_sql(*rows: str) -> str:
