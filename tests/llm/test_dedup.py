@@ -294,3 +294,24 @@ def test_shingles_and_words_match_brute_force():
         w = cases.words(t, lower=True)
         for k, h in enumerate(hashes[a:b].tolist()):
             assert names.setdefault(h, tuple(w[k : k + 5])) == tuple(w[k : k + 5])
+
+
+def test_only_words_of_regions_go_on():
+    text = " ".join(f"w{i}" for i in range(400)).encode()
+    words = passage_dedup.tx.Words([text])
+    whole = words.shingles()[0]
+    # Two regions that overlap, one that touches their words, one apart.
+    flat = [c for left, right in ((200, 250), (20, 70), (60, 110), (114, 160)) for c in (left, right, 0, 0)]
+    cut, at = passage_dedup._cut(text, words, flat)
+    assert len(cut.split()) == 55 + 145
+    mine = passage_dedup.tx.Words([cut]).shingles()[0]
+    for k, begin in enumerate(at):
+        left, right = flat[4 * k : 4 * k + 2]
+        assert (mine[begin : begin + right - left + 1] == whole[left : right + 1]).all()
+
+
+def test_shared_keys_take_one_exchange(spark):
+    rows = spark.createDataFrame([(1, 5, 0), (1, 5, 1), (2, 5, 0), (2, 7, 0), (2, 6, 0)], "key long, node long, at long")
+    found = passage_dedup._shared(rows)
+    assert sorted(map(tuple, found.collect())) == [(2, 5, 0, 5, 7, 3), (2, 6, 0, 5, 7, 3), (2, 7, 0, 5, 7, 3)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
