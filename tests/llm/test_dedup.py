@@ -315,3 +315,57 @@ def test_shared_keys_take_one_exchange(spark):
     found = passage_dedup._shared(rows)
     assert sorted(map(tuple, found.collect())) == [(2, 5, 0, 5, 7, 3), (2, 6, 0, 5, 7, 3), (2, 7, 0, 5, 7, 3)]
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def _family(n, template, every):
+    """Copies of a text, each with other words at random places."""
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(n):
+        w = template.split(" ")
+        for k in np.flatnonzero(rng.random(len(w)) < 1 / every):
+            w[k] = f"own{i}x{k}"
+        data.append((100 + i, " ".join(w), "en", "s", 1))
+    return data
+
+
+def test_a_shorter_text_of_the_same_id_is_no_error(spark):
+    # The words of a region end behind the shorter text.
+    passage = cases.prose(77, 60)
+    data = [(1, f"{cases.prose(200, 90)} {passage}", "en", "s", 1), (1, cases.prose(300, 20), "en", "s", 1), (1, cases.prose(500, 130), "en", "s", 1), (2, f"{passage} {cases.prose(400, 9)}", "en", "s", 1)]
+    got = passage_dedup.repeated_passages(cases.frame(spark, data, clash=False)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.match_id, r.match_start, r.match_end) for r in got} == {(1, 90, 150, 2, 0, 60), (2, 0, 60, 1, 90, 150)}
+
+
+def test_hopeful_stretches_match_brute_force():
+    rng = np.random.default_rng(5)
+    length, price = passage_dedup.LENGTH, min(passage_dedup.PRICES)
+    for _ in range(30):
+        theirs = np.unique(rng.integers(0, 300, 200)).astype(np.uint64)
+        # From hardly any hit to nearly all.
+        stretches = [np.where(rng.random(n) < share, rng.choice(theirs, n), rng.integers(300, 600, n).astype(np.uint64)) for n, share in zip(rng.integers(0, 140, 12), rng.uniform(0.55, 0.95, 12), strict=True)]
+        want = []
+        for m in stretches:
+            total = np.concatenate([[0], np.cumsum(np.where(np.isin(m, theirs), 1, -price))])
+            want.append(any(total[j] >= total[i] for i in range(len(total)) for j in range(i + length, len(total))))
+        assert passage_dedup._hopeful(stretches, theirs).tolist() == want
+
+
+def test_a_text_goes_once_to_a_tile(spark):
+    docs = cases.frame(spark, _family(40, cases.prose(77, 120), 30), clash=False)
+    pairs = spark.createDataFrame([(100 + i, 100 + j, [0, 50 + j, 0, 60]) for i in range(40) for j in range(i + 1, 40)], "node long, other long, regions array<long>")
+    placed = passage_dedup._tiled(pairs)
+    assert sorted((r.node, r.other) for r in placed.collect()) == [(100 + i, 100 + j) for i in range(40) for j in range(i + 1, 40)]
+    rows = passage_dedup._texts(placed, docs.select("doc_id", "text")).collect()
+    # One text for each document, not one for each of 780 pairs; the words of its regions alone.
+    assert len(rows) == len({r.node for r in rows}) == 40
+    assert {r.node: len(r.cut.split()) for r in rows} == {100: 94, **{100 + i: 94 if i < 39 else 65 for i in range(1, 40)}}
+
+
+def test_few_open_members_are_compared_as_many_are(spark, monkeypatch):
+    docs = cases.frame(spark, _family(30, cases.prose(77, 140), 22), clash=False)
+    found = []
+    for few in (0, 10**6):
+        monkeypatch.setattr(passage_dedup, "FEW", few)
+        found.append({tuple(r) for r in passage_dedup.repeated_passages(docs).collect()})
+    assert found[0] and found[0] == found[1]
