@@ -3,14 +3,16 @@
 A series travels as one record, once to each tile of two blocks of series. A tile holds both
 blocks over all timestamps, so a pair's sums are complete there: what fails the gate is never
 written, and the rows of a pair that passes leave the task as they are, without a join or an
-exchange. Series are many and each fits a record; for few long ones ``pairs.pair_moments``
-splits the time axis as well.
+exchange. Where only the tests of these rows are wanted, the rows stay in the task as well. Series
+are many and each fits a record; for few long ones ``pairs.pair_moments`` splits the time axis as
+well.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,30 +20,40 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepair.functions import panel
 from tidepair.operators.clean import known
+from tidepair.operators.stats import _TINY_RSS
 
 #: Cells (series x timestamps) of a block; a tile holds two blocks.
 CELLS = 1_500_000
 #: Pairs whose sums a task holds at once, and pair rows it writes at once.
 PAIRS_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 200_000
+#: Pairs whose spreads a task holds at once to test them.
+TESTED_AT_ONCE = 8_192
 
 _MOMENTS = ["mean_y", "mean_x", "cyy", "cxx", "cxy"]
 _LINES = "leg_1 string, leg_2 string, n bigint, mean_y double, mean_x double, cyy double, cxx double, cxy double"
+_TESTS = f"{_LINES}, reversion double, half_life double, coint_stat double, p_value double, used_lag int"
 _ROWS = "leg_1 string, leg_2 string, ts_us bigint, pos bigint, y double, x double, spread double"
 
 
 class Block:
-    """Series of a block: names, and (series, time) matrices of values, presence and centred values."""
+    """Series of a block: names, their order in the tile, and (series, time) matrices of values, presence and centred values."""
 
-    def __init__(self, names: list[str], values: np.ndarray, seen: np.ndarray) -> None:
-        self.names, self.values, self.seen = names, values, seen
+    def __init__(self, names: list[str], order: np.ndarray, values: np.ndarray, seen: np.ndarray) -> None:
+        self.names, self.order, self.values, self.seen = names, order, values, seen
         self.has = seen.astype(np.float64)
         self.mean = values.sum(axis=1) / self.has.sum(axis=1)
         self.centred = np.where(seen, values - self.mean[:, None], 0.0)
         self.squares = self.centred * self.centred
 
 
-def _blocks(names: list[str], left: np.ndarray, sizes: np.ndarray, times: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, Block, Block]:
+def _order(name: str, rank) -> tuple:
+    """What legs are ordered by: the rank (null, then values, then NaN), then the alphabet."""
+    return (False, name) if rank is None else (True, rank != rank, 0 if rank != rank else rank, name)
+
+
+def _blocks(names: list[str], orders: list[tuple], left: np.ndarray, sizes: np.ndarray, times: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, Block, Block]:
     """Timestamps of a tile, its left and its right block (the same one if it has no right side)."""
     stamps, slot = np.unique(times, return_inverse=True)
     values, seen = np.zeros((len(names), len(stamps))), np.zeros((len(names), len(stamps)), dtype=bool)
@@ -50,14 +62,14 @@ def _blocks(names: list[str], left: np.ndarray, sizes: np.ndarray, times: np.nda
     seen[row, slot] = True
     if seen.sum() != len(times):
         raise ValueError("a symbol has several rows at one timestamp; de-duplicate first")
-    sides = [Block([names[i] for i in at], values[at], seen[at]) for at in (np.flatnonzero(left), np.flatnonzero(~left)) if len(at)]
+    place = np.empty(len(names), dtype=np.int64)
+    place[sorted(range(len(names)), key=orders.__getitem__)] = np.arange(len(names))
+    sides = [Block([names[i] for i in at], place[at], values[at], seen[at]) for at in (np.flatnonzero(left), np.flatnonzero(~left)) if len(at)]
     return stamps, sides[0], sides[-1]
 
 
 def _passing(one: Block, two: Block, min_rows: int, min_corr: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(i, j, n, mean_y, mean_x, cyy, cxx, cxy) of the pairs that pass; the first leg is the one earlier in the alphabet."""
-    place = {name: k for k, name in enumerate(sorted({*one.names, *two.names}))}
-    order1, order2 = (np.array([place[name] for name in b.names]) for b in (one, two))
+    """(i, j, turned, n, mean_y, mean_x, cyy, cxx, cxy) of the pairs that pass; a turned pair has ``j`` as its first leg."""
     step = max(PAIRS_AT_ONCE // len(two.names), 1)
     for lo in range(0, len(one.names), step):
         at = slice(lo, lo + step)
@@ -75,7 +87,7 @@ def _passing(one: Block, two: Block, min_rows: int, min_corr: float) -> Iterator
         with np.errstate(divide="ignore", invalid="ignore"):
             good = (cyy > 0) & (cxx > 0) & (cxy / np.sqrt(cyy * cxx) >= min_corr)
         i, j, n, sy, sx, cyy, cxx, cxy = (c[good] for c in (i + lo, j, n, sy, sx, cyy, cxx, cxy))
-        yield i, j, order2[j] < order1[i], n, one.mean[i] + sy / n, two.mean[j] + sx / n, cyy, cxx, cxy
+        yield i, j, two.order[j] < one.order[i], n, one.mean[i] + sy / n, two.mean[j] + sx / n, cyy, cxx, cxy
 
 
 def _legs(one: Block, two: Block, i: np.ndarray, j: np.ndarray, turned: np.ndarray) -> list[pa.Array]:
@@ -112,6 +124,55 @@ def _row_batches(stamps: np.ndarray, one: Block, two: Block, min_rows: int, min_
             yield pa.RecordBatch.from_arrays(columns, names=["leg_1", "leg_2", "ts_us", "pos", "y", "x", "spread"])
 
 
+def _spreads(values: np.ndarray, seen: np.ndarray, y: np.ndarray, x: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Residuals over the common timestamps of each pair of rows ``y`` and ``x``, one series a row, zeros behind its end."""
+    both = seen[y] & seen[x]
+    length = both.sum(axis=1)
+    out = np.zeros((len(y), int(length.max())))
+    out[np.arange(out.shape[1]) < length[:, None]] = (values[y] - (alpha[:, None] + beta[:, None] * values[x]))[both]
+    return out
+
+
+def _test_batches(max_p: float | None, half_life_range: tuple[float, float] | None, stamps: np.ndarray, one: Block, two: Block, min_rows: int, min_corr: float) -> Iterator[pa.RecordBatch]:
+    values, seen = (one.values, one.seen) if one is two else (np.concatenate([one.values, two.values]), np.concatenate([one.seen, two.seen]))
+    for i, j, turned, n, my, mx, cyy, cxx, cxy in _passing(one, two, min_rows, min_corr):
+        if not len(i):
+            continue
+        # Series of like length lie together, so that few cells are only behind an end.
+        i, j, turned, n, my, mx, cyy, cxx, cxy = (c[np.argsort(n)] for c in (i, j, turned, n, my, mx, cyy, cxx, cxy))
+        my, mx, cyy, cxx = np.where(turned, mx, my), np.where(turned, my, mx), np.where(turned, cxx, cyy), np.where(turned, cyy, cxx)
+        other = j + (0 if one is two else len(one.names))
+        y, x = np.where(turned, other, i), np.where(turned, i, other)
+        beta = cxy / cxx
+        alpha, corr, length = my - beta * mx, cxy / np.sqrt(cyy * cxx), n.astype(np.int64)
+        speed, bars = np.full(len(i), np.nan), np.full(len(i), np.nan)
+        stat, p, lags = np.full(len(i), -np.inf), np.zeros(len(i)), np.full(len(i), -1)
+        perfect, kept = corr * corr >= _TINY_RSS, np.ones(len(i), dtype=bool)
+        for lo in range(0, len(i), TESTED_AT_ONCE):
+            tested, spreads = [], []
+            for at in range(lo, min(lo + TESTED_AT_ONCE, len(i)), panel.AT_ONCE):
+                few = slice(at, min(at + panel.AT_ONCE, lo + TESTED_AT_ONCE))
+                series = _spreads(values, seen, y[few], x[few], alpha[few], beta[few])
+                speed[few], bars[few] = panel.half_lives(series, length[few])
+                if half_life_range is not None:
+                    kept[few] = (bars[few] > half_life_range[0]) & (bars[few] < half_life_range[1])
+                some = np.flatnonzero(kept[few] & ~perfect[few])
+                tested.append(some + at)
+                spreads.append(series[some])
+            some = np.concatenate(tested)
+            # The last of them are the longest.
+            series = np.concatenate([np.pad(part, ((0, 0), (0, spreads[-1].shape[1] - part.shape[1]))) for part in spreads])
+            stat[some], lags[some] = panel.level_tests(series, length[some])
+            p[some] = panel.p_values(stat[some], 2)
+        if max_p is not None:
+            kept &= p < max_p
+        names = _legs(one, two, i[kept], j[kept], turned[kept])
+        floats = [pa.array(c[kept]) for c in (my, mx, cyy, cxx, cxy)]
+        tests = [pa.array(c[kept], mask=np.isnan(c[kept])) for c in (speed, bars, stat, p)]
+        columns = [*names, pa.array(length[kept]), *floats, *tests, pa.array(lags[kept].astype(np.int32), mask=lags[kept] < 0)]
+        yield pa.RecordBatch.from_arrays(columns, names=["leg_1", "leg_2", "n", *_MOMENTS, "reversion", "half_life", "coint_stat", "p_value", "used_lag"])
+
+
 def _tiles(write, min_rows: int, min_corr: float):
     """A map over sorted partitions that hands one tile after the other to ``write``."""
 
@@ -119,8 +180,8 @@ def _tiles(write, min_rows: int, min_corr: float):
         left = np.concatenate([part[1] for part in held])
         if tile[0] != tile[1] and (left.all() or not left.any()):
             return  # The other block has no series.
-        names = [name for part in held for name in part[0]]
-        yield from write(*_blocks(names, *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])), min_rows, min_corr)
+        names, orders = ([x for part in held for x in part[k]] for k in (0, 5))
+        yield from write(*_blocks(names, orders, *(np.concatenate([part[k] for part in held]) for k in range(1, 5))), min_rows, min_corr)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
@@ -137,15 +198,17 @@ def _tiles(write, min_rows: int, min_corr: float):
                 tile = now
                 sizes = pc.list_value_length(part.column("t")).to_numpy()
                 times, v = (part.column(c).flatten().to_numpy() for c in ("t", "v"))
-                held.append((part.column("symbol").to_pylist(), part.column("_left").to_numpy(zero_copy_only=False), sizes, times, v))
+                names = part.column("symbol").to_pylist()
+                ranks = part.column("_rank").to_pylist() if "_rank" in part.schema.names else [None] * len(names)
+                held.append((names, part.column("_left").to_numpy(zero_copy_only=False), sizes, times, v, list(map(_order, names, ranks))))
         if held:
             yield from closed(tile, held)
 
     return run
 
 
-def _cells(df: DataFrame, value: str, min_rows: int, cells: int) -> DataFrame:
-    """(_b1, _b2, _left, symbol, t, v): series that are long enough, in each of their tiles."""
+def _cells(df: DataFrame, value: str, min_rows: int, cells: int, rank: DataFrame | None = None) -> DataFrame:
+    """(_b1, _b2, _left, symbol, t, v, and _rank if there is one): series that are long enough, in each of their tiles."""
     valued = df.where(known(value) & F.col("symbol").isNotNull() & F.col("ts").isNotNull()).select("symbol", F.unix_micros("ts").alias("t"), F.col(value).alias("v"))
     many = valued.agg(F.approx_count_distinct("symbol").alias("series"), F.approx_count_distinct("t").alias("times")).first()
     # Enough tiles for all cores, and more where blocks would hold too many cells.
@@ -153,13 +216,16 @@ def _cells(df: DataFrame, value: str, min_rows: int, cells: int) -> DataFrame:
     blocks = max(-(-many["series"] // max(cells // max(many["times"], 1), 1)), spread, 1)
     points = F.sort_array(F.collect_list(F.struct("t", "v")))
     series = valued.groupBy("symbol").agg(points.alias("p")).where(F.size("p") >= min_rows)
+    if rank is not None:
+        series = series.join(rank.select("symbol", F.col("rank").alias("_rank")), "symbol")
+    known_by = [c for c in series.columns if c != "p"]
     home: Column = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
-    placed = series.select("symbol", F.col("p.t").alias("t"), F.col("p.v").alias("v"), home.alias("_home"))
+    placed = series.select(*known_by, F.col("p.t").alias("t"), F.col("p.v").alias("v"), home.alias("_home"))
     copies = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         F.least("_home", "_other").alias("_b1"),
         F.greatest("_home", "_other").alias("_b2"),
         (F.col("_home") <= F.col("_other")).alias("_left"),
-        "symbol",
+        *known_by,
         "t",
         "v",
     )
@@ -179,3 +245,23 @@ def gated_rows(df: DataFrame, value: str = "close", min_rows: int = 1, min_corr:
     """(leg_1, leg_2, ts, pos, y, x, spread): numbered rows of these pairs with the residuals of their lines."""
     rows = _cells(df, value, min_rows, cells).mapInArrow(_tiles(_row_batches, min_rows, min_corr), _ROWS)
     return rows.select("leg_1", "leg_2", F.timestamp_micros("ts_us").alias("ts"), "pos", "y", "x", "spread")
+
+
+def gated_tests(
+    df: DataFrame,
+    value: str = "close",
+    min_rows: int = 1,
+    min_corr: float = 0.8,
+    max_p: float | None = None,
+    half_life_range: tuple[float, float] | None = None,
+    rank: DataFrame | None = None,
+    cells: int = CELLS,
+) -> DataFrame:
+    """``gated_moments`` with ``stats.half_life`` and ``stats.coint`` of each pair's residuals, whose rows never leave the tile.
+
+    Pairs beyond ``max_p`` or on or beyond the ends of ``half_life_range`` are left out; only those within the range are
+    tested. The first leg is the one earlier in the alphabet or with the lower ``rank(symbol, rank)``, which names a symbol
+    once; symbols without a rank are left out.
+    """
+    write = partial(_test_batches, max_p, half_life_range)
+    return _cells(df, value, min_rows, cells, rank).mapInArrow(_tiles(write, min_rows, min_corr), _TESTS)

@@ -93,7 +93,7 @@ _SCAN = _scan_sql(_BARS, sql.PAIRS)
 
 
 def _scan(spark, sf_dir):
-    return discovery.pair_scan(closes(spark, sf_dir), MIN_ROWS, MIN_CORR, MAX_P, HALF_LIFE, seconds=YEAR)
+    return discovery.pair_scan(closes(spark, sf_dir), MIN_ROWS, MIN_CORR, MAX_P, HALF_LIFE, seconds=YEAR, wide=True)
 
 
 @query("wide_pair_scan", _SCAN)
