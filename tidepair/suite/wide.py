@@ -125,4 +125,4 @@ def wide_catalogue_scan(spark, sf_dir):
     """The scan over each series' own last rows, its legs in catalogue order: tails, ranks and all gates in one plan."""
     suppliers = data.table(spark, sf_dir, "supplier")
     rank = suppliers.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_acctbal").alias("rank"))
-    return discovery.pair_scan(weekly(spark, sf_dir), MIN_ROWS, MIN_CORR, MAX_P, HALF_LIFE, tail_rows=TAIL, rank=rank, seconds=YEAR)
+    return discovery.pair_scan(weekly(spark, sf_dir), MIN_ROWS, MIN_CORR, MAX_P, HALF_LIFE, tail_rows=TAIL, rank=rank, seconds=YEAR, wide=True)
