@@ -140,7 +140,7 @@ def test_a_wide_scan_writes_no_pair_rows(spark, universe, monkeypatch):
         return out
 
     monkeypatch.setattr(discovery, "stage", noted)
-    for query in (wide.wide_pair_scan, wide.wide_catalogue_scan):
+    for query in (wide.wide_pair_scan, wide.wide_scan_export, wide.wide_catalogue_scan):
         written.clear()
         query(spark, "/root/testdata/sf0.001").collect()
         assert not [name for name, columns in written.items() if "leg_1" in columns and {"ts", "pos"} & columns]
