@@ -1,10 +1,13 @@
 """Near-duplicate documents and passages against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
+from tidepair import session
 from tidepair.llm import fingerprints, graph, minhash_dedup, passage_dedup, set_join
 from tidepair.llm import text as tx
 
@@ -369,3 +372,28 @@ def test_few_open_members_are_compared_as_many_are(spark, monkeypatch):
         monkeypatch.setattr(passage_dedup, "FEW", few)
         found.append({tuple(r) for r in passage_dedup.repeated_passages(docs).collect()})
     assert found[0] and found[0] == found[1]
+
+
+def test_members_of_large_buckets_are_marked_in_one_exchange(spark):
+    """One exchange of the members; a place in a passage shared with an end is settled, an end always is."""
+    spot = lambda x, y: x * 2**35 + y * 2**6 + 1
+    rows = [(7, n, n, spot(n, n + 3), 1, 9, 20) for n in (1, 2, 3, 4, 9)] + [(7, 2, 2, spot(2, 5), 1, 9, 20), (7, 4, 5, spot(30, 31), 1, 9, 20)]
+    large = spark.createDataFrame(rows, "key long, node long, span long, spot long, lo long, hi long, n long")
+    spans = spark.createDataFrame([(2, {1: [(0, 10)]}), (3, {5: [(0, 99)]}), (4, {1: [(0, 8)], 9: [(0, 12), (30, 80)]})], "n2 long, with map<long, array<struct<start_word: long, end_word: long>>>")
+    marked = passage_dedup._marked(large, spans)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 2
+    assert sorted((r.node, r.span, r.settled) for r in marked.collect()) == [(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, True), (4, 5, True), (9, 9, True)]
+
+
+def test_steps_leave_only_what_is_read(spark, monkeypatch):
+    """Classes of documents give the pairs that all documents at once give; tables between the steps are gone."""
+    docs = cases.frame(spark, _family(30, cases.prose(78, 140), 22), clash=False)
+    place = f"{session.shared_dir(spark)}/tidepair/{spark.sparkContext.applicationId}"
+    found = []
+    for classes in (1, 3):
+        monkeypatch.setattr(passage_dedup, "CLASSES", classes)
+        before = set(os.listdir(place)) if os.path.exists(place) else set()
+        found.append({tuple(r) for r in passage_dedup.repeated_passages(docs).collect()})
+        assert {n.split("-")[0] for n in set(os.listdir(place)) - before} == {"passages", "blocks"}
+    assert found[0] and found[0] == found[1]
